@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, quality_rules, topk, url_filter
+from . import license_scan, mixing, near_dups, quality_classifier, quality_rules, sentencepiece, topk, url_filter
 from .common import read
-from .sql import MIXING_SQL, QUALITY_RULES_SQL, TOPK_SQL
+from .sql import MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, TOPK_SQL
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(read(spark, sf_dir, "documents"), sentencepiece.read_model(spark))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +24,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = near_dups.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return df.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -36,8 +49,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_topk, op4_license_scan, op8_url_filter, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_exact_topk, op4_license_scan, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": TOPK_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL}

@@ -39,6 +39,21 @@ SELECT doc_id, size, source_size, target,
 FROM u
 """
 
+NEAR_DEDUP_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END) AS h FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+r AS (SELECT s.doc_id, s.h FROM s JOIN c USING (h)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+g AS (SELECT a, min(b) AS least FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(g.least, d.doc_id)) AS component_id, d.doc_id <= coalesce(g.least, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN g ON g.a = d.doc_id
+"""
+
 _COMMON = ", ".join(f"('{lang}', '{w}')" for lang, ws in q.COMMON_WORDS.items() for w in ws)
 _CLASSES = ", ".join(f"{{'k': '{k}', 'c': length(t) - length(regexp_replace(t, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))}}" for k, p in q.CLASSES.items())
 _TERM = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
