@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, near_dups, quality_classifier, quality_rules, sentencepiece, topk, url_filter
+from . import license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, sentencepiece, topk, url_filter
 from .common import read
 from .sql import MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, TOPK_SQL
 
@@ -16,6 +16,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(read(spark, sf_dir, "documents"), sentencepiece.read_model(spark))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = pii.replace_entities(read(spark, sf_dir, "documents"))
+    return df.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -24,6 +29,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"), lm_score.held_out(F.col("doc_id")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = near_dups.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
     return df.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -49,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_exact_topk, op4_license_scan, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_exact_topk, op4_license_scan, op5_lm_score, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
