@@ -63,19 +63,18 @@ def thresholds(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
     state = state.withColumn("lo", F.lit(0).cast("long"))
     for level in range(LEVELS):  # lo: the first hash of the boundary bucket; rest: the budget left when it begins
         shift = BITS * (LEVELS - 1 - level)
-        at = state.select(F.col("source").alias("_s"), "lo", "rest")
+        at = state.withColumnRenamed("source", "_s")
         inside = F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright(F.col("h"), shift + BITS) == F.shiftright(F.col("lo"), shift + BITS))
-        buckets = sizes.join(at, inside).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+        same = [F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")]
+        buckets = sizes.join(at, inside).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), *same)
         run = Window.partitionBy("source").orderBy("b")
-        buckets = buckets.withColumn("upto", F.sum("n").over(run))
+        buckets = buckets.withColumn("upto", F.sum("n").over(run)).withColumn("last", F.lead("b").over(run).isNull())
         # the bucket that crosses, or the last one where the budget holds them all
-        last = F.lead("b").over(run).isNull()
-        edge = buckets.withColumn("last", last).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")) | F.col("last") & (F.col("upto") <= F.col("rest")))
-        edge = edge.groupBy("source").agg(F.min(F.struct("b", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), "n")).alias("e"))
-        keep = state.drop("lo", "rest", "n").alias("a")
-        state = keep.join(edge.alias("e"), F.col("a.source").eqNullSafe(F.col("e.source")), "left").select(
-            "a.*", F.coalesce(F.shiftleft("e.e.b", shift), F.lit(0)).alias("lo"), F.coalesce("e.e.rest", F.lit(0.0)).alias("rest"), F.coalesce("e.e.n", F.lit(0)).alias("n")
-        )
+        crosses = (F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest"))
+        edge = buckets.where(crosses | (F.col("last") & (F.col("upto") <= F.col("rest"))))
+        left = (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest")
+        edge = edge.groupBy("source").agg(F.min(F.struct("b", left, "n", "source_size", "target", "whole")).alias("e"))
+        state = edge.select("source", "e.source_size", "e.target", "e.whole", "e.rest", "e.n", F.shiftleft("e.b", shift).alias("lo"))
     edge_too = 2 * F.col("rest") >= F.col("n")
     return state.select(F.col("source").alias("_s"), "source_size", "target", F.col("whole").alias("_whole"), F.col("lo").alias("_lo"), ((F.col("rest") > 0) & edge_too).alias("_edge"))
 
