@@ -139,6 +139,7 @@ def top_k(table: DataFrame, is_query: Column, k: int, scale: int = 256, id_col:
         kth = F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(-(2**63)).cast("long"))
         away = queries.join(reached, "query_id", "left").withColumn("kth", F.coalesce(kth, F.lit(-(2**63)).cast("long"))).drop("n", "s")
         away = away.withColumn("shard", F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))))
+        away = away.select(*[F.col(c).alias(c) for c in queries.columns + ["kth"]])  # columns of their own beside data's
         first = first.unionByName(data.groupBy(*key).cogroup(away.groupBy(*key)).applyInPandas(search, FOUND))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return first.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
