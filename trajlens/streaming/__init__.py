@@ -1 +1,22 @@
+"""Structured Streaming over frame events: episode lengths and paths as events arrive."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed_activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """events(ts, user_id, value), a batch or a stream -> per window: episodes seen, frames and mean value."""
+    df = events.withWatermark("ts", late) if events.isStreaming else events
+    per = df.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.approx_count_distinct("user_id").alias("episodes"), F.avg("value").alias("mean_value"))
+    return per.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "episodes", "mean_value")
+
+
+def score_stream(events: DataFrame, path: str, checkpoint: str, metrics_of):
+    """Each micro-batch's whole episodes measured by metrics_of(batch) and appended to a table; the ranking reads that table."""
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        metrics_of(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
+
+    return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
