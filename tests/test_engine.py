@@ -89,7 +89,7 @@ def test_profile_takes_the_worst_group(spark):
 
 
 def test_lag_and_offset(spark):
-    a = smooth(dims=2)
+    a = [[math.sin(0.7 * i) + 0.4 * math.sin(0.23 * i + d) for d in range(2)] for i in range(300)]
     late = [(1, i, a[i], [x + 7.0 for x in a[max(0, i - 5)]]) for i in range(len(a))]
     df = spark.createDataFrame(late, "episode_id long, idx int, action array<double>, state array<double>")
     lag = metrics.track_lag(df, [0, 1], FPS)

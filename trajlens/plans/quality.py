@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from ..functions import language, spectral
-from ..operators import batch, camera, harness, metrics, scoring, signals
+from ..operators import batch, camera, harness, metrics, scoring, signals, video
 from ..sources import episodes, sinks
 
 FPS = episodes.FPS
@@ -259,5 +259,88 @@ def q_length_control(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(harness.spearman(pairs))
 
 
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    """A video window for each event episode, a little longer or shorter than the episode."""
+    e = episodes.event_episodes(spark, d)
+    return e.select(F.col("episode_id").alias("window_id"), "length", (F.col("episode_id") % 5 * 1.0).alias("from_s"), (F.col("episode_id") % 5 + (F.col("length") + F.col("episode_id") % 4) / FPS).alias("to_s"))
+
+
+def _window_frames(spark: SparkSession, d: str) -> DataFrame:
+    f = episodes.event_frames(spark, d).select(F.col("episode_id").alias("window_id"), (F.col("episode_id") % 5 + F.col("idx") / FPS).alias("frame_t"))
+    return f.where("window_id % 7 <> 0")
+
+
+def q_sample_times(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(video.sample_times(_windows(spark, d), 12))
+
+
+def q_frames_at(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(video.frames_at(video.sample_times(_windows(spark, d), 12), _window_frames(spark, d)))
+
+
+def q_bursts(spark: SparkSession, d: str) -> DataFrame:
+    starts = video.sample_times(_windows(spark, d), 6).join(_windows(spark, d).select("window_id", "to_s"), "window_id").select("window_id", F.col("t").alias("start"), "to_s")
+    return _rounded(video.bursts(starts, _window_frames(spark, d), 6))
+
+
+def q_video_window_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    w = _windows(spark, d)
+    one = F.struct("from_s", "to_s")
+    other = F.struct("from_s", (F.col("to_s") + 0.5).alias("to_s"))
+    both = F.create_map(F.lit("front"), one, F.lit("wrist"), F.when(F.col("window_id") % 3 == 0, other).otherwise(one))
+    return _rounded(video.window_mismatch(w.select(F.col("window_id").alias("episode_id"), "length", both.alias("windows")), FPS))
+
+
+def q_best_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Shift between each supplier's quantity and the delayed copy of it."""
+    f = episodes.supplier_frames(spark, d)
+    return _rounded(video.best_lag(f.select("episode_id", F.col("idx").alias("i"), F.col("action")[0].alias("x"), F.col("state")[0].alias("y")), 30))
+
+
+def q_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Every episode's action traces thinned to 400 points at most."""
+    f = episodes.supplier_frames(spark, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("episode_id")))
+    stride = F.greatest(F.lit(1), F.ceil(F.col("n") / 400)).cast("int")
+    kept = f.where(F.col("idx") % stride == 0)
+    return _rounded(kept.select("episode_id", "idx", *[F.col("action")[i].alias(f"a{i}") for i in range(4)]), 4)
+
+
+def q_aux_sample(spark: SparkSession, d: str) -> DataFrame:
+    aux = batch.aux_sample(episodes.supplier_frames(spark, d))
+    return _rounded(aux.select("episode_id", "j", *[F.col(v)[i].alias(f"{v}{i}") for v in ("action", "state") for i in range(4)]))
+
+
+def q_gripper_phases(spark: SparkSession, d: str) -> DataFrame:
+    """Phases between gripper transitions: first frame, length and path of the arm in each."""
+    unit = _unit(spark, d)
+    cuts = signals.gripper_transitions(unit).withColumn("cut", F.lit(1)).select("episode_id", "idx", "cut")
+    speed = signals.group_speed(episodes.supplier_frames(spark, d), ARM, FPS)
+    df = speed.join(cuts.withColumnRenamed("idx", "i"), ["episode_id", "i"], "left")
+    df = df.withColumn("phase", F.sum(F.coalesce("cut", F.lit(0))).over(Window.partitionBy("episode_id").orderBy("i")))
+    return _rounded(df.groupBy("episode_id", "phase").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("n"), (F.sum("speed") / FPS).alias("path")))
+
+
+def q_outlier_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Novelty as a one-sided robust z within its group, and who is at 2 or more."""
+    v = batch.novelty(_points(spark, d)).join(_points(spark, d).select("episode_id", F.col("grp").cast("string").alias("group_label")), "episode_id")
+    v = v.withColumn("metric", F.lit("novelty_knn")).withColumn("signal", F.lit(""))
+    z = v.join(scoring.fit(v), scoring.KEY).withColumn("z", F.greatest(F.least((F.col("value") - F.col("median")) / F.col("scale_high"), F.lit(m.Z_CLIP)), F.lit(-m.Z_CLIP)))
+    return _rounded(z.select("episode_id", "group_label", "z", (F.col("z") >= m.WARN_Z).alias("is_outlier")))
+
+
+def q_panel_summary(spark: SparkSession, d: str) -> DataFrame:
+    """One row a task: episodes, mean score, flagged episodes, and how many lie in the pooled group."""
+    r = q_quality_ranking(spark, d).join(episodes.event_episodes(spark, d), "episode_id")
+    return _rounded(r.groupBy("task_key").agg(F.count(F.lit(1)).alias("episodes"), F.avg("score").alias("mean_score"), F.count_if(F.col("verdict") != "pass").alias("flagged"), F.count_if(F.col("basis") == "pooled").alias("pooled")))
+
+
+def q_flag_false_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """Share of recorded episodes above each integrity check's limit."""
+    i = q_integrity(spark, d)
+    checks = [(x.name, x.above) for x in m.METRICS if x.check and x.name in i.columns]
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), (F.col(k) > a).cast("double").alias("hit")) for k, a in checks]))
+    return _rounded(i.select(rows.alias("r")).groupBy("r.metric").agg(F.avg("r.hit").alias("rate")))
+
+
 def queries() -> dict[str, Query]:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}

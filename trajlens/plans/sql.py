@@ -116,6 +116,18 @@ ax AS (SELECT aux.*, task, count(DISTINCT e) OVER (PARTITION BY task) AS peers F
 pr AS (SELECT x.e, x.j, y.e AS o, y.j AS oj, list_sum(list_transform(list_zip(x.s, y.s), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d, list_sum(list_transform(list_zip(x.a, y.a), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS g FROM ax x JOIN ax y ON x.task = y.task AND x.e <> y.e WHERE x.peers >= 5),
 rn AS (SELECT *, row_number() OVER (PARTITION BY e, j ORDER BY round(d, 9), o, oj) AS r FROM pr)"""
 
+INTEGRITY = f"""WITH {OL}, s AS (SELECT *, fi - lag(fi) OVER (PARTITION BY e ORDER BY i) AS step FROM ol),
+p AS (SELECT e, count(*) AS length, count(DISTINCT fi) AS k, min(fi) AS lo, max(fi) AS hi, count(*) FILTER (step < 0) AS ooo, max(abs(step / 30.0::DOUBLE - 1 / 30.0::DOUBLE)) AS dev, CAST(count(*) FILTER (NOT isfinite(a0)) + count(*) FILTER (NOT isfinite(a1)) AS BIGINT) AS bad FROM s GROUP BY e),
+g AS (SELECT *, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (hi - lo + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p)
+SELECT e AS episode_id, dup + mis + ooo + o AS frame_gaps, nullif(concat_ws(', ', CASE WHEN dup > 0 THEN dup || ' duplicated' END, CASE WHEN mis > 0 THEN mis || ' missing' END, CASE WHEN ooo > 0 THEN ooo || ' out of order' END, CASE WHEN o > 0 THEN 'does not start at 0' END), '') AS note,
+  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN dup + mis + ooo + o > 0 OR lm > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM g"""
+
+VW = """
+vw AS (SELECT e AS window_id, length, CAST(e % 5 AS DOUBLE) AS from_s, e % 5 + (length + e % 4) / 30.0::DOUBLE AS to_s FROM ep),
+vf AS (SELECT e AS window_id, e % 5 + i / 30.0::DOUBLE AS frame_t FROM ev WHERE e % 7 <> 0),
+st12 AS (SELECT window_id, k, from_s + (to_s - from_s) * (k + 0.5) / 12 AS t FROM vw, (SELECT unnest(range(0, 12)) AS k) WHERE to_s > from_s)
+"""
+
 ORACLE: dict[str, str] = {
     "episode_speed": f"WITH {EV} SELECT e AS episode_id, i, {_r('speed', 'speed')} FROM sp",
     "raw_metrics": f"WITH {EV} SELECT e AS episode_id, metric, signal, {_r('value', 'value')}, {_r('worst', 'worst')} FROM raw",
@@ -128,11 +140,7 @@ ORACLE: dict[str, str] = {
     "verdict_counts": f"WITH {EV} SELECT v.verdict, count(rk.e) AS k FROM (VALUES ('fail'), ('pass'), ('unknown'), ('warn')) v(verdict) LEFT JOIN rk ON rk.verdict = v.verdict GROUP BY v.verdict",
     "score_histogram": f"WITH {EV}, en AS (SELECT min(score) AS a, max(score) AS b FROM ps), bi AS (SELECT least(19, CAST(floor((score - a) / ((b - a) / 20)) AS BIGINT)) AS bin, count(*) AS k FROM ps, en GROUP BY 1) SELECT r.bin, {_r('a + r.bin * (b - a) / 20', 'lo')}, {_r('a + (r.bin + 1) * (b - a) / 20', 'hi')}, coalesce(k, 0) AS k FROM (SELECT unnest(range(0, 20)) AS bin) r CROSS JOIN en LEFT JOIN bi ON bi.bin = r.bin",
     "balance": f"WITH {SU}, n AS (SELECT count(*) AS n FROM meta), b AS (SELECT 'task_key' AS dimension, task AS key, count(*) AS k FROM meta GROUP BY task UNION ALL SELECT 'source_id', source_id, count(*) FROM meta GROUP BY source_id) SELECT dimension, key, k, k < 5 AS under_covered, k > 0.5 * n AS dominant FROM b, n",
-    "integrity": f"""WITH {OL}, s AS (SELECT *, fi - lag(fi) OVER (PARTITION BY e ORDER BY i) AS step FROM ol),
-p AS (SELECT e, count(*) AS length, count(DISTINCT fi) AS k, min(fi) AS lo, max(fi) AS hi, count(*) FILTER (step < 0) AS ooo, max(abs(step / 30.0::DOUBLE - 1 / 30.0::DOUBLE)) AS dev, CAST(count(*) FILTER (NOT isfinite(a0)) + count(*) FILTER (NOT isfinite(a1)) AS BIGINT) AS bad FROM s GROUP BY e),
-g AS (SELECT *, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (hi - lo + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p)
-SELECT e AS episode_id, dup + mis + ooo + o AS frame_gaps, nullif(concat_ws(', ', CASE WHEN dup > 0 THEN dup || ' duplicated' END, CASE WHEN mis > 0 THEN mis || ' missing' END, CASE WHEN ooo > 0 THEN ooo || ' out of order' END, CASE WHEN o > 0 THEN 'does not start at 0' END), '') AS note,
-  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN dup + mis + ooo + o > 0 OR lm > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM g""",
+    "integrity": INTEGRITY,
     "language": _LANGUAGE,
     "canonical_task": f"""WITH {TEXTS}, o AS (SELECT id, list_transform([upper(text), ' Second: task! ', text], lambda t: trim(regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM tx WHERE id NOT LIKE 'c-%')
 SELECT id, array_to_string(list_sort(list_distinct(list_filter(k, lambda t: t <> ''))), ' | ') AS task_key FROM o""",
@@ -213,4 +221,30 @@ d2 AS (SELECT e, i, abs(x / r - lag(x / r) OVER (PARTITION BY e ORDER BY i)) AS
 b AS (SELECT e, 'path_length_z' AS metric, sum(d) AS b FROM d2 WHERE i > 0 GROUP BY e UNION ALL SELECT e, 'length_z', count(*) / 30.0::DOUBLE FROM c GROUP BY e),
 p AS (SELECT metric, value AS a, b FROM raw JOIN b USING (e, metric))
 SELECT metric, count(*) AS pairs, count(*) FILTER (b > a) AS worse, {_r('avg(CAST(b > a AS DOUBLE))', 'pass_rate')} FROM p GROUP BY metric""",
+    "sample_times": f"WITH {EV}, {VW} SELECT window_id, CAST(k AS BIGINT) AS k, {_r('t', 't')} FROM st12",
+    "frames_at": f"""WITH {EV}, {VW} SELECT window_id, CAST(k AS BIGINT) AS k, {_r('t', 't')}, {_r('coalesce((SELECT min(frame_t) FROM vf WHERE vf.window_id = s.window_id AND frame_t >= s.t - 1e-3), (SELECT max(frame_t) FROM vf WHERE vf.window_id = s.window_id))', 'frame_t')} FROM st12 s WHERE s.window_id IN (SELECT window_id FROM vf)""",
+    "bursts": f"""WITH {EV}, {VW}, b AS (SELECT window_id, to_s, from_s + (to_s - from_s) * (k + 0.5) / 6 AS start FROM vw, (SELECT unnest(range(0, 6)) AS k)),
+r AS (SELECT window_id, start, frame_t, row_number() OVER (PARTITION BY window_id, start ORDER BY frame_t) AS r FROM b JOIN vf USING (window_id) WHERE frame_t >= start - 1e-3 AND frame_t < to_s)
+SELECT window_id, {_r('start', 'start')}, r, {_r('frame_t', 'frame_t')} FROM r WHERE r <= 6""",
+    "video_window_mismatch": f"""WITH {EV}, {VW}, c AS (SELECT window_id AS e, length, 'front' AS camera, to_s - from_s AS w FROM vw UNION ALL SELECT window_id, length, 'wrist', to_s + CASE WHEN window_id % 3 = 0 THEN 0.5 ELSE 0 END - from_s FROM vw),
+g AS (SELECT e, camera, abs(w - length / 30.0::DOUBLE) * 30.0 AS gap FROM c) SELECT e AS episode_id, {_r('max(gap)', 'value')}, arg_min(camera, (-gap, camera)) AS camera FROM g GROUP BY e""",
+    "best_lag": f"""WITH {SU}, p AS (SELECT e, i, (a - avg(a) OVER w) / stddev_pop(a) OVER w AS x, (s - avg(s) OVER w) / stddev_pop(s) OVER w AS y, count(*) OVER w AS n FROM fr WHERE dim = 0 WINDOW w AS (PARTITION BY e)),
+c AS (SELECT x.e, k, sum(x.x * y.y) / (any_value(x.n) - abs(k)) AS c FROM p x CROSS JOIN (SELECT unnest(range(-30, 31)) AS k) JOIN p y ON y.e = x.e AND y.i = x.i + k WHERE abs(k) <= least(30, x.n // 3) GROUP BY x.e, k),
+n AS (SELECT *, lag(c) OVER w AS l, lead(c) OVER w AS r FROM c WINDOW w AS (PARTITION BY e ORDER BY k)),
+b AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY c DESC, k) AS q FROM n)
+SELECT e AS episode_id, {_r('k + coalesce(CASE WHEN l - 2 * c + r < 0 THEN greatest(least(0.5 * (l - r) / (l - 2 * c + r), 0.5), -0.5) ELSE 0 END, 0)', 'lag')}, {_r('c', 'corr')} FROM b WHERE q = 1 AND c >= 0.3""",
+    "trace": f"WITH {SU}, n AS (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM su) SELECT e AS episode_id, i AS idx, round(CAST(l_quantity AS DOUBLE), 4) AS a0, round(l_extendedprice, 4) AS a1, round(l_discount, 4) AS a2, round(l_tax, 4) AS a3 FROM n WHERE i % greatest(1, CAST(ceil(n / 400.0) AS BIGINT)) = 0",
+    "aux_sample": f"{_AUX} SELECT e AS episode_id, j, " + ", ".join(_r(f"{v[0]}[{i + 1}]", f"{v}{i}") for v in ("action", "state") for i in range(4)) + " FROM aux",
+    "gripper_phases": f"""WITH {SU}, {GRIP}, dd AS (SELECT e, dim, i, (ua - lag(ua) OVER (PARTITION BY e, dim ORDER BY i)) * 30.0 AS d FROM u WHERE dim IN (0, 1)),
+ss AS (SELECT e, i - 1 AS i, sqrt(sum(d * d)) AS s FROM dd WHERE i > 0 GROUP BY e, i),
+ph AS (SELECT ss.e, ss.i, s, count(tr.i) OVER (PARTITION BY ss.e ORDER BY ss.i) AS phase FROM ss LEFT JOIN tr ON tr.e = ss.e AND tr.i = ss.i)
+SELECT e AS episode_id, phase, min(i) AS start, count(*) AS n, {_r('sum(s) / 30.0', 'path')} FROM ph GROUP BY e, phase""",
+    "outlier_flags": f"""WITH p AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS x, count(*) OVER (PARTITION BY label) AS n FROM embeddings),
+d AS (SELECT a.label, a.vec_id AS e, b.vec_id AS o, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS d FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY d, o) AS r FROM d), v AS (SELECT label, e, avg(d) AS v FROM r WHERE r <= 5 GROUP BY label, e),
+q AS (SELECT label, quantile_cont(v, 0.5) AS b, quantile_cont(v, 0.75) AS c FROM v GROUP BY label), u AS (SELECT label, median(v - b) AS up FROM v JOIN q USING (label) WHERE v > b GROUP BY label),
+z AS (SELECT e, label, greatest(least((v - b) / CASE WHEN c > b THEN (c - b) * 1.4826 ELSE coalesce(up / 2, 1e-12) END, 10), -10) AS z FROM v JOIN q USING (label) LEFT JOIN u USING (label))
+SELECT e AS episode_id, CAST(label AS VARCHAR) AS group_label, {_r('z', 'z')}, z >= 2 AS is_outlier FROM z""",
+    "panel_summary": f"WITH {EV} SELECT task AS task_key, count(*) AS episodes, {_r('avg(score)', 'mean_score')}, count(*) FILTER (verdict <> 'pass') AS flagged, count(*) FILTER (basis = 'pooled') AS pooled FROM rk JOIN ep USING (e) GROUP BY task",
+    "flag_false_alarms": "WITH i AS (" + INTEGRITY + ") " + " UNION ALL ".join(f"SELECT '{c}' AS metric, {_r(f'avg(CAST({c} > 0 AS DOUBLE))', 'rate')} FROM i" for c in ("frame_gaps", "length_mismatch", "nonfinite_values", "too_short")),
 }

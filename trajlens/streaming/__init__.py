@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def windowed_activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """events(ts, user_id, value), a batch or a stream -> per window: episodes seen, frames and mean value."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     df = events.withWatermark("ts", late) if events.isStreaming else events
     per = df.groupBy(F.window("ts", window).alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.approx_count_distinct("user_id").alias("episodes"), F.avg("value").alias("mean_value"))
     return per.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "episodes", "mean_value")
