@@ -29,7 +29,7 @@ KEY, MAX_ATTEMPTS = "surrogates-v1", 64
 #: Honorifics by the gender that the names after them have.
 HONORIFICS = {"m": "Mr|Sir|Herr|Herrn|Monsieur|Señor|Don|г-н|Господин", "f": "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|Doña|г-жа|Госпожа", "n": "Dr|Prof|Доктор"}
 _ANY = "|".join(HONORIFICS.values())
-NAME = rf"(?=[A-ZГД])(?<![\p{{L}}])(?:{_ANY})\.? (?:\p{{Lu}}[\p{{L}}'’-]++)(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
+NAME = rf"(?=[A-ZГДг])(?<![\p{{L}}])(?:{_ANY})\.? (?:\p{{Lu}}[\p{{L}}'’-]++)(?: \p{{Lu}}[\p{{L}}'’-]++){{0,2}}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}+"
 IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
@@ -45,7 +45,7 @@ ENTITY = "|".join(KINDS.values())
 #: Texts that fail all of these hold no entity: cheap scans before the pattern.
 HAS_DIGIT, HAS_SIGN = "[0-9@]", "[=:]"
 HAS_KEY_WORD = "(?i)(?:password|passwd|pwd|token|secret|api_?key)"
-HAS_NAME = rf"(?=[A-ZГД])(?<![\p{{L}}])(?:{_ANY})\.? \p{{Lu}}"
+HAS_NAME = rf"(?=[A-ZГДг])(?<![\p{{L}}])(?:{_ANY})\.? \p{{Lu}}"
 #: Parts from which names are made, by script, and how given names end, by script and gender.
 SYLLABLES = {"latin": "ba be bo da de do fa fi ga go ha he jo ka ke ko la le li lo ma me mi mo na ne ni no pa pe po ra re ri ro sa se si so ta te ti to va ve vi wa we ya zo".split(), "cyrillic": "ба бо ва ве во га го да де до за зо ка ко ла ле ли ло ма ме ми мо на не ни но па по ра ре ри ро са се со та те ти то".split()}
 ENDINGS = {"latin": {"m": "n", "f": "na", "n": "l"}, "cyrillic": {"m": "н", "f": "на", "n": "л"}}
