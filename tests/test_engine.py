@@ -185,3 +185,26 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     key = lambda rows: sorted((r.start, r.frames) for r in rows)
     assert key(spark.table("act").collect()) == key(windowed_activity(events, "1 day").collect())
+
+
+def test_corruptions_do_what_they_say(spark):
+    f = frames(spark, {1: smooth(300), 2: smooth(200)})
+    n = lambda d: {r.episode_id: r["count"] for r in d.groupBy("episode_id").count().collect()}
+    assert n(harness.identity(f)) == {1: 300, 2: 200} and n(harness.one_frame(f)) == {1: 1, 2: 1}
+    assert n(harness.abandoned(f)) == {1: 75, 2: 50}
+    cut = n(harness.cut_off(f, FPS))
+    assert 90 < cut[1] < 211 and 60 < cut[2] < 141
+    path = lambda d: values(metrics.path_length(signals.group_speed(d, [0, 1], FPS), FPS))
+    assert path(harness.wander(f, 2.0))[1] > path(f)[1]
+    assert values(metrics.ldlj(signals.group_speed(harness.stop_and_go(f, FPS), [0, 1], FPS), FPS, "arm"))[1] < values(metrics.ldlj(signals.group_speed(f, [0, 1], FPS), FPS, "arm"))[1]
+    assert harness.nan_values(f).where("exists(action, x -> isnan(x))").count() == 2
+    busy = spark.createDataFrame([(1, i, [math.sin(0.7 * i) + 0.4 * math.sin(0.23 * i)], [math.sin(0.7 * i) + 0.4 * math.sin(0.23 * i)]) for i in range(300)], "episode_id long, idx int, action array<double>, state array<double>")
+    assert metrics.track_lag(harness.lagged_state(busy, FPS), [0], FPS).first().lag == 8
+    assert values(metrics.accel_spike_frac(metrics.accel_spikes(signals.acceleration(harness.jolts(f, 0, 2.0), [0, 1], FPS))))[1] > 0
+    assert values(metrics.joint_limit_frac(harness.at_limits(f, 0, 1.0), [0]))[1] > values(metrics.joint_limit_frac(f, [0]))[1]
+    flips = lambda d: values(metrics.gripper_flips(signals.gripper_unit(d, [1]), FPS, "g"))
+    assert flips(harness.gripper_chatter(f, 1, 0.0, 2.0))[1] > flips(f)[1] + 1
+    stalled = values(metrics.track_resid(harness.stalled_joint(busy, 0), metrics.track_lag(busy, [0], FPS), [0], "arm"))
+    assert stalled[1] > values(metrics.track_resid(busy, metrics.track_lag(busy, [0], FPS), [0], "arm"))[1]
+    df = spark.createDataFrame([(1, i, i, [0.0]) for i in range(40)], "episode_id long, idx int, frame_index long, action array<double>")
+    assert metrics.integrity(harness.duplicate_frame(df), FPS).first().frame_gaps == 2
