@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every u has one edge, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return not ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a + b > 1 and a > 0").take(1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that its edges reach) for every node of edges(u, v).
 
     Alternating large-star and small-star steps: every step replaces neighbours by minima, found by partial aggregation,
-    so no node's neighbourhood is ever gathered; it ends when a round changes nothing, after about log(diameter) rounds.
+    so no node's neighbourhood is ever gathered; it ends when all that is left are stars around roots, after about log(diameter) rounds.
     """
     now = stored(edges.where(F.col("u") != F.col("v")).select(F.when(F.col("u") > F.col("v"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("u") > F.col("v"), F.col("v")).otherwise(F.col("u")).alias("v")).distinct())
-    mark = None
-    while True:
-        found = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if tuple(found) == mark or not found[0]:
-            break
-        mark = tuple(found)
+    while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = stored(small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())

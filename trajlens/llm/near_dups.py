@@ -238,11 +238,12 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c", "d"), F.col("blocks")).cast("int"))
     text = text_of(F.col("text"))
     texts = docs.select(F.xxhash64("doc_id", text).alias("rk"), text.alias("text")).join(members, "rk")
-    linked = stored(link_clusters(texts.select("root", "block", "blocks", "c", "d", "text"), k, percent))
+    texts = stored(texts.select("root", "block", "blocks", "c", "d", "text"))  # of candidates only; read again below
+    linked = stored(link_clusters(texts, k, percent))
     edges = linked.where("blocks > 1").select(_node("c", "d").alias("u"), _node("lc", "ld").alias("v"))
     if not edges.take(1):
         return linked.select("c", "d", _node("lc", "ld").alias("label"))
-    texts = stored(texts.where("blocks > 1").select("root", "block", "blocks", "c", "d", "text"))
+    texts = texts.where("blocks > 1")
     others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
 
     def compare(labelled: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -263,8 +264,10 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     sized = linked.where("blocks > 1").join(now, ["c", "d"]).groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
     largest = sized.groupBy("root").agg(F.max(F.struct("k", "label")).alias("x")).select("root", F.col("x.label").alias("main"))
     outside = linked.where("blocks > 1").join(now, ["c", "d"]).join(largest, "root").where(F.col("label") != F.col("main"))
-    edges = edges.unionByName(compare(now, outside.select("c", "d")))
-    return labels(edges).unionByName(linked.where("blocks = 1").select("c", "d", _node("lc", "ld").alias("label")))
+    more = stored(compare(now, outside.select("c", "d")))
+    if more.take(1):
+        now = labels(edges.unionByName(more))
+    return now.unionByName(linked.where("blocks = 1").select("c", "d", _node("lc", "ld").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
