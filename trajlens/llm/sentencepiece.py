@@ -142,7 +142,9 @@ class Model:
             if ok is None:
                 a, b = divmod(key, width)
                 parts = ([self._text(a - 1)] if a else []) + [self._text(b)]
-                ok = known[key] = self.merged("".join(parts)) == parts
+                text = "".join(parts)
+                # two pieces that join to a piece would have been merged; only the rest needs the merging itself
+                ok = known[key] = not (a and text in self.ids) and self.merged(text) == parts
             found[n] = ok
         return found[where]
 
