@@ -111,6 +111,33 @@ def test_lm_scores(spark, docs):
     assert sum(g.score for g in held) > letters * sum(len(r.text) for r in rows if fold(r.doc_id))
 
 
+def test_rare_contexts_are_scored_too(spark, docs, monkeypatch):
+    """With a small frequent part, the scores equal those of one tree of all contexts above the minimum count."""
+    monkeypatch.setattr(lm_score, "MIN_SHARE", 0.002)
+    monkeypatch.setattr(lm_score, "MIN_COUNT", 8)
+    monkeypatch.setattr(lm_score, "FREQUENT_GRAMS", 2000)
+    few = docs.where("doc_id % 5 = 0")
+    held = lm_score.held_out(F.col("doc_id"))
+    data, starts = lm_score.stream([r.text for r in few.where(~held).collect()])
+    at = np.flatnonzero(lm_score._scored(starts, len(data)))
+    levels = []
+    for size in range(lm_score.DEPTH + 1):
+        gram = sum(data[at - j].astype(np.int64) << (8 * j) for j in range(size + 1))
+        own, n = np.unique(gram, return_counts=True)
+        context, which = np.unique(own >> 8, return_inverse=True)
+        often = (np.bincount(which, n) >= 8)[which]
+        levels.append(((own >> 8)[often], (own & 255)[often], n[often]))
+    tree = lm_score.SuffixTree(levels)
+    text = {r.doc_id: r.text for r in few.collect()}
+    got = lm_score.score(few, held).collect()
+    assert len(got) == len(text) and any(r.held_out for r in got)
+    for r in got:
+        assert r.score == pytest.approx(tree.log10([text[r.doc_id]])[0], rel=1e-5)
+    small, tables = lm_score.fit_tree(few.where(~held))
+    assert tree.retained > 2 * small.retained and 0 < len(small.grams) < 2000
+    assert 1 + sum(t.count() for t in tables.tables) == tree.retained
+
+
 def test_suffix_tree_scores_by_the_longest_state():
     text = "abab abab abab abac"
     data, starts = lm_score.stream([text])
