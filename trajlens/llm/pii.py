@@ -13,7 +13,7 @@ gathered (partial aggregation first; texts stay where they are), their surrogate
 hashed again with the next attempt number until none does. Only entities with an attempt above 0 meet the documents, in
 a join by text hash that Spark may broadcast if it is small and that shuffles otherwise.
 
-Texts without a digit, an "@", an honorific or a key word are passed by. Cases: a null text stays null, with 0 entities; null ids,
+Texts without a digit, an "@", an honorific, a key word or an access key's prefix are passed by. Cases: a null text stays null, with 0 entities; null ids,
 repeated rows and extra columns are kept as they are; very long texts are handled whole, in one pass of possessive
 patterns; an empty table gives an empty table.
 """
@@ -38,12 +38,13 @@ CARD = r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 PHONE = r"(?<![0-9A-Za-z.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 ACCESS_KEY = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|(?:ghp|gho|sk|pk|xoxb|xoxp)[_-][0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z])"
-SECRET = r"""(?<=[=:"']|[=:] )(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)["']?[ ]{0,2}[=:][ ]{0,2}["']?)[A-Za-z0-9+/_.-]{8,}+"""
+SECRET = r"""(?<=["']|[=:][ ]{0,2})(?<=(?i:password|passwd|pwd|token|secret|api_key|apikey)["']?[ ]{0,2}[=:][ ]{0,2}["']?)[A-Za-z0-9+/_.-]{8,}+"""
 #: In the order in which they are tried at a place.
 KINDS = {"name": NAME, "secret": SECRET, "email": EMAIL, "access_key": ACCESS_KEY, "iban": IBAN, "ip": IP, "ssn": SSN, "card": CARD, "phone": PHONE}
 ENTITY = "|".join(KINDS.values())
 #: Texts that fail all of these hold no entity: cheap scans before the pattern.
 HAS_DIGIT, HAS_SIGN = "[0-9@]", "[=:]"
+HAS_ACCESS_KEY = "(?:AKIA|(?:ghp|gho|sk|pk|xoxb|xoxp)[_-])[0-9A-Za-z_-]{16}"
 HAS_KEY_WORD = "(?i)(?:password|passwd|pwd|token|secret|api_?key)"
 HAS_NAME = rf"(?=[A-ZГДг])(?<![\p{{L}}])(?:{_ANY})\.? \p{{Lu}}"
 #: Parts from which names are made, by script, and how given names end, by script and gender.
@@ -119,7 +120,7 @@ def surrogate_of(kind: str, canon: str, attempt: str) -> str:
 def _with_entities(df: DataFrame) -> DataFrame:
     """df with _raw: the entities of text in order."""
     t = F.col("text")
-    maybe = F.coalesce(t.rlike(HAS_DIGIT) | t.rlike(HAS_NAME) | (t.rlike(HAS_SIGN) & t.rlike(HAS_KEY_WORD)), F.lit(False))
+    maybe = F.coalesce(t.rlike(HAS_DIGIT) | t.rlike(HAS_NAME) | (t.rlike(HAS_SIGN) & t.rlike(HAS_KEY_WORD)) | t.rlike(HAS_ACCESS_KEY), F.lit(False))
     return df.withColumn("_raw", F.when(maybe, F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))))
 
 
