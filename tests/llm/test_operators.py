@@ -92,6 +92,25 @@ def test_licenses_against_plain_search(spark):
     assert license_scan.postfix("mit or gpl-2.0 and apache-2.0")[0] == ["mit", "gpl-2.0", "apache-2.0", "and", "or"]
 
 
+def test_licenses_outside_the_families(spark):
+    tag = "SPDX-License-Identifier: "
+    want = {
+        tag + "Artistic-2.0 OR GPL-2.0-only": ("artistic-2.0,gpl", True, False),
+        tag + "Apache-2.0 AND (BSL-1.0 OR GPL-3.0)": ("apache,bsl-1.0,gpl", True, False),
+        tag + "MIT OR LicenseRef-Own": ("licenseref-own,mit", True, True),
+        "/* " + tag + "MIT */": ("mit", True, True),
+        tag + "GPL-2.0-only WITH Own-note AND MIT": ("gpl,mit", True, False),
+        tag + "Apache-2.0 AND (": ("apache", False, None),
+        tag + "MIT OR OR GPL-2.0": ("gpl,mit", False, None),
+        "License: MIT AND (Own OR GPL-2.0)": ("mit", False, None),
+        tag + "MIT AND\n" + tag + "GPL-2.0": ("gpl,mit", False, False),
+        "License: see the file": ("", None, None),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    got = license_scan.scan_licenses(df).orderBy("doc_id").collect()
+    assert [(r.labels, r.expression_ok, r.permissive) for r in got] == list(want.values())
+
+
 def test_lm_scores(spark, docs):
     rows = docs.collect()
     fold = lambda i: zlib.crc32(str(i).encode()) % 7 == 2

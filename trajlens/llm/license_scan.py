@@ -8,7 +8,8 @@ into postfix and evaluated twice: to the labels it names, and to whether the cho
 Texts stay in Arrow batches; nothing is shuffled, and memory follows the longest text. Cases: a null text is empty; a
 text without words has n_words 0 and null places; repeated rows and extra columns are no matter (only doc_id and text
 are read); an empty table gives an empty table; a malformed expression still yields the labels it names, with
-``expression_ok`` false.
+``expression_ok`` false. After an SPDX tag every well-formed identifier is an operand: outside the known families it is
+labelled by its own name and permits nothing. An operator without an operand leaves ``permissive`` null.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ FAMILIES = {
 }
 EXCEPTIONS_PERMIT = ("classpath-exception", "gcc-exception", "llvm-exception", "linking-exception")
 SEPARATORS = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPDX_TAG = TAGS[0]
+IDENTIFIER = re.compile(r"(?:documentref-[a-z0-9.-]+:)?[a-z0-9][a-z0-9.-]*\+?")
 TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
 PRECEDENCE = {"with": 3, "and": 2, "or": 1}
 SCHEMA = "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_tags long, expression_ok boolean, permissive boolean"
@@ -61,19 +64,22 @@ def family(name: str) -> tuple[str, bool] | None:
     return None
 
 
-def postfix(expression: str) -> tuple[list[str], bool]:
-    """Shunting-yard: operands and operators in postfix order, and whether the expression is well formed.
+def postfix(expression: str, any_name: bool = False) -> tuple[list[str], bool, bool]:
+    """Shunting-yard: operands and operators in postfix order, whether the expression is well formed, and whether every
+    operator has its operands.
 
-    Reading stops at the first token that is no operator, bracket or known identifier, so prose after a tag is left out.
+    Reading stops at the first token that can't continue the expression, so prose after a tag is left out. Identifiers are
+    the known ones, or with any_name all well-formed ones.
     """
     out: list[str] = []
+    whole = True
     stack: list[str] = []
     operand, ok = True, True  # operand: one is awaited
     for token in TOKEN.findall(expression):
         if token in PRECEDENCE:
-            if operand:
-                ok = False
-                break
+            if operand:  # left out; what follows is still named
+                ok = whole = False
+                continue
             while stack and stack[-1] != "(" and PRECEDENCE[stack[-1]] >= PRECEDENCE[token]:
                 out.append(stack.pop())
             stack.append(token)
@@ -83,37 +89,45 @@ def postfix(expression: str) -> tuple[list[str], bool]:
                 break
             stack.append(token)
         elif token == ")":
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack or operand:
+            if operand or "(" not in stack:
                 ok = False
                 break
+            while stack[-1] != "(":
+                out.append(stack.pop())
             stack.pop()
         else:
-            known = family(token) or (stack[-1:] == ["with"] and "exception" in token)
+            known = family(token) or (stack[-1:] == ["with"] and "exception" in token) or (any_name and IDENTIFIER.fullmatch(token))
             if not operand or not known:
                 break
             out.append(token)
             operand = False
-    if operand and stack and stack[-1] in PRECEDENCE:
-        stack.pop()
+    if operand and stack:  # the last operator and brackets after it await an operand
         ok = False
+        while stack and stack[-1] == "(":
+            stack.pop()
+        if stack:
+            stack.pop()
+            whole = False
     while stack:
         top = stack.pop()
         if top == "(":
             ok = False
         else:
             out.append(top)
-    return out, ok and bool(out)
+    return out, ok and bool(out), whole
 
 
 def evaluate(tokens: list[str]) -> tuple[set[str], bool | None]:
     """Labels that a postfix expression names, and whether it permits: OR leaves a choice, AND binds to both."""
     stack: list[tuple[set[str], bool]] = []
+    exceptions = {tokens[i - 1] for i, token in enumerate(tokens) if token == "with" and i}
     for token in tokens:
         if token not in PRECEDENCE:
             found = family(token)
-            stack.append(({found[0]}, found[1]) if found else (set(), token.startswith(EXCEPTIONS_PERMIT)))
+            if token in exceptions and not found:
+                stack.append((set(), token.startswith(EXCEPTIONS_PERMIT)))
+            else:
+                stack.append(({found[0]}, found[1]) if found else ({token}, False))
             continue
         if len(stack) < 2:
             continue
@@ -154,20 +168,22 @@ def scan(text: str, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton)
         numbers.append(seen - 1)
     if numbers:
         first, last = numbers[0], numbers[-1]
-    n_tags, ok, permissive, done = 0, None, None, -1
-    for end, _ in tags.iter(low):
+    n_tags, ok, choices, done = 0, None, [], -1
+    for end, tag in tags.iter(low):
         if end == done:  # a shorter tag that ends at the same place
             continue
         done = end
         stop = low.find("\n", end)
-        tokens, good = postfix(low[end + 1 : stop if stop >= 0 else len(low)])
+        tokens, good, whole = postfix(low[end + 1 : stop if stop >= 0 else len(low)], tag == SPDX_TAG)
         if not tokens:
             continue
         n_tags += 1
         named, may = evaluate(tokens)
         labels |= named
         ok = good if ok is None else ok and good
-        permissive = may if permissive is None else permissive and may
+        choices.append(may if whole else None)
+    # all tags bind: one that doesn't permit decides, then one that is unknown
+    permissive = False if False in choices else None if None in choices or not choices else True
     evidence = len(places) + 2 * n_tags + len(labels - base)
     return n_words, len(places), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), 1 - 0.5**evidence, n_tags, ok, permissive
 
