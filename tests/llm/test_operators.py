@@ -47,6 +47,34 @@ def test_sentencepiece_equals_the_library(spark, docs):
         assert r.decoded == texts[r.doc_id].replace("▁", " ")
 
 
+def test_sentencepiece_of_long_unspaced_texts_and_small_tables(spark, monkeypatch):
+    """A megabyte without a space, parts that never meet, and tables that must forget, all with the library's ids."""
+    sp = library.SentencePieceProcessor(model_file=sentencepiece.MODEL_PATH)
+    rng = np.random.default_rng(3)
+    big = "".join(rng.choice(list("etaoinshrdlué語"), 1_000_000))
+    texts = [big, "x" * 30_001, "ab" * 9_000 + "c", "日本語のテスト" * 2_000, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentencepiece.read_model(spark)
+    encoded = sentencepiece.encode(df, model)
+    back = {r.doc_id: r.decoded for r in sentencepiece.decode(encoded, model).collect()}
+    for r in encoded.collect():
+        t = texts[r.doc_id] or ""
+        assert r.ids == sp.encode(t) and r.decoded == t == back[r.doc_id]
+    monkeypatch.setattr(sentencepiece, "MAX_WORDS_KEPT", 40)
+    monkeypatch.setattr(sentencepiece, "PAIR_BITS", 4)
+    small = sentencepiece.Model(model)
+    for _ in range(30):
+        words = [" ".join("".join(rng.choice(list("etaoins"), 6)) for _ in range(9)) for _ in range(3)]
+        ids, offsets = small.encode(words)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == sp.encode(words)
+        assert small.decode(ids, offsets).to_pylist() == words
+    odd = [[3 + 0xE2, 3 + 0x82], [3 + 0xAC], [0, 1, 2], []]  # halves of a character in two texts
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in odd])])
+    assert small.decode(np.array(sum(odd, [])), offsets).to_pylist() == [sp.decode(x) for x in odd]
+    with pytest.raises(ValueError):
+        small.decode(np.array([10**6]), np.array([0, 1]))
+
+
 def test_unigram_viterbi_equals_the_library(docs):
     from sentencepiece import sentencepiece_model_pb2 as pb
 

@@ -9,7 +9,7 @@ A unigram model scores a path by its pieces' scores. A BPE model's segmentation
 path is admissible only if each neighbouring pair of its pieces is what merging alone makes of the two joined, and each
 first piece what merging makes of itself; exactly one path has this property (merges inside a pair depend on nothing
 outside it), it is the one the merge order yields, and its ids are those of the published algorithm. Pairs are decided
-once by merging the two pieces and kept in a bounded table.
+once by merging the two pieces and kept in a bounded table. Very long words without a cut advance in overlapping parts.
 
 Cases: a null or empty text has no ids and decodes to the empty text; a character without a piece becomes its bytes'
 pieces (or the unknown id where the model has none); word marks in a text decode to spaces, as that format has it. Ids
@@ -19,6 +19,7 @@ an empty table gives an empty table. Only models with the identity normaliser ar
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from collections.abc import Iterator
@@ -32,7 +33,8 @@ MARK = "▁"
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-MAX_WORDS_KEPT, MAX_PAIRS_KEPT, CELLS = 300_000, 2_000_000, 400_000
+MAX_WORDS_KEPT, PAIR_BITS, CELLS = 500_000, 21, 400_000
+LONG, OVERLAP, SLICE_CHARS = 2048, 256, 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,6 +86,7 @@ class Model:
         if self.type not in (UNIGRAM, BPE):
             raise ValueError("the model is neither unigram nor BPE")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER_DEFINED, UNUSED)}
+        self.score_of = {p: self.scores[i] for p, i in self.ids.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
@@ -100,9 +103,14 @@ class Model:
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.values = np.array(self.scores)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0  # of a character without a piece
-        self.out = [b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == 3 else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
+        out = [b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == 3 else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
+        self.out = np.frombuffer(b"".join(out), dtype=np.uint8)
+        self.out_starts = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        self.marked = np.array([p.startswith(MARK) for p in self.pieces])
+        self.chars = np.array([len(p) for p in self.pieces])
+        self.words: dict[str, int] = {}  # to the word's place in starts, which has one more
+        self.flat, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << PAIR_BITS, dtype=bool)
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -115,105 +123,179 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The symbols that BPE merging makes of a short text: best score first, leftmost first."""
-        symbols = list(text)
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                piece = self.ids.get(symbols[i] + symbols[i + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], i
-            if at < 0:
-                break
+        symbols, get, none = list(text), self.score_of.get, -np.inf
+        worth = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while worth and (best := max(worth)) > none:
+            at = worth.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del worth[at]
+            if at:
+                worth[at - 1] = get(symbols[at - 1] + symbols[at], none)
+            if at < len(worth):
+                worth[at] = get(symbols[at] + symbols[at + 1], none)
         return symbols
 
     def _text(self, i: int) -> str:
         return self.pieces[i] if i < len(self.pieces) else chr(i - len(self.pieces))
 
     def _admissible(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Which pairs (before: -1 at a word's start) merging leaves alone; one slot of a bounded table a pair."""
         width = len(self.pieces) + 0x110000
-        keys, where = np.unique((before + 1) * width + piece, return_inverse=True)
-        known = self.pairs
-        if len(known) > MAX_PAIRS_KEPT:
-            known.clear()
-        found = np.empty(len(keys), dtype=bool)
-        for n, key in enumerate(keys.tolist()):
-            ok = known.get(key)
-            if ok is None:
+        keys = (before + 1) * width + piece
+        slots = ((keys.astype(np.uint64) * MULTIPLIER) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        ok = self.pair_ok[slots]
+        unknown = np.flatnonzero(self.pair_keys[slots] != keys)
+        if len(unknown):
+            fresh, where = np.unique(keys[unknown], return_inverse=True)
+            said = np.empty(len(fresh), dtype=bool)
+            for n, key in enumerate(fresh.tolist()):
                 a, b = divmod(key, width)
                 parts = ([self._text(a - 1)] if a else []) + [self._text(b)]
-                text = "".join(parts)
-                # two pieces that join to a piece would have been merged; only the rest needs the merging itself
-                ok = known[key] = not (a and text in self.ids) and self.merged(text) == parts
-            found[n] = ok
-        return found[where]
+                said[n] = self.merged("".join(parts)) == parts
+            ok[unknown] = said[where]
+            self.pair_keys[slots[unknown]], self.pair_ok[slots[unknown]] = keys[unknown], ok[unknown]
+            # two pairs of one slot: the last key written must own the slot's answer
+            lost = unknown[self.pair_keys[slots[unknown]] != keys[unknown]]
+            self.pair_keys[slots[lost]] = -1
+        return ok
 
     # --- Viterbi --------------------------------------------------------------------------------------------------
 
-    def _advance(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words of one length."""
-        n, w = len(words[0]), len(words)
+    def _advance(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of one length end to end, and how many each word has.
+
+        Only substrings that are pieces take part, so memory is a few numbers for each of these, however long the words.
+        """
+        n, w, many = len(words[0]), len(words), len(self.pieces)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(w, n).astype(np.uint64)
-        found: list[np.ndarray] = []
+        sizes = min(self.longest, n)
+        is_piece = np.zeros((sizes + 1, w, n), dtype=bool)
+        hits = []
         h = np.zeros((w, n), dtype=np.uint64)
-        for size in range(1, min(self.longest, n) + 1):
+        for size in range(1, sizes + 1):
             h = h[:, : n - size + 1] * MULTIPLIER + codes[:, size - 1 :] + np.uint64(1)
-            ids = np.full(h.shape, -1, dtype=np.int64)
-            hit = self.maybe[(h >> np.uint64(44)).astype(np.int64)]
-            probe = h[hit]
-            at = np.searchsorted(self.keys, probe).clip(0, len(self.keys) - 1)
-            ids[hit] = np.where(self.keys[at] == probe, self.key_ids[at], -1)
+            row, start = np.nonzero(self.maybe[(h >> np.uint64(44)).view(np.int64)])
+            probe = h[row, start]
+            at = np.searchsorted(self.keys, probe)
+            at[at == len(self.keys)] = 0
+            real = self.keys[at] == probe
+            row, start, ids = row[real], start[real], self.key_ids[at[real]]
+            is_piece[size, row, start] = True
             if size == 1:  # a character without a piece stands for itself
-                ids = np.where(ids < 0, len(self.pieces) + codes.astype(np.int64), ids)
-            found.append(ids)
+                r, s = np.nonzero(~is_piece[1])
+                row, start, ids = np.concatenate([row, r]), np.concatenate([start, s]), np.concatenate([ids, many + codes[r, s].astype(np.int64)])
+            hits.append((row, start, ids, np.full(len(row), size)))
+        row, start, ids, size = (np.concatenate(x) for x in zip(*hits))
+        order = np.argsort(start + size, kind="stable")  # by end, shorter pieces first
+        row, start, ids, size = row[order], start[order], ids[order], size[order]
+        cuts = np.searchsorted(start + size, np.arange(1, n + 2))
         score = np.full((n + 1, w), -np.inf)
         last = np.full((n + 1, w), -1, dtype=np.int64)
         back = np.zeros((n + 1, w), dtype=np.int64)
         score[0] = 0.0
-        rows = np.arange(w)
+        worth = np.zeros(len(ids)) if self.type == BPE else np.where(ids < many, self.values[np.minimum(ids, many - 1)], self.floor)
         for end in range(1, n + 1):
-            sizes = range(1, min(self.longest, end) + 1)
-            ids = np.stack([found[size - 1][:, end - size] for size in sizes])
-            before = np.stack([last[end - size] for size in sizes])
-            total = np.stack([score[end - size] for size in sizes])
-            ok = (ids >= 0) & (total > -np.inf)
+            a, b = cuts[end - 1], cuts[end]
+            r, s, i = row[a:b], start[a:b], ids[a:b]
+            total = score[s, r] + worth[a:b]
+            ok = np.flatnonzero(total > -np.inf)
             if self.type == BPE:
-                ok[ok] = self._admissible(before[ok], ids[ok])
-            else:
-                known = ids < len(self.pieces)
-                total = total + np.where(known & (ids >= 0), self.values[np.where(known, ids, 0).clip(0)], self.floor)
-            total = np.where(ok, total, -np.inf)
-            best = total.argmax(axis=0)
-            score[end], last[end], back[end] = total[best, rows], ids[best, rows], best + 1
-        out: list[list[int]] = [[] for _ in words]
-        at = np.full(w, n)
-        while (live := np.flatnonzero(at > 0)).size:
-            piece, step = last[at[live], live], back[at[live], live]
-            for row, i in zip(live.tolist(), piece.tolist()):
-                out[row].append(i)
-            at[live] -= step
-        return [tuple(chain.from_iterable(self._final(i) for i in reversed(x))) for x in out]
-
-    def _final(self, i: int) -> tuple[int, ...]:
-        if i < len(self.pieces):
-            return (i,)
+                first = back[s[ok], r[ok]]  # where the piece before begins: two pieces that join to a piece would have been merged
+                whole = np.minimum(end - first, sizes + 1)
+                joins = (s[ok] > 0) & (whole <= sizes)
+                joins[joins] = is_piece[whole[joins], r[ok[joins]], first[joins]]
+                ok = ok[~joins]
+                ok = ok[self._admissible(last[s[ok], r[ok]], i[ok])]
+            r, s, i, total = r[ok], s[ok], i[ok], total[ok]
+            np.maximum.at(score[end], r, total)
+            best = np.flatnonzero(total == score[end, r])[::-1]  # at a tie the shortest piece is written last
+            last[end, r[best]], back[end, r[best]] = i[best], s[best]
+        steps, at, live = [], np.full(w, n), np.arange(w)
+        while len(live):
+            steps.append((live, last[at[live], live]))
+            at[live] = back[at[live], live]
+            live = live[at[live] > 0]
+        rows, found = (np.concatenate(x) for x in zip(*steps))
+        # steps run from the end: a stable sort of the reversed lists puts each word's pieces in order
+        order = np.argsort(rows[::-1], kind="stable")
+        return found[::-1][order], np.bincount(rows, minlength=w)
+
+    def _long(self, word: str) -> np.ndarray | None:
+        """Pieces of one very long word, or None where its parts don't meet.
+
+        Parts of it that overlap advance together. Where two parts that follow each other have a piece in common, the
+        one goes on as the other: all neighbouring pairs stay admissible, so it is the whole word's one path.
+        """
+        starts = list(range(0, max(1, len(word) - OVERLAP), LONG - OVERLAP))
+        parts = [word[s : s + LONG] for s in starts]
+        found: list[np.ndarray] = []
+        for group in (parts[:-1], parts[-1:]):  # all but the last have one length
+            for k in range(0, len(group), max(1, CELLS // LONG)):
+                flat, counts = self._advance(group[k : k + max(1, CELLS // LONG)])
+                found += np.split(flat, np.cumsum(counts)[:-1])
+        out, begin = [], 0  # begin: index of the first piece still to take of the present part
+        for k, own in enumerate(found):
+            if k + 1 == len(found):
+                out.append(own[begin:])
+                break
+            ends, ends_next = (s + np.cumsum(self.width(x)) for s, x in ((starts[k], own), (starts[k + 1], found[k + 1])))
+            key = np.append(starts[k], ends[:-1]) * (2 * LONG) + ends - np.append(starts[k], ends[:-1])
+            key_next = np.append(starts[k + 1], ends_next[:-1]) * (2 * LONG) + ends_next - np.append(starts[k + 1], ends_next[:-1])
+            both = np.flatnonzero(np.isin(key[begin:], key_next) & np.isin(own[begin:], found[k + 1])) + begin
+            both = both[ends[both] < starts[k] + LONG]  # the part's own end may cut a piece short
+            if not len(both):
+                return None
+            out.append(own[begin : both[0] + 1])
+            begin = int(np.flatnonzero(key_next == key[both[0]])[0]) + 1
+        return np.concatenate(out)
+
+    def width(self, ids: np.ndarray) -> np.ndarray:
+        """Characters of pieces."""
+        return np.where(ids < len(self.pieces), self.chars[np.minimum(ids, len(self.pieces) - 1)], 1)
+
+    def _final(self, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words with characters that have none put into bytes (or the unknown id)."""
+        rare = np.flatnonzero(found >= len(self.pieces))
+        if not len(rare):
+            return found, counts
         if not self.bytes:
-            return (self.unknown,)
-        return tuple(self.bytes[b] for b in chr(i - len(self.pieces)).encode("utf-8", "surrogatepass"))
-
-    def learn(self, words: set[str]) -> None:
-        """Encode words into the kept table."""
-        if len(self.words) > MAX_WORDS_KEPT:
-            self.words.clear()
+            return np.where(found < len(self.pieces), found, self.unknown), counts
+        spelled = [[self.bytes[b] for b in chr(i - len(self.pieces)).encode("utf-8", "surrogatepass")] for i in found[rare].tolist()]
+        each = np.ones(len(found), dtype=np.int64)
+        each[rare] = [len(x) for x in spelled]
+        word = np.repeat(np.arange(len(counts)), counts)
+        out = np.repeat(found, each)
+        out[np.repeat(found >= len(self.pieces), each)] = list(chain.from_iterable(spelled))
+        return out, np.bincount(word, weights=each, minlength=len(counts)).astype(np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode distinct words that the table doesn't hold, into it."""
         by_size: dict[int, list[str]] = {}
         for word in words:
-            if word not in self.words:
-                by_size.setdefault(len(word), []).append(word)
+            by_size.setdefault(len(word), []).append(word)
+        flat, counts = [self.flat], []
         for size, group in by_size.items():
-            step = max(1, CELLS // size)
-            for k in range(0, len(group), step):
-                part = group[k : k + step]
-                self.words.update(zip(part, self._advance(part)))
+            if size > 2 * LONG and self.type == BPE:
+                pieces = [self._long(x) for x in group]
+                pieces = [self._advance([x])[0] if p is None else p for x, p in zip(group, pieces)]
+                found = [(np.concatenate(pieces), np.array([len(p) for p in pieces]))]
+            else:
+                step = max(1, CELLS // size)
+                found = [self._advance(group[k : k + step]) for k in range(0, len(group), step)]
+            for f, c in found:
+                f, c = self._final(f, c)
+                flat.append(f.astype(np.int32))
+                counts.append(c)
+        for group in by_size.values():
+            self.words.update(zip(group, range(len(self.words), len(self.words) + len(group))))
+        self.flat = np.concatenate(flat)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts))]) if counts else self.starts
+
+    def forget(self) -> None:
+        """Drop the older half of the table."""
+        cut = len(self.words) // 2
+        self.words = {x: i - cut for x, i in self.words.items() if i >= cut}
+        self.flat, self.starts = self.flat[self.starts[cut] :], self.starts[cut:] - self.starts[cut]
 
     def cuts(self, text: str) -> list[str]:
         return self.cut.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
@@ -221,20 +303,48 @@ class Model:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the offsets of each text."""
         cuts = [self.cuts(t) for t in texts]
-        words = set(chain.from_iterable(cuts))
-        if len(self.words) + len(words) > MAX_WORDS_KEPT:
-            self.words.clear()
-        self.learn({w for w in words if w not in self.words})
-        get = self.words.__getitem__
-        per = [list(chain.from_iterable(map(get, c))) for c in cuts]
-        offsets = np.zeros(len(texts) + 1, dtype=np.int32)
-        np.cumsum([len(p) for p in per], out=offsets[1:])
-        return np.fromiter(chain.from_iterable(per), dtype=np.int32, count=int(offsets[-1])), offsets
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
-
+        bounds = np.concatenate([[0], np.cumsum([len(c) for c in cuts])]).astype(np.int64)
+        distinct = dict.fromkeys(chain.from_iterable(cuts))
+        fresh = [x for x in distinct if x not in self.words]
+        if fresh and self.words and len(self.words) + len(fresh) > MAX_WORDS_KEPT:
+            self.forget()
+            fresh = [x for x in distinct if x not in self.words]
+        if fresh:
+            self.learn(fresh)
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(cuts)), np.int64, count=int(bounds[-1]))
+        ids, ends = _gathered(self.flat, self.starts[at], self.starts[at + 1] - self.starts[at])
+        return ids, np.concatenate([[0], ends])[bounds].astype(np.int32)
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of ids end to end: the pieces' bytes, gathered at once."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.pieces)):
+            raise ValueError("an id is outside the vocabulary")
+        data, ends = _gathered(self.out, self.out_starts[ids], self.out_starts[ids + 1] - self.out_starts[ids])
+        ends = np.concatenate([[0], ends])[offsets]
+        if self.prefix:  # the mark that encoding puts in front goes
+            led = np.flatnonzero(offsets[1:] > offsets[:-1])
+            led = led[self.marked[ids[offsets[led]]]]
+            data = np.delete(data, ends[led])
+            ends = ends - np.searchsorted(led, np.arange(len(ends)))
+        raw = data.tobytes()
+        try:
+            raw.decode()
+        except UnicodeDecodeError:  # byte pieces that are no text become replacement characters
+            return pa.array([raw[a:b].decode("utf-8", "each_byte") for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        if (data[ends[1:-1][ends[1:-1] < len(data)]] & 0xC0 == 0x80).any():
+            return pa.array([raw[a:b].decode("utf-8", "each_byte") for a, b in zip(ends[:-1], ends[1:])], pa.string())
+        return pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw))
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start : start + size] of every start end to end, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)], ends
+
+
+#: Every byte that belongs to no character becomes one replacement character.
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 _LOADED: dict[bytes, Model] = {}
 
@@ -258,13 +368,40 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(model)
-        for big in batches:
-            for start in range(0, big.num_rows, 256):
-                batch = big.slice(start, 256)
-                ids, offsets = m.encode([t or "" for t in batch.column(1).to_pylist()])
+        for batch in batches:
+            for ids_of, texts in sliced(batch):
+                ids, offsets = m.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                decoded = [m.decode(ids[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), lists, pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([ids_of, pa.array(np.diff(offsets), pa.int64()), lists, m.decode(ids, offsets)], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>, decoded string"
     return docs.select("doc_id", docs["text"].cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Ids and texts (empty for null) of a batch, in slices of about SLICE_CHARS characters, one text at least."""
+    texts = [t or "" for t in batch.column(1).to_pylist()]
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > SLICE_CHARS:
+            yield batch.column(0).slice(start, k - start), texts[start:k]
+            start, size = k, 0
+        size += len(t)
+    if texts:
+        yield batch.column(0).slice(start), texts[start:]
+
+
+def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
+    """doc_id and decoded of every row of encoded(doc_id, ids); null ids decode to the empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model_of(model)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                own = [x or [] for x in batch.column(1).slice(k, 256).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+                ids = np.fromiter(chain.from_iterable(own), np.int64, count=int(offsets[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 256), m.decode(ids, offsets)], names=["doc_id", "decoded"])
+
+    schema = f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, decoded string"
+    return encoded.select("doc_id", encoded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, schema)
