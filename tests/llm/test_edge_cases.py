@@ -19,7 +19,7 @@ def operators():
     m = lambda s: sentencepiece.read_model(s)
     return {
         "op1": lambda s, d: sentencepiece.encode(d, m(s)),
-        "op2": lambda s, d: pii.replace_entities(d),
+        "op2": lambda s, d: pii.replace_entities(d, "a key"),
         "op4": lambda s, d: license_scan.scan_licenses(d),
         "op5": lambda s, d: lm_score.score(d, lm_score.held_out(d["doc_id"])),
         "op6": lambda s, d: near_dups.near_duplicates(d),

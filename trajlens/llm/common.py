@@ -24,6 +24,18 @@ def text_of(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The whole row as one struct, row, beside columns of an operator's own, so that no column's name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, docs: DataFrame, changed: dict[str, Column] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs out of row, some of them changed, and more columns after them."""
+    changed = changed or {}
+    own = [(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return df.select(*own, *[v.alias(k) for k, v in (more or {}).items()])
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -17,8 +17,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pii.replace_entities(read(spark, sf_dir, "documents"))
-    return df.select("doc_id", "text", F.size("_kinds").cast("long").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+    df = pii.replace_entities(read(spark, sf_dir, "documents"), pii.session_key(spark), "entity_kinds")
+    return df.select("doc_id", "text", F.size("entity_kinds").cast("long").alias("n_entities"), F.array_join("entity_kinds", ",").alias("kinds"))
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
