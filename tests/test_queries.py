@@ -35,8 +35,28 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_entry_has_rows(spark):
-    assert __spark_entry__.entry(spark).count() == 15
+    assert __spark_entry__.entry(spark).count() == 10  # one a supplier
+
+
+#: Queries whose low-pass, spectra of odd lengths or random trees SQL can't express, and where they are held to plain code.
+TESTED_OTHERWISE = {
+    "filtered_time_metrics": "test_recording.test_filtered_times_and_spans_equal_plain_loops",
+    "flagged_spans": "test_recording.test_filtered_times_and_spans_equal_plain_loops",
+    "shown_times": "test_recording.test_filtered_times_and_spans_equal_plain_loops",
+    "spectral_windows": "test_recording.test_spectra_equal_plain_loops",
+    "sparc_phase": "test_recording.test_spectra_equal_plain_loops",
+    "full_ranking": "test_recording.test_full_ranking_is_the_ranking_with_more_metrics",
+    "episode_detail": "test_recording.test_detail_thins_what_the_signals_hold",
+    "corruptions": "test_recording.test_corruptions_are_caught",
+    "ranking_outliers": "test_recording.test_outliers_of_the_feature_matrix",
+    "isolation_forest": "test_engine.test_outlier_has_the_highest_scores",
+}
 
 
 def test_every_query_without_sql_is_tested_otherwise():
-    assert set(quality.queries()) - set(ORACLE) == {"filtered_time_metrics", "isolation_forest", "spectral_windows"}
+    import importlib
+
+    assert set(quality.queries()) - set(ORACLE) == set(TESTED_OTHERWISE)
+    for place in TESTED_OTHERWISE.values():
+        module, name = place.split(".")
+        assert callable(getattr(importlib.import_module(module), name))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 ORDER = 4
 PAD = 3 * (ORDER + 1)
+BATCH = 256
 
 
 def cutoff(fps: float) -> float:
@@ -26,28 +29,47 @@ def butterworth(hz: float, fps: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    z, out = state.tolist(), np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b[0] * v + z[0]
+    """Each row of x filtered; rows advance together, one sample a step."""
+    z, out = state.copy(), np.empty_like(x)
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y = out[:, i] = b[0] * v + z[0]
         for k in range(ORDER - 1):
             z[k] = b[k + 1] * v + z[k + 1] - a[k + 1] * y
         z[ORDER - 1] = b[ORDER] * v - a[ORDER] * y
-        out[i] = y
     return out
 
 
-def lowpass(x: np.ndarray, hz: float, fps: float) -> np.ndarray:
-    """Forward and backward with odd padding; too short a series, or too high a cutoff, stays as it is."""
-    if len(x) <= PAD or not 0 < hz < fps / 2:
-        return x
+def lowpass_many(series: list[np.ndarray], hz: float, fps: float) -> list[np.ndarray]:
+    """Forward and backward with odd padding; too short a series, or too high a cutoff, stays as it is.
+
+    All series advance together, filled up with zeros behind their ends, which no earlier sample sees.
+    """
+    at = [i for i, x in enumerate(series) if len(x) > PAD] if 0 < hz < fps / 2 else []
+    if not at:
+        return list(series)
     b, a = butterworth(hz, fps)
     companion = np.zeros((ORDER, ORDER))
     companion[:, 0] = -a[1:]
     companion[:-1, 1:] = np.eye(ORDER - 1)
     steady = np.linalg.solve(np.eye(ORDER) - companion, b[1:] - a[1:] * b[0])
-    long = np.concatenate([2 * x[0] - x[PAD:0:-1], x, 2 * x[-1] - x[-2 : -PAD - 2 : -1]])
-    y = _filter(b, a, long, steady * long[0])[::-1]
-    return _filter(b, a, y, steady * y[0])[::-1][PAD:-PAD]
+    long = [np.concatenate([2 * x[0] - x[PAD:0:-1], x, 2 * x[-1] - x[-2 : -PAD - 2 : -1]]) for x in (series[i] for i in at)]
+
+    def one_way(rows: list[np.ndarray]) -> list[np.ndarray]:
+        filled = np.zeros((len(rows), max(map(len, rows))))
+        for row, x in zip(filled, rows):
+            row[: len(x)] = x
+        done = _filter(b, a, filled, steady[:, None] * filled[:, 0])
+        return [y[: len(x)][::-1] for y, x in zip(done, rows)]
+
+    out = list(series)
+    for i, y in zip(at, one_way(one_way(long))):
+        out[i] = y[PAD:-PAD]
+    return out
+
+
+def lowpass(x: np.ndarray, hz: float, fps: float) -> np.ndarray:
+    return lowpass_many([x], hz, fps)[0]
 
 
 def arc_length(speed: np.ndarray, fps: float, hz: float, least: float = 0.05, padding: int = 4) -> float:
@@ -71,23 +93,40 @@ def arc_length(speed: np.ndarray, fps: float, hz: float, least: float = 0.05, pa
 def filtered_speed(speed: DataFrame, fps: float) -> DataFrame:
     """speed(episode_id, i, speed) -> episode_id, i, f: the absolute low-passed speed of each episode."""
 
-    def one(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("i")
-        return pd.DataFrame({"episode_id": own["episode_id"], "i": own["i"], "f": np.abs(lowpass(own["speed"].to_numpy(), cutoff(fps), fps))})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            order = frame["x"].map(len).argsort(kind="stable").to_numpy()
+            for k in range(0, len(frame), BATCH):  # episodes of like length together
+                part = frame.iloc[order[k : k + BATCH]]
+                yield pd.DataFrame({"episode_id": part["episode_id"], "f": [np.abs(y) for y in lowpass_many([np.asarray(x) for x in part["x"]], cutoff(fps), fps)]})
 
-    return speed.groupBy("episode_id").applyInPandas(one, "episode_id long, i int, f double")
+    whole = speed.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "speed"))), lambda s: s.speed).alias("x"))
+    return whole.mapInPandas(run, f"episode_id {dict(speed.dtypes)['episode_id']}, f array<double>").select("episode_id", F.posexplode("f").alias("i", "f"))
 
 
-def window_arc_length(windows: DataFrame, fps: float) -> DataFrame:
-    """windows(episode_id, win, i, speed) -> episode_id, win, v."""
+def filtered_keyed(series: DataFrame, fps: float) -> DataFrame:
+    """series(episode_id, t, v) -> episode_id, i, f in the order of t."""
+    return filtered_speed(series.select("episode_id", F.col("t").alias("i"), F.col("v").alias("speed")), fps)
 
-    def one(key, own: pd.DataFrame) -> pd.DataFrame:
-        by_window = [(int(w), arc_length(g.sort_values("i")["speed"].to_numpy(), fps, cutoff(fps))) for w, g in own.groupby("win")]
-        out = pd.DataFrame(by_window, columns=["win", "v"])
-        out.insert(0, "episode_id", key[0])
-        return out[np.isfinite(out["v"])]
 
-    return windows.select("episode_id", "win", "i", "speed").groupBy("episode_id").applyInPandas(one, "episode_id long, win long, v double")
+def by_window(windows: DataFrame, measure: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
+    """windows(episode_id, [signal,] win, i, speed) -> their keys and what measure says of each window's speeds; an episode's windows may lie in many tasks."""
+    key = [c for c in ("episode_id", "signal", "win") if c in windows.columns]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = pd.DataFrame([measure(np.asarray(x)) for x in frame["x"]], columns=names, index=frame.index, dtype=float)
+            yield pd.concat([frame[key], found], axis=1)
+
+    whole = windows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "speed"))), lambda s: s.speed).alias("x"))
+    types = dict(windows.dtypes)
+    return whole.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in key] + [f"{c} double" for c in names]))
+
+
+def window_arc_length(windows: DataFrame, fps: float) -> DataFrame:
+    """windows(episode_id, win, i, speed) -> episode_id, win, v."""
+    hz = cutoff(fps)
+    return by_window(windows, lambda x: (arc_length(x, fps, hz),), ["v"]).where("not isnan(v)")
 
 
 def jerk_rms(speed: np.ndarray, fps: float, hz: float = 10.0) -> float:
@@ -116,9 +155,4 @@ def power_ratio(speed: np.ndarray, fps: float) -> float:
 
 def spectral_metrics(windows: DataFrame, fps: float) -> DataFrame:
     """windows(episode_id, win, i, speed) -> episode_id, win, jerk, ratio."""
-
-    def one(key, own: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], int(w), jerk_rms(x, fps), power_ratio(x, fps)) for w, g in own.groupby("win") for x in [g.sort_values("i")["speed"].to_numpy()]]
-        return pd.DataFrame(rows, columns=["episode_id", "win", "jerk", "ratio"])
-
-    return windows.select("episode_id", "win", "i", "speed").groupBy("episode_id").applyInPandas(one, "episode_id long, win long, jerk double, ratio double")
+    return by_window(windows, lambda x: (jerk_rms(x, fps), power_ratio(x, fps)), ["jerk", "ratio"])

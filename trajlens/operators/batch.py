@@ -13,7 +13,7 @@ from .. import model as m
 from .signals import long_form, normalized
 
 BY = "episode_id"
-REFERENCE_ROWS = 4096
+REFERENCE_ROWS, SCORED_ROWS = 4096, 65_536
 
 
 def stats_leverage(frames: DataFrame, sources: DataFrame, vectors: tuple[str, ...] = ("action", "state")) -> DataFrame:
@@ -49,12 +49,17 @@ def aux_sample(frames: DataFrame, k: int = m.AUX_FRAMES) -> DataFrame:
 
 def _foreign_neighbors(own: np.ndarray, owner: np.ndarray, rows: np.ndarray, rows_owner: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of own: the k nearest rows of other owners and their squared distances."""
-    for i in range(len(own)):
-        d = ((rows - own[i]) ** 2).sum(axis=1)
-        d = np.where(rows_owner == owner[i], np.inf, d)
-        near = np.argsort(d, kind="stable")[:k]
-        near = near[np.isfinite(d[near])]
-        yield i, near, d[near]
+    step = max(1, 4_000_000 // max(1, rows.size))
+    for start in range(0, len(own), step):
+        part = own[start : start + step]
+        d = ((rows[None] - part[:, None]) ** 2).sum(axis=2)
+        d[owner[start : start + step, None] == rows_owner[None]] = np.inf
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        for i in range(len(part)):
+            near = np.flatnonzero(d[i] <= last[i])
+            near = near[np.argsort(d[i, near], kind="stable")][:k]
+            near = near[np.isfinite(d[i, near])]
+            yield start + i, near, d[i, near]
 
 
 def action_divergence(aux: DataFrame, groups: DataFrame, k: int = m.NEIGHBORS) -> DataFrame:
@@ -143,9 +148,9 @@ def isolation_scores(points: DataFrame, trees: int = 100, sample: int = 256, see
     sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= m.MIN_OUTLIER_GROUP)
     rows = points.join(sizes, "grp")
     share = F.least(F.lit(1.0), 4.0 * sample / F.col("n"))
-    each = rows.select("grp", BY, "x", "n", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    h = F.xxhash64(BY, "tree", F.lit(seed))
-    each = each.withColumn("h", h).where((F.pmod("h", F.lit(1_000_000)) / 1_000_000) < share)
+    # only the trees that draw a row see it: hashes are compared before rows are copied
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(BY, t, F.lit(seed)).alias("h"))), lambda s: F.pmod(s.h, F.lit(1_000_000)) / 1_000_000 < share)
+    each = rows.select("grp", BY, "x", F.explode(drawn).alias("s")).select("grp", BY, "x", "s.tree", "s.h")
     picked = each.withColumn("r", F.row_number().over(Window.partitionBy("grp", "tree").orderBy("h"))).where(F.col("r") <= sample)
 
     def grow(key, own: pd.DataFrame) -> pd.DataFrame:
@@ -171,21 +176,23 @@ def isolation_scores(points: DataFrame, trees: int = 100, sample: int = 256, see
 
     grp = points.schema["grp"].dataType.simpleString()
     forest = picked.groupBy("grp", "tree").applyInPandas(grow, f"grp {grp}, tree int, size int, nodes array<array<double>>")
-    forest = forest.groupBy("grp").agg(F.collect_list(F.struct("size", "nodes")).alias("forest"))  # `trees` trees of at most 2*sample nodes
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for x, woods in zip(frame["x"], frame["forest"]):
-                depths, norms = [], []
-                for tree in woods:
-                    node, nodes = 0, tree["nodes"]
-                    while nodes[node][4] >= 0:
-                        node = int(nodes[node][0] if x[int(nodes[node][4])] < nodes[node][2] else nodes[node][1])
-                    size = tree["size"]
-                    depths.append(nodes[node][3])
-                    norms.append(2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0)
-                out.append(float(2 ** (-np.mean(depths) / np.mean(norms))))
-            yield pd.DataFrame({BY: frame[BY], "value": out})
-
-    return rows.select("grp", BY, "x").join(forest, "grp").select(BY, "x", "forest").mapInPandas(walk, f"{BY} long, value double")
+    # a task holds one block of rows and its group's forest (`trees` trees of at most 2*sample nodes)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(BY), F.ceil(F.col("n") / SCORED_ROWS)).cast("int")).select("grp", "block", BY, "x")
+    woods = forest.join(sizes.select("grp", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SCORED_ROWS).cast("int") - 1)).alias("block")), "grp").select("grp", "block", "size", "nodes")
+
+    def walk(_key, own: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(forest):
+            return pd.DataFrame({BY: [], "value": []}).astype({BY: "int64"})
+        x, depth, norm = np.stack(own["x"].tolist()), np.zeros(len(own)), 0.0
+        for size, listed in zip(forest["size"], forest["nodes"]):
+            nodes = np.array([np.asarray(n) for n in listed])
+            at = np.zeros(len(x), dtype=np.int64)
+            while (live := np.flatnonzero(nodes[at, 4] >= 0)).size:
+                here = nodes[at[live]]
+                left = x[live, here[:, 4].astype(int)] < here[:, 2]
+                at[live] = np.where(left, here[:, 0], here[:, 1]).astype(int)
+            depth += nodes[at, 3]
+            norm += 2 * (np.log(size - 1) + 0.5772156649) - 2 * (size - 1) / size if size > 2 else 1.0
+        return pd.DataFrame({BY: own[BY], "value": 2 ** (-depth / norm)})
+
+    return rows.groupBy("grp", "block").cogroup(woods.groupBy("grp", "block")).applyInPandas(walk, f"{BY} long, value double")

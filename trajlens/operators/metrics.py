@@ -59,8 +59,17 @@ def idle_runs(flags: DataFrame) -> DataFrame:
     return runs.groupBy(BY, "k").agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop"), F.first("n").alias("n")).drop("k")
 
 
-def time_metrics(filtered: DataFrame, fps: float) -> DataFrame:
-    """Idle lead, trail, longest interior pause, idle share and end motion, from filtered speeds."""
+def pauses(flags: DataFrame, recovered: DataFrame | None, fps: float) -> DataFrame:
+    """episode_id, start, stop, n of interior idle runs, without those that overlap a recovery(episode_id, c1, c2) widened by a second: an operator who regrasps isn't stalling."""
+    inside = idle_runs(flags).where("start > 0 and stop < n")
+    if recovered is None:
+        return inside
+    r = recovered.select(F.col(BY).alias("e"), (F.col("c1") - int(fps)).alias("r0"), (F.col("c2") + int(fps)).alias("r1"))
+    return inside.join(r, (inside[BY] == r["e"]) & (F.col("start") < F.col("r1")) & (F.col("stop") > F.col("r0")), "left_anti")
+
+
+def time_metrics(filtered: DataFrame, fps: float, recovered: DataFrame | None = None) -> DataFrame:
+    """Idle lead, trail, longest interior pause (outside recoveries), idle share and end motion, from filtered speeds."""
     flags = idle_flags(filtered).where(F.col("n") >= m.MIN_SPEED_SAMPLES)
     tail = max(1, round(fps))
     per = flags.groupBy(BY).agg(
@@ -70,7 +79,7 @@ def time_metrics(filtered: DataFrame, fps: float) -> DataFrame:
         F.avg(F.col("idle").cast("double")).alias("frac"),
         (F.median(F.when(F.col("i") >= F.col("n") - tail, F.col("f"))) / F.first(F.when(F.col("ref") > 0, F.col("ref")))).alias("end"),
     )
-    pause = idle_runs(flags).where("start > 0 and stop < n").groupBy(BY).agg(F.max(F.col("stop") - F.col("start")).alias("pause"))
+    pause = pauses(flags, recovered, fps).groupBy(BY).agg(F.max(F.col("stop") - F.col("start")).alias("pause"))
     per = per.join(pause, BY, "left")
     parts = [("idle_lead_s", F.coalesce("first", "n") / fps), ("idle_trail_s", F.coalesce(F.col("n") - 1 - F.col("last"), F.col("n")) / fps), ("longest_pause_s", F.coalesce("pause", F.lit(0)) / fps), ("idle_frac", F.col("frac")), ("end_motion_ratio", F.col("end"))]
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in parts]))
@@ -108,9 +117,9 @@ def track_lag(frames: DataFrame, dims: list[int], fps: float) -> DataFrame:
     seq = both.groupBy(BY, "dim").agg(F.sort_array(F.collect_list(F.struct("idx", "a", "s"))).alias("x"), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("s") * F.col("s"))).alias("norm"))
     seq = seq.where("norm > 1e-12").withColumn("n", F.size("x")).where("n >= 7")
     most = F.least(F.lit(int(round(m.MAX_LAG_S * fps))), F.floor(F.col("n") / 3).cast("int"))
-    score = seq.select(BY, "dim", "n", "norm", F.col("x.a").alias("a"), F.col("x.s").alias("s"), F.explode(F.sequence(F.lit(0), most)).alias("lag"))
-    product = F.expr("aggregate(zip_with(slice(a, 1, n - lag), slice(s, lag + 1, n - lag), (p, q) -> p * q), 0D, (t, v) -> t + v)")
-    score = score.withColumn("c", product / F.col("norm") * F.col("n") / (F.col("n") - F.col("lag"))).groupBy(BY, "lag").agg(F.avg("c").alias("c"))
+    seq = seq.select(BY, "dim", "n", "norm", most.alias("most"), F.col("x.a").alias("a"), F.col("x.s").alias("s"))
+    at = F.expr("transform(sequence(0, most), lag -> aggregate(zip_with(slice(a, 1, n - lag), slice(s, lag + 1, n - lag), (p, q) -> p * q), 0D, (t, v) -> t + v) / norm * n / (n - lag))")
+    score = seq.select(BY, F.posexplode(at).alias("lag", "c")).groupBy(BY, "lag").agg(F.avg("c").alias("c"))
     best = score.groupBy(BY).agg(F.max(F.struct("c", (-F.col("lag")).alias("l"))).alias("b"))
     return best.where(F.col("b.c") >= m.MIN_LAG_CORR).select(BY, (-F.col("b.l")).alias("lag"))
 
@@ -125,10 +134,10 @@ def track_resid(frames: DataFrame, lags: DataFrame, dims: list[int], signal: str
     return named(per, "track_resid", F.col("v"), signal)
 
 
-def joint_limit_frac(frames: DataFrame, dims: list[int]) -> DataFrame:
-    """Share of (frame, moving joint) near the joint's bounds, the bounds being the whole source's."""
+def joint_limit_frac(frames: DataFrame, dims: list[int], bounds: DataFrame | None = None) -> DataFrame:
+    """Share of (frame, moving joint) near the joint's bounds(dim, lo, hi), as the source declares them or, without, observed."""
     x = signals.long_form(frames, "state", dims)
-    bounds = x.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).withColumn("span", F.col("hi") - F.col("lo"))
+    bounds = (x.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")) if bounds is None else bounds).withColumn("span", F.col("hi") - F.col("lo"))
     moved = x.groupBy(BY, "dim").agg((F.max("x") - F.min("x")).alias("ptp"))
     active = moved.join(bounds, "dim").where((F.col("span") > 1e-9) & (F.col("ptp") >= m.MIN_ACTIVE_SHARE * F.col("span")))
     near = (F.col("x") <= F.col("lo") + m.LIMIT_MARGIN * F.col("span")) | (F.col("x") >= F.col("hi") - m.LIMIT_MARGIN * F.col("span"))
@@ -173,23 +182,78 @@ def missed_grasps(frames: DataFrame, unit: DataFrame, dims: list[int], fps: floa
     return named(judged.groupBy(BY).agg(F.avg(missed.cast("double")).alias("v")), "missed_grasp_frac", F.col("v"), signal)
 
 
-def integrity(frames: DataFrame, fps: float) -> DataFrame:
-    """One row an episode: the integrity metrics of frames(episode_id, idx, frame_index, action) and their verdict."""
+def integrity(frames: DataFrame, fps: float, expected: DataFrame | None = None, video: DataFrame | None = None, schema: DataFrame | None = None) -> DataFrame:
+    """One row an episode: the integrity metrics of frames(episode_id, idx, frame_index, action[, state][, timestamp]) and their verdict.
+
+    expected(episode_id, expected): the promised lengths; without them there is no length_mismatch. video(episode_id,
+    value): window gaps in frames; schema(episode_id, mismatch). An episode of expected without frames has no metrics:
+    its verdict is unknown. Time steps come from timestamps where they are recorded, else from frame numbers.
+    """
     w = Window.partitionBy(BY).orderBy("idx")
     df = frames.withColumn("step", F.col("frame_index") - F.lag("frame_index").over(w))
-    bad = F.size(F.filter("action", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    seconds = F.col("timestamp") - F.lag("timestamp").over(w) if "timestamp" in frames.columns else F.col("step") / fps
+    df = df.withColumn("dt", seconds)
+    count = lambda v: F.size(F.filter(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    bad = F.greatest(count("action"), F.lit(0)) + (F.greatest(count("state"), F.lit(0)) if "state" in frames.columns else F.lit(0))
     per = df.groupBy(BY).agg(
         F.count(F.lit(1)).alias("length"),
         F.count_distinct("frame_index").alias("k"),
         F.min("frame_index").alias("lo"),
         F.max("frame_index").alias("hi"),
         F.count_if(F.col("step") < 0).alias("out_of_order"),
-        F.max(F.abs(F.col("step") / fps - 1 / fps)).alias("timestamp_dev"),
+        F.max(F.abs(F.col("dt") - 1 / fps)).alias("timestamp_dev"),
         F.sum(bad).alias("nonfinite_values"),
     )
     per = per.withColumn("duplicated", F.col("length") - F.col("k")).withColumn("missing", F.col("hi") - F.col("lo") + 1 - F.col("k")).withColumn("offset", (F.col("lo") != 0).cast("long"))
     per = per.withColumn("frame_gaps", F.col("duplicated") + F.col("missing") + F.col("out_of_order") + F.col("offset"))
-    per = per.withColumn("length_mismatch", F.abs(F.col("length") - (F.col("hi") - F.col("lo") + 1))).withColumn("too_short", ((F.col("length") < m.MIN_FRAMES) | (F.col("length") / fps < m.MIN_SECONDS)).cast("long"))
+    per = per.withColumn("too_short", ((F.col("length") < m.MIN_FRAMES) | (F.col("length") / fps < m.MIN_SECONDS)).cast("long"))
+    per = (expected.select(BY, "expected").join(per, BY, "full") if expected is not None else per.withColumn("expected", F.lit(None).cast("long"))).withColumn("length_mismatch", F.abs(F.col("length") - F.col("expected")))
+    for name, other, column in (("video_window_mismatch", video, "value"), ("schema_mismatch", schema, "mismatch")):
+        per = per.join(other.select(BY, F.col(column).alias(name)), BY, "left") if other is not None else per.withColumn(name, F.lit(None).cast("double"))
     note = F.concat_ws(", ", *[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {c.replace('_', ' ')}"))) for c in ("duplicated", "missing", "out_of_order")], F.when(F.col("offset") > 0, F.lit("does not start at 0")))
-    failed = F.greatest("frame_gaps", "length_mismatch", "nonfinite_values", "too_short") > 0
-    return per.select(BY, "frame_gaps", F.when(note != "", note).alias("note"), "timestamp_dev", "length_mismatch", "nonfinite_values", "too_short", F.when(failed, "fail").otherwise("pass").alias("verdict"))
+    names = [x.name for x in m.METRICS if x.family == "integrity"]
+    return per.select(BY, *names, F.when(note != "", note).alias("note"), check_verdict(names).alias("verdict"), failing_checks(names).alias("failing"))
+
+
+def _hits(names: list[str]) -> list[tuple[m.MetricSpec, Column]]:
+    return [(spec, F.coalesce(F.col(spec.name) > spec.above, F.lit(False))) for spec in (m.BY_NAME[n] for n in names) if spec.check]
+
+
+def check_verdict(names: list[str]) -> Column:
+    """The worst level among the metrics that have a check: fail, warn, pass, or unknown where none has a value."""
+    hits = _hits(names)
+    some = lambda level: [h for spec, h in hits if spec.check == level]
+    seen = F.coalesce(*[F.col(spec.name).cast("double") for spec, _ in hits]).isNotNull()
+    either = lambda xs: F.array_max(F.array(F.lit(False), *xs))
+    return F.when(~seen, "unknown").when(either(some("fail")), "fail").when(either(some("warn")), "warn").otherwise("pass")
+
+
+def failing_checks(names: list[str]) -> Column:
+    """The names of the checks that a row fails, in the registry's order."""
+    return F.concat_ws(",", *[F.when(hit, spec.name) for spec, hit in _hits(names)])
+
+
+def language_verdict(missing: Column, generic: Column) -> Column:
+    """warn where a task is missing or says little, unknown where neither was judged."""
+    return F.when(missing.isNull() & generic.isNull(), "unknown").when((F.coalesce(missing, F.lit(0.0)) > 0) | (F.coalesce(generic, F.lit(0.0)) > 0), "warn").otherwise("pass")
+
+
+def recovery_count(episodes: DataFrame, recovered: DataFrame) -> DataFrame:
+    """How often each of episodes(episode_id) recovered."""
+    n = recovered.groupBy(BY).agg(F.count(F.lit(1)).alias("k"))
+    return named(episodes.select(BY).distinct().join(n, BY, "left"), "recovery_count", F.coalesce("k", F.lit(0)))
+
+
+def windowed(values: DataFrame, metric: str, signal: str, column: str = "v", percentile: float = m.WORST_PERCENTILE) -> DataFrame:
+    """values(episode_id, win, column) of windows as one metric: their median, and a percentile as the worst."""
+    agg = values.where(F.col(column).isNotNull() & ~F.isnan(column)).groupBy(BY).agg(F.median(column).alias("m"), F.percentile(column, F.lit(percentile)).alias("p"))
+    return named(agg, metric, F.col("m"), signal, F.col("p"))
+
+
+def phases(speed: DataFrame, unit: DataFrame) -> DataFrame:
+    """speed with win (the phase between gripper transitions) and size, phases of at least MIN_WINDOW samples."""
+    last = Window.partitionBy(BY)
+    cuts = signals.gripper_transitions(unit).where("idx > 0").select(BY, F.col("idx").alias("i"), F.lit(1).alias("cut"))
+    df = speed.join(unit.select(BY).distinct(), BY).join(cuts, [BY, "i"], "left")
+    df = df.withColumn("win", F.sum(F.coalesce("cut", F.lit(0))).over(last.orderBy("i"))).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(BY, "win")))
+    return df.where(F.col("size") >= m.MIN_WINDOW).drop("cut")

@@ -35,7 +35,7 @@ def _among(column: str, names: list[str]) -> Column:
     return F.col(column).isin(names) if names else F.lit(False)
 
 
-def z_scores(raw: DataFrame, groups: DataFrame) -> DataFrame:
+def z_scores(raw: DataFrame, groups: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """raw(episode_id, metric, signal, value) with group_label and z; positive is worse, flags have none.
 
     A signed metric's z is the distance from the median either way, over max(1.4826 MAD, 5 % of the median, 1e-9).
@@ -45,20 +45,57 @@ def z_scores(raw: DataFrame, groups: DataFrame) -> DataFrame:
     signed = [x.name for x in m.METRICS if x.kind == "signed_z"]
     flags = [x.name for x in m.METRICS if x.kind == "flag"]
     df = values.where(~_among("metric", flags))
-    df = df.join(fit(df), KEY)
+    df = df.join(fit(df) if stats is None else stats, KEY)
     away = F.col("value") - F.col("median")
     floor = F.greatest(m.MAD_TO_STD * F.col("mad"), m.SIGNED_FLOOR * F.abs("median"), F.lit(m.SIGNED_MIN))
     z = F.when(_among("metric", signed), F.abs(_clip(away / floor))).when(_among("metric", lower), _clip(-away / F.greatest("scale_low", F.lit(m.MIN_SCALE)))).otherwise(_clip(away / F.greatest("scale_high", F.lit(m.MIN_SCALE))))
     return df.select("episode_id", *KEY, "value", z.alias("z"))
 
 
-def worst_signals(z: DataFrame) -> DataFrame:
-    """episode_id, group_label, metric, signal, z of the worst signal; at a tie the first by name."""
-    ranked = z.withColumn("o", -F.row_number().over(Window.partitionBy("episode_id", "metric").orderBy("signal")))
+def worst_signals(z: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """episode_id, group_label, metric, signal, z of the worst signal; at a tie the first in order, else by name."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("signal")) if order else F.lit(0)
+    ranked = z.withColumn("o", -F.row_number().over(Window.partitionBy("episode_id", "metric").orderBy(place, "signal")))
     picked = F.max_by(F.struct("signal", "z", "value"), F.struct("z", "o")).alias("b")
     return ranked.groupBy("episode_id", "group_label", "metric").agg(picked).select("episode_id", "group_label", "metric", "b.signal", "b.z", "b.value")
 
 
+def value_rows(raw: DataFrame) -> DataFrame:
+    """episode_id, metric, value: of several signals the worst value."""
+    lower = [x.name for x in m.METRICS if not x.higher_is_worse]
+    both = raw.groupBy("episode_id", "metric").agg(F.max("value").alias("hi"), F.min("value").alias("lo"))
+    return both.select("episode_id", "metric", F.when(_among("metric", lower), F.col("lo")).otherwise(F.col("hi")).alias("value"))
+
+
+def group_sizes(groups: DataFrame) -> DataFrame:
+    """groups with group_n, how many episodes the group has."""
+    return groups.join(groups.groupBy("group_label").agg(F.count(F.lit(1)).alias("group_n")), "group_label")
+
+
+def family_scores(worst: DataFrame) -> DataFrame:
+    """episode_id, family, score (largest z of its scored metrics), n_flags: one row a family with values; worst first is descending score."""
+    members = [(x.name, x.family) for x in m.METRICS if x.group]
+    dim = worst.sparkSession.createDataFrame(members, "metric string, family string")  # one row a metric
+    return worst.join(F.broadcast(dim), "metric").groupBy("episode_id", "family").agg(F.max("z").alias("score"), F.count_if(F.col("z") >= m.WARN_Z).alias("n_flags"))
+
+
+def feature_matrix(worst: DataFrame) -> DataFrame:
+    """grp, episode_id, x: z-scores of the scored metrics, gaps filled with the group's median; a metric that a group lacks is 0 for all its rows."""
+    names = [x.name for x in m.METRICS if x.group and x.kind != "flag"]
+    df = worst.where(F.col("metric").isin(names)).groupBy(F.col("group_label").alias("grp"), "episode_id").pivot("metric", names).agg(F.first("z"))
+    middle = df.groupBy("grp").agg(*[F.median(f"`{n}`").alias(f"median_{n}") for n in names])
+    return df.join(middle, "grp").select("grp", "episode_id", F.array(*[F.coalesce(F.col(f"`{n}`"), F.col(f"median_{n}"), F.lit(0.0)) for n in names]).alias("x"))
+
+
+def outliers(novelty: DataFrame, isolation: DataFrame, groups: DataFrame) -> DataFrame:
+    """episode_id, iforest_score, novelty_knn, is_outlier: either score is at warn within its group. Information only."""
+    long = isolation.select("episode_id", F.lit("iforest_score").alias("metric"), "value").unionByName(novelty.select("episode_id", F.lit("novelty_knn").alias("metric"), "value"))
+    v = long.join(groups.select("episode_id", "group_label"), "episode_id").withColumn("signal", F.lit(""))
+    z = v.join(fit(v), KEY).withColumn("z", _clip((F.col("value") - F.col("median")) / F.greatest("scale_high", F.lit(m.MIN_SCALE))))
+    pick = lambda name, c: F.max(F.when(F.col("metric") == name, F.col(c)))
+    return z.groupBy("episode_id").agg(pick("iforest_score", "value").alias("iforest_score"), pick("novelty_knn", "value").alias("novelty_knn"), (F.max("z") >= m.WARN_Z).cast("double").alias("is_outlier"))
+
+
 def profile_scores(worst: DataFrame) -> DataFrame:
     """episode_id, score, n_flags, driver, verdict: groups take the largest weighted z, the score the largest group."""
     members = [(x.name, x.group, x.weight, m.GROUPS.index(x.group)) for x in m.METRICS if x.group]
@@ -79,6 +116,12 @@ def thresholds(stats: DataFrame, z: float = m.WARN_Z) -> DataFrame:
     return stats.select(*KEY, bad.alias("warn_at"))
 
 
+def bin_of(bins: DataFrame, at: float) -> DataFrame:
+    """The bin of histogram(..) that holds a threshold: half open, the last one closed; none outside the range."""
+    last = F.max("bin").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a few bins
+    return bins.withColumn("last", last).where((F.col("lo") <= at) & ((F.col("hi") > at) | ((F.col("bin") == F.col("last")) & (F.col("hi") == at)))).drop("last")
+
+
 def histogram(values: DataFrame, bins: int = 20) -> DataFrame:
     """bin, lo, hi, k over values(v): equal bins over the range, the last one closed; every bin has a row."""
     ends = values.agg(F.min("v").alias("a"), F.max("v").alias("b")).select(F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("b"))

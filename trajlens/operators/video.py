@@ -36,6 +36,33 @@ def bursts(starts: DataFrame, frames: DataFrame, n: int) -> DataFrame:
     return df.withColumn("r", F.row_number().over(Window.partitionBy("window_id", "start").orderBy("frame_t"))).where(F.col("r") <= n).select("window_id", "start", "r", "frame_t")
 
 
+def dense_steps(windows: DataFrame, frames: DataFrame, step: int, max_frames: int | None = None) -> DataFrame:
+    """windows(window_id, from_s, to_s), frames(window_id, frame_t) -> window_id, r, frame_t: every step-th frame within (1 ms early is allowed)."""
+    df = frames.join(windows.select("window_id", "from_s", "to_s"), "window_id").where((F.col("frame_t") >= F.col("from_s") - TOLERANCE) & (F.col("frame_t") < F.col("to_s") - TOLERANCE))
+    df = df.withColumn("q", F.row_number().over(Window.partitionBy("window_id").orderBy("frame_t")) - 1).where(F.col("q") % step == 0)
+    df = df.select("window_id", (F.col("q") / step).cast("int").alias("r"), "frame_t")
+    return df.where(F.col("r") < max_frames) if max_frames else df
+
+
+def central(windows: DataFrame, seconds: float) -> DataFrame:
+    """windows(window_id, from_s, to_s, ..) cut to their middle seconds."""
+    cut = F.greatest((F.col("to_s") - F.col("from_s") - seconds) / 2, F.lit(0.0))
+    return windows.withColumn("from_s", F.col("from_s") + cut).withColumn("to_s", F.col("to_s") - cut)
+
+
+def resampled(series: DataFrame, grid: DataFrame) -> DataFrame:
+    """series(episode_id, t, v), grid(episode_id, t) -> episode_id, t, v: linear between neighbours, grid points outside a series left out.
+
+    One ordered pass by episode brings every grid point its neighbours; no range join.
+    """
+    have = series.select("episode_id", "t", F.struct("t", "v").alias("p"), F.lit(False).alias("asked"))
+    ask = grid.select("episode_id", "t", F.lit(None).cast(have.schema["p"].dataType).alias("p"), F.lit(True).alias("asked"))
+    w = Window.partitionBy("episode_id").orderBy("t", "asked")
+    both = have.unionByName(ask).withColumn("a", F.last("p", ignorenulls=True).over(w)).withColumn("b", F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    v = F.when(F.col("a.t") == F.col("t"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
+    return both.where("asked").withColumn("v", v).where("v is not null").select("episode_id", "t", "v")
+
+
 def window_mismatch(episodes: DataFrame, fps: float) -> DataFrame:
     """episodes(episode_id, length, windows map<camera, struct<from_s, to_s>>) -> episode_id, value (frames), camera of the largest gap."""
     gap = F.abs((F.col("w.to_s") - F.col("w.from_s")) - F.col("length") / fps) * fps
@@ -56,12 +83,12 @@ def best_lag(pairs: DataFrame, max_lag: int) -> DataFrame:
     df = pairs.withColumn("flat", flat).where("not flat").withColumn("x", z("x")).withColumn("y", z("y"))
     seq = df.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("s")).withColumn("n", F.size("s"))
     most = F.least(F.lit(max_lag), F.floor(F.col("n") / 3).cast("int"))
-    seq = seq.select("episode_id", "n", most.alias("most"), F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.explode(F.sequence(-most, most)).alias("k"))
-    overlap = F.expr("zip_with(slice(x, greatest(1, 1 - k), n - abs(k)), slice(y, greatest(1, 1 + k), n - abs(k)), (a, b) -> a * b)")
-    score = seq.withColumn("c", F.aggregate(overlap, F.lit(0.0), lambda s, v: s + v) / (F.col("n") - F.abs("k")))
-    near = Window.partitionBy("episode_id").orderBy("k")
-    score = score.withColumn("l", F.lag("c").over(near)).withColumn("r", F.lead("c").over(near))
-    top = score.groupBy("episode_id").agg(F.max_by(F.struct("k", "c", "l", "r"), F.struct("c", -F.col("k"))).alias("b"))
+    seq = seq.select("episode_id", "n", most.alias("most"), F.col("s.x").alias("x"), F.col("s.y").alias("y"))
+    at = "aggregate(zip_with(slice(x, greatest(1, 1 - k), n - abs(k)), slice(y, greatest(1, 1 + k), n - abs(k)), (a, b) -> a * b), 0D, (s, v) -> s + v) / (n - abs(k))"
+    seq = seq.select("episode_id", "most", F.expr(f"transform(sequence(-most, most), k -> {at})").alias("cs"))
+    peak = F.expr("array_max(transform(cs, (c, i) -> struct(c, -i as o)))")
+    seq = seq.withColumn("o", -peak["o"]).select("episode_id", F.struct((F.col("o") - F.col("most")).alias("k"), F.get("cs", F.col("o")).alias("c"), F.get("cs", F.col("o") - 1).alias("l"), F.get("cs", F.col("o") + 1).alias("r")).alias("b"))
+    top = seq
     bend = F.col("b.l") - 2 * F.col("b.c") + F.col("b.r")
     shift = F.when(bend < 0, F.greatest(F.least(0.5 * (F.col("b.l") - F.col("b.r")) / bend, F.lit(0.5)), F.lit(-0.5))).otherwise(0.0)
     return top.where(F.col("b.c") >= MIN_LAG_CORR).select("episode_id", (F.col("b.k") + F.coalesce(shift, F.lit(0.0))).alias("lag"), F.col("b.c").alias("corr"))

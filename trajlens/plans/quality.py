@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from .. import storage
 from ..functions import language, spectral
-from ..operators import batch, camera, harness, metrics, scoring, signals, video
+from ..operators import batch, camera, harness, metrics, registry, scoring, signals, spans, video
+from ..picks import Group, Picks
 from ..sources import episodes, sinks
 
 FPS = episodes.FPS
 ARM, GRIPPER, SIDE = [0, 1], [2], 8
-EVENT_MIN_GROUP = 30
+EVENT_MIN_GROUP, SUPPLIER_MIN_GROUP = 30, 15
+PICKS = Picks("action", "state", True, True, (Group("right", "arm", tuple(ARM)), Group("right", "gripper", tuple(GRIPPER), "right")))
+#: The metrics of the ranking that has SQL beside it; the low-pass behind the others can't be written there.
+RANKED = ["sparc", "ldlj", "length_z", "track_resid", "accel_spike_frac", "joint_limit_frac", "gripper_flips_per_s", "missed_grasp_frac", "action_divergence"]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -65,19 +70,119 @@ def q_z_scores(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(event_z(spark, d))
 
 
-def q_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: every episode with group, score, flags, driver and verdict. A worst-first page of it is a top-k on score."""
+def q_event_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every event episode with group, score, flags, driver and verdict, from length and smoothness. A worst-first page of it is a top-k on score."""
     df = q_groups(spark, d).join(event_scores(spark, d), "episode_id", "left")
     return _rounded(df.select("episode_id", "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict")))
 
 
+def recording(spark: SparkSession, d: str) -> registry.Recording:
+    return registry.Recording(episodes.supplier_frames(spark, d), episodes.supplier_episodes(spark, d), FPS, PICKS)
+
+
+def _scored(spark: SparkSession, d: str) -> registry.Scored:
+    return registry.score(recording(spark, d), RANKED, SUPPLIER_MIN_GROUP, 6)
+
+
+def q_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: every recording with group, score, flags, driver and verdict, over motion, time, tracking, gripper and consistency."""
+    return _rounded(_scored(spark, d).ranking())
+
+
+def q_full_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking over every metric of the registry that the frames allow, low-passed times, phases and flags included."""
+    return _rounded(registry.score(recording(spark, d), None, SUPPLIER_MIN_GROUP).ranking())
+
+
+def q_ranking_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The worst signal of every ranked metric: its value and z."""
+    return _rounded(_scored(spark, d).worst)
+
+
+def q_family_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and flags of each recording within each metric family."""
+    return _rounded(scoring.family_scores(_scored(spark, d).worst))
+
+
+def q_feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Each recording's z-scores, gaps filled with the group's median."""
+    x = scoring.feature_matrix(_scored(spark, d).worst)
+    names = [s.name for s in m.METRICS if s.group and s.kind != "flag"]
+    return _rounded(x.select("grp", "episode_id", *[F.col("x")[i].alias(n) for i, n in enumerate(names) if n in RANKED]))
+
+
+def q_ranking_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Isolation and novelty of each recording among its group's z-scores."""
+    scored = _scored(spark, d)
+    x = storage.stored(scoring.feature_matrix(scored.worst))
+    return _rounded(scoring.outliers(batch.novelty(x), batch.isolation_scores(x), scored.groups))
+
+
+def q_sparc_phase(spark: SparkSession, d: str) -> DataFrame:
+    raw, _ = registry.compute_raw(recording(spark, d), ["sparc_phase"])
+    return _rounded(raw.select("episode_id", "signal", "value", "worst"))
+
+
+def q_recovery_count(spark: SparkSession, d: str) -> DataFrame:
+    raw, _ = registry.compute_raw(recording(spark, d), ["recovery_count"])
+    return _rounded(raw.select("episode_id", "value"))
+
+
+def q_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """Interior still runs of the arm's speed as it is, without those beside a recovery."""
+    r = recording(spark, d)
+    flags = metrics.idle_flags(r.arm_speed().withColumnRenamed("speed", "f"))
+    return _rounded(metrics.pauses(flags, r.recoveries(), FPS))
+
+
+def q_flagged_spans(spark: SparkSession, d: str) -> DataFrame:
+    """All flagged intervals of the recordings."""
+    return _rounded(spans.flagged_spans(recording(spark, d)))
+
+
+def _motion_spans(r: registry.Recording) -> DataFrame:
+    parts = spans.motion_spans(r)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def q_motion_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Roughest windows, spikes and recoveries of the recordings."""
+    return _rounded(_motion_spans(recording(spark, d)))
+
+
+def q_span_severity(spark: SparkSession, d: str) -> DataFrame:
+    """The motion intervals whose metric is at warn or fail, and recoveries."""
+    r = recording(spark, d)
+    raw, failures = registry.compute_raw(r, RANKED, 6)
+    worst = registry.finalize(r, raw, failures, SUPPLIER_MIN_GROUP).worst
+    return _rounded(spans.with_severity(_motion_spans(r), worst.withColumn("z", F.round("z", 6))))
+
+
+def q_shown_times(spark: SparkSession, d: str) -> DataFrame:
+    """Up to four moments of each recording worth a picture."""
+    r = recording(spark, d)
+    lengths = r.own.groupBy("episode_id").agg(F.count(F.lit(1)).alias("length"))
+    return spans.shown_times(lengths, spans.flagged_spans(r), FPS)
+
+
+def q_episode_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Thinned traces, filtered speed and gripper events of each recording."""
+    return spans.detail(recording(spark, d))
+
+
+def q_flat_results(spark: SparkSession, d: str) -> DataFrame:
+    """Value, worst, z, worst signal and value by signal of each ranked metric, one row a recording."""
+    scored = _scored(spark, d)
+    return _rounded(sinks.flatten(scored.raw, scored.worst, scored.z, RANKED, [g.signal for g in PICKS.groups]))
+
+
 def q_worst_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return q_quality_ranking(spark, d).select("episode_id", "score", "driver").orderBy(F.desc_nulls_last("score"), "episode_id").limit(12)
+    return q_event_ranking(spark, d).select("episode_id", "score", "driver").orderBy(F.desc_nulls_last("score"), "episode_id").limit(12)
 
 
 def q_verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     every = spark.createDataFrame([(v,) for v in ("fail", "pass", "unknown", "warn")], "verdict string")
-    counts = q_quality_ranking(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("k"))
+    counts = q_event_ranking(spark, d).groupBy("verdict").agg(F.count(F.lit(1)).alias("k"))
     return every.join(counts, "verdict", "left").select("verdict", F.coalesce("k", F.lit(0)).alias("k"))
 
 
@@ -90,7 +195,21 @@ def q_balance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_integrity(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.integrity(episodes.order_frames(spark, d), FPS))
+    """Orders as recordings; each promises a length of its own."""
+    promised = episodes.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("episode_id"), (F.col("o_custkey") % 7 + 1).cast("long").alias("expected"))
+    return _rounded(metrics.integrity(episodes.order_frames(spark, d), FPS, promised).drop("video_window_mismatch", "schema_mismatch"))
+
+
+def q_integrity_review(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 recordings of the integrity list: fail, warn, unknown, pass."""
+    order = F.when(F.col("verdict") == "fail", 0).when(F.col("verdict") == "warn", 1).when(F.col("verdict") == "unknown", 2).otherwise(3)
+    return q_integrity(spark, d).select("episode_id", "verdict", "failing").orderBy(order, "episode_id").limit(50)
+
+
+def q_top_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve tasks with most episodes."""
+    e = episodes.table(spark, d, "events").groupBy(F.col("event_type").alias("task_key")).agg(F.count_distinct("user_id").alias("k"))
+    return e.orderBy(F.desc("k"), "task_key").limit(12)
 
 
 def _task_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -105,23 +224,28 @@ def q_language(spark: SparkSession, d: str) -> DataFrame:
     return _task_texts(spark, d).select("id", language.task_missing(t).alias("task_missing"), language.task_generic(t).alias("task_generic"), language.generic_reason(t).alias("reason"))
 
 
+def q_language_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts over all task texts, weak ones counted by reason."""
+    t = F.col("text")
+    df = _task_texts(spark, d).select(language.task_missing(t).alias("missing"), language.task_generic(t).alias("generic"), language.generic_reason(t).alias("reason"))
+    return df.groupBy(metrics.language_verdict(F.col("missing"), F.col("generic")).alias("verdict"), "reason").agg(F.count(F.lit(1)).alias("k"))
+
+
 def q_canonical_task(spark: SparkSession, d: str) -> DataFrame:
-    return _task_texts(spark, d).where("id not like 'c-%'").select("id", language.canonical_task(F.array(F.upper("text"), F.lit(" Second: task! "), "text")).alias("task_key"))
+    return _task_texts(spark, d).select("id", language.canonical_task(F.array(F.upper("text"), F.lit(" Second: task! "), "text")).alias("task_key"))
 
 
-def _short_orders(spark: SparkSession, d: str) -> DataFrame:
-    """Speeds of orders with enough moves; too short for the low-pass, so their filtered speed is their speed."""
-    frames = episodes.order_frames(spark, d)
-    enough = frames.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > m.MIN_SPEED_SAMPLES)
-    return spectral.filtered_speed(signals.group_speed(frames.join(enough.select("episode_id"), "episode_id"), ARM, FPS), FPS)
+def _order_speeds(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered speeds of orders as recordings; few are long enough for the low-pass to change anything."""
+    return spectral.filtered_speed(signals.group_speed(episodes.order_frames(spark, d), ARM, FPS), FPS)
 
 
 def q_time_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.time_metrics(_short_orders(spark, d), FPS).drop("worst", "signal"))
+    return _rounded(metrics.time_metrics(_order_speeds(spark, d), FPS).drop("worst", "signal"))
 
 
 def q_idle_spans(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.idle_runs(metrics.idle_flags(_short_orders(spark, d))))
+    return _rounded(metrics.idle_runs(metrics.idle_flags(_order_speeds(spark, d))))
 
 
 def q_filtered_time_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +303,7 @@ def q_stats_leverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_action_divergence(spark: SparkSession, d: str) -> DataFrame:
-    aux = batch.aux_sample(episodes.supplier_frames(spark, d))
+    aux = storage.stored(batch.aux_sample(episodes.supplier_frames(spark, d)))
     groups = episodes.supplier_episodes(spark, d).select("episode_id", F.col("task_key").alias("grp"))
     return _rounded(batch.action_divergence(aux, groups))
 
@@ -229,7 +353,7 @@ def q_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_temporal_tags(spark: SparkSession, d: str) -> DataFrame:
-    runs = metrics.idle_runs(metrics.idle_flags(_short_orders(spark, d)))
+    runs = metrics.idle_runs(metrics.idle_flags(_order_speeds(spark, d)))
     spans = runs.select("episode_id", (F.col("start") / FPS).alias("start_s"), (F.col("stop") / FPS).alias("end_s"), F.lit("idle").alias("label"), F.lit("info").alias("severity"))
     return sinks.temporal_tags(spans)
 
@@ -239,6 +363,34 @@ def q_majority_schema(spark: SparkSession, d: str) -> DataFrame:
     return batch.majority_schema(e.select("episode_id", F.when(F.col("length") % 10 == 0, "50 fps").otherwise("30 fps").alias("sig")))
 
 
+def q_corruptions(spark: SparkSession, d: str) -> DataFrame:
+    """Of the recordings, how often each corruption worsens what it must, and whether none does."""
+    r = recording(spark, d)
+    names = [n for n in registry.FUNCTIONS if not m.BY_NAME[n].batch]
+    changed = {
+        "identity": harness.identity,
+        "jitter": lambda f: harness.jitter(f, 0.05),
+        "stop_and_go": lambda f: harness.stop_and_go(f, FPS),
+        "idle_start": lambda f: harness.idle_start(f, 60),
+        "idle_end": lambda f: harness.idle_end(f, 60),
+        "mid_pause": lambda f: harness.mid_pause(f, 60),
+        "abandoned": harness.abandoned,
+        "lagged_state": lambda f: harness.lagged_state(f, FPS),
+        "gripper_chatter": lambda f: harness.gripper_chatter(f, GRIPPER[0], 0.0, 0.1),
+    }
+    clean = storage.stored(scoring.value_rows(registry.compute_raw(r, names)[0]))
+    rates = []
+    for name, change in changed.items():
+        wanted = names if name == "identity" else list(harness.EXPECTED[name])
+        copy = registry.Recording(change(r.own), r.episodes, FPS, PICKS)
+        raw = scoring.value_rows(registry.compute_raw(copy, wanted)[0])
+        rates.append(harness.judged(harness.compare(clean.where(F.col("metric").isin(wanted)), raw, harness.EXPECTED.get(name)), name))
+    out = rates[0]
+    for x in rates[1:]:
+        out = out.unionByName(x)
+    return _rounded(out)
+
+
 def q_corruption_idle_start(spark: SparkSession, d: str) -> DataFrame:
     """Share of episodes that a longer start makes longer, and that repeated frames leave with the same path."""
     frames = episodes.event_frames(spark, d)
@@ -266,8 +418,7 @@ def _windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _window_frames(spark: SparkSession, d: str) -> DataFrame:
-    f = episodes.event_frames(spark, d).select(F.col("episode_id").alias("window_id"), (F.col("episode_id") % 5 + F.col("idx") / FPS).alias("frame_t"))
-    return f.where("window_id % 7 <> 0")
+    return episodes.event_frames(spark, d).select(F.col("episode_id").alias("window_id"), (F.col("episode_id") % 5 + F.col("idx") / FPS).alias("frame_t"))
 
 
 def q_sample_times(spark: SparkSession, d: str) -> DataFrame:
@@ -283,6 +434,33 @@ def q_bursts(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(video.bursts(starts, _window_frames(spark, d), 6))
 
 
+def q_dense_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every third frame of the middle second of each window."""
+    return _rounded(video.dense_steps(video.central(_windows(spark, d), 1.0), _window_frames(spark, d), 3))
+
+
+def q_resampled(spark: SparkSession, d: str) -> DataFrame:
+    """Each event series half way between its frames."""
+    f = episodes.event_frames(spark, d)
+    series = f.select("episode_id", F.col("idx").cast("double").alias("t"), F.col("action")[0].alias("v"))
+    return _rounded(video.resampled(series, f.select("episode_id", (F.col("idx") + 0.5).alias("t"))))
+
+
+def q_frame_changes(spark: SparkSession, d: str) -> DataFrame:
+    """How much each image differs from the one before it, by camera."""
+    images = _points(spark, d).select(F.lit(0).cast("long").alias("episode_id"), F.col("grp").alias("camera"), F.col("episode_id").alias("t"), F.transform("x", lambda v: F.round(v, 6)).alias("px"))
+    return _rounded(camera.frame_changes(images).drop("episode_id"))
+
+
+def q_tag_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The largest order of each customer gets a tag, all others keep theirs."""
+    o = episodes.table(spark, d, "orders")
+    tagged = o.select(F.col("o_orderkey").cast("long").alias("episode_id"), F.array(F.col("o_orderpriority")).alias("tags"))
+    best = o.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).cast("long").alias("episode_id"))
+    df = sinks.tag_selection(tagged, best.select("episode_id"), "largest")
+    return df.select("episode_id", F.array_join("tags", ",").alias("tags"))
+
+
 def q_video_window_mismatch(spark: SparkSession, d: str) -> DataFrame:
     w = _windows(spark, d)
     one = F.struct("from_s", "to_s")
@@ -330,7 +508,7 @@ def q_outlier_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def q_panel_summary(spark: SparkSession, d: str) -> DataFrame:
     """One row a task: episodes, mean score, flagged episodes, and how many lie in the pooled group."""
-    r = q_quality_ranking(spark, d).join(episodes.event_episodes(spark, d), "episode_id")
+    r = q_event_ranking(spark, d).join(episodes.event_episodes(spark, d), "episode_id")
     return _rounded(r.groupBy("task_key").agg(F.count(F.lit(1)).alias("episodes"), F.avg("score").alias("mean_score"), F.count_if(F.col("verdict") != "pass").alias("flagged"), F.count_if(F.col("basis") == "pooled").alias("pooled")))
 
 

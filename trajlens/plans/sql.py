@@ -62,8 +62,7 @@ ol AS (SELECT CAST(l_orderkey AS BIGINT) AS e, row_number() OVER (PARTITION BY l
 """
 
 SHORT = f"""{OL},
-ok AS (SELECT e FROM ol GROUP BY e HAVING count(*) > 8),
-oa AS (SELECT e, i, unnest([0, 1]) AS dim, unnest([a0, a1]) AS x FROM ol JOIN ok USING (e)),
+oa AS (SELECT e, i, unnest([0, 1]) AS dim, unnest([a0, a1]) AS x FROM ol),
 orr AS (SELECT e, dim, CASE WHEN quantile_cont(x, 0.95) - quantile_cont(x, 0.05) <= 1e-9 THEN 1.0 ELSE quantile_cont(x, 0.95) - quantile_cont(x, 0.05) END AS r FROM oa GROUP BY e, dim),
 od AS (SELECT e, i, dim, (x / r - lag(x / r) OVER (PARTITION BY e, dim ORDER BY i)) * 30.0 AS d FROM oa JOIN orr USING (e, dim)),
 f AS (SELECT e, i - 1 AS i, sqrt(sum(d * d)) AS f FROM od WHERE i > 0 GROUP BY e, i),
@@ -118,13 +117,14 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY e, j ORDER BY round(d, 9), o, o
 
 INTEGRITY = f"""WITH {OL}, s AS (SELECT *, fi - lag(fi) OVER (PARTITION BY e ORDER BY i) AS step FROM ol),
 p AS (SELECT e, count(*) AS length, count(DISTINCT fi) AS k, min(fi) AS lo, max(fi) AS hi, count(*) FILTER (step < 0) AS ooo, max(abs(step / 30.0::DOUBLE - 1 / 30.0::DOUBLE)) AS dev, CAST(count(*) FILTER (NOT isfinite(a0)) + count(*) FILTER (NOT isfinite(a1)) AS BIGINT) AS bad FROM s GROUP BY e),
-g AS (SELECT *, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (hi - lo + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p)
+g AS (SELECT p.*, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (o_custkey % 7 + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p JOIN orders ON o_orderkey = p.e)
 SELECT e AS episode_id, dup + mis + ooo + o AS frame_gaps, nullif(concat_ws(', ', CASE WHEN dup > 0 THEN dup || ' duplicated' END, CASE WHEN mis > 0 THEN mis || ' missing' END, CASE WHEN ooo > 0 THEN ooo || ' out of order' END, CASE WHEN o > 0 THEN 'does not start at 0' END), '') AS note,
-  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN dup + mis + ooo + o > 0 OR lm > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict FROM g"""
+  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN dup + mis + ooo + o > 0 OR lm > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict,
+  concat_ws(',', CASE WHEN dup + mis + ooo + o > 0 THEN 'frame_gaps' END, CASE WHEN lm > 0 THEN 'length_mismatch' END, CASE WHEN bad > 0 THEN 'nonfinite_values' END, CASE WHEN ts > 0 THEN 'too_short' END) AS failing FROM g"""
 
 VW = """
 vw AS (SELECT e AS window_id, length, CAST(e % 5 AS DOUBLE) AS from_s, e % 5 + (length + e % 4) / 30.0::DOUBLE AS to_s FROM ep),
-vf AS (SELECT e AS window_id, e % 5 + i / 30.0::DOUBLE AS frame_t FROM ev WHERE e % 7 <> 0),
+vf AS (SELECT e AS window_id, e % 5 + i / 30.0::DOUBLE AS frame_t FROM ev),
 st12 AS (SELECT window_id, k, from_s + (to_s - from_s) * (k + 0.5) / 12 AS t FROM vw, (SELECT unnest(range(0, 12)) AS k) WHERE to_s > from_s)
 """
 
@@ -135,14 +135,14 @@ ORACLE: dict[str, str] = {
     "norm_stats": f"WITH {EV} SELECT group_label, metric, signal, {_r('median', 'median')}, {_r('mad', 'mad')}, {_r('scale_high', 'scale_high')}, {_r('scale_low', 'scale_low')}, n FROM st",
     "warn_thresholds": f"WITH {EV} SELECT group_label, metric, signal, {_r('CASE WHEN metric = ' + chr(39) + 'ldlj' + chr(39) + ' THEN median - 2 * scale_low ELSE median + 2 * scale_high END', 'warn_at')} FROM st",
     "z_scores": f"WITH {EV} SELECT e AS episode_id, group_label, metric, signal, {_r('value', 'value')}, {_r('z', 'z')} FROM z",
-    "quality_ranking": f"WITH {EV} SELECT e AS episode_id, group_label, basis, score, n_flags, driver, verdict FROM rk",
+    "event_ranking": f"WITH {EV} SELECT e AS episode_id, group_label, basis, score, n_flags, driver, verdict FROM rk",
     "worst_episodes": f"WITH {EV} SELECT e AS episode_id, score, driver FROM rk ORDER BY score DESC NULLS LAST, e LIMIT 12",
     "verdict_counts": f"WITH {EV} SELECT v.verdict, count(rk.e) AS k FROM (VALUES ('fail'), ('pass'), ('unknown'), ('warn')) v(verdict) LEFT JOIN rk ON rk.verdict = v.verdict GROUP BY v.verdict",
     "score_histogram": f"WITH {EV}, en AS (SELECT min(score) AS a, max(score) AS b FROM ps), bi AS (SELECT least(19, CAST(floor((score - a) / ((b - a) / 20)) AS BIGINT)) AS bin, count(*) AS k FROM ps, en GROUP BY 1) SELECT r.bin, {_r('a + r.bin * (b - a) / 20', 'lo')}, {_r('a + (r.bin + 1) * (b - a) / 20', 'hi')}, coalesce(k, 0) AS k FROM (SELECT unnest(range(0, 20)) AS bin) r CROSS JOIN en LEFT JOIN bi ON bi.bin = r.bin",
     "balance": f"WITH {SU}, n AS (SELECT count(*) AS n FROM meta), b AS (SELECT 'task_key' AS dimension, task AS key, count(*) AS k FROM meta GROUP BY task UNION ALL SELECT 'source_id', source_id, count(*) FROM meta GROUP BY source_id) SELECT dimension, key, k, k < 5 AS under_covered, k > 0.5 * n AS dominant FROM b, n",
     "integrity": INTEGRITY,
     "language": _LANGUAGE,
-    "canonical_task": f"""WITH {TEXTS}, o AS (SELECT id, list_transform([upper(text), ' Second: task! ', text], lambda t: trim(regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM tx WHERE id NOT LIKE 'c-%')
+    "canonical_task": f"""WITH {TEXTS}, o AS (SELECT id, list_transform([upper(text), ' Second: task! ', text], lambda t: trim(regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM tx)
 SELECT id, array_to_string(list_sort(list_distinct(list_filter(k, lambda t: t <> ''))), ' | ') AS task_key FROM o""",
     "time_metrics": f"""WITH {SHORT}, pa AS (SELECT e, max(stop - start) AS pause FROM runs WHERE start > 0 AND stop < n GROUP BY e),
 t AS (SELECT e, n, min(i) FILTER (NOT idle) AS first, max(i) FILTER (NOT idle) AS last, avg(CAST(idle AS DOUBLE)) AS frac, median(f) FILTER (i >= n - 30) / any_value(CASE WHEN ref > 0 THEN ref END) AS fin FROM fl WHERE n >= 8 GROUP BY e, n),
@@ -248,3 +248,93 @@ SELECT e AS episode_id, CAST(label AS VARCHAR) AS group_label, {_r('z', 'z')}, z
     "panel_summary": f"WITH {EV} SELECT task AS task_key, count(*) AS episodes, {_r('avg(score)', 'mean_score')}, count(*) FILTER (verdict <> 'pass') AS flagged, count(*) FILTER (basis = 'pooled') AS pooled FROM rk JOIN ep USING (e) GROUP BY task",
     "flag_false_alarms": "WITH i AS (" + INTEGRITY + ") " + " UNION ALL ".join(f"SELECT '{c}' AS metric, {_r(f'avg(CAST({c} > 0 AS DOUBLE))', 'rate')} FROM i" for c in ("frame_gaps", "length_mismatch", "nonfinite_values", "too_short")),
 }
+
+_SPEED = """
+dd AS (SELECT e, dim, i, (ua - lag(ua) OVER (PARTITION BY e, dim ORDER BY i)) * 30.0 AS d FROM u WHERE dim IN (0, 1)),
+ss AS (SELECT e, i - 1 AS i, sqrt(sum(d * d)) AS s FROM dd WHERE i > 0 GROUP BY e, i),
+sn AS (SELECT *, count(*) OVER (PARTITION BY e) AS n FROM ss)
+"""
+
+_LDLJ = f"""WITH {SU}, {_SPEED},
+w AS (SELECT e, i, s, n, least(n, 90) AS size, unnest(CASE WHEN n < 16 THEN [] WHEN n < 90 THEN [0] ELSE range(0, (n - 90) // 45 + 1) END) AS win FROM sn),
+x AS (SELECT * FROM w WHERE n < 90 OR (i >= win * 45 AND i < win * 45 + 90)),
+j AS (SELECT *, (s - 2 * lag(s, 1) OVER q + lag(s, 2) OVER q) * 900.0 AS jerk FROM x WINDOW q AS (PARTITION BY e, win ORDER BY i)),
+l AS (SELECT e, win, max(abs(s)) AS peak, sum(jerk * jerk) AS j, any_value(size) AS k FROM j GROUP BY e, win),
+v AS (SELECT e, -ln(pow((k - 1) / 30.0, 3) / (peak * peak) * j / 30.0) AS v FROM l WHERE peak > 0 AND j > 0)
+SELECT e AS episode_id, {_r('median(v)', 'value')} FROM v GROUP BY e"""
+
+
+def _ranked(metric: str, query: str, signal: str = "") -> str:
+    return f"SELECT episode_id AS e, '{metric}' AS metric, '{signal}' AS signal, value FROM ({query})"
+
+
+RANKING = f"""
+raw AS ({' UNION ALL '.join([
+    _ranked('sparc', ORACLE['sparc'], 'arm_right'),
+    _ranked('ldlj', _LDLJ, 'arm_right'),
+    _ranked('length_z', "SELECT CAST(l_suppkey AS BIGINT) AS episode_id, round(count(*) / 30.0::DOUBLE, 6) AS value FROM lineitem GROUP BY l_suppkey"),
+    _ranked('track_resid', ORACLE['track_resid'], 'arm_right'),
+    _ranked('accel_spike_frac', ORACLE['accel_spikes']),
+    _ranked('joint_limit_frac', ORACLE['joint_limits']),
+    _ranked('gripper_flips_per_s', ORACLE['gripper_flips'], 'gripper_right'),
+    _ranked('missed_grasp_frac', ORACLE['missed_grasps'], 'arm_right'),
+    _ranked('action_divergence', ORACLE['action_divergence']),
+])}),
+meta AS (SELECT CAST(s_suppkey AS BIGINT) AS e, r_name AS task FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+gr AS (SELECT e, task, CASE WHEN k >= 15 THEN 'task:' || task ELSE '__pooled__' END AS group_label, CASE WHEN k >= 15 THEN 'task' ELSE 'pooled' END AS basis FROM (SELECT *, count(*) OVER (PARTITION BY task) AS k FROM meta)),
+val AS (SELECT raw.*, group_label FROM raw JOIN gr USING (e)),
+q AS (SELECT group_label, metric, signal, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM val GROUP BY ALL),
+dv AS (SELECT group_label, metric, signal, median(abs(value - b)) AS mad, median(value - b) FILTER (value > b) AS up, median(b - value) FILTER (value < b) AS down FROM val JOIN q USING (group_label, metric, signal) GROUP BY ALL),
+st AS (SELECT group_label, metric, signal, b AS median, mad, CASE WHEN c - b > 0 THEN (c - b) * 1.4826 ELSE coalesce(up / 2, 1e-12) END AS high, CASE WHEN b - a > 0 THEN (b - a) * 1.4826 ELSE coalesce(down / 2, 1e-12) END AS low
+  FROM q JOIN dv USING (group_label, metric, signal)),
+z AS (SELECT e, group_label, metric, signal, value, greatest(least(CASE
+    WHEN metric = 'length_z' THEN abs((value - median) / greatest(1.4826 * mad, 0.05 * abs(median), 1e-9))
+    WHEN metric IN ('sparc', 'ldlj') THEN (median - value) / greatest(low, 1e-12) ELSE (value - median) / greatest(high, 1e-12) END, 10), -10) AS z
+  FROM val JOIN st USING (group_label, metric, signal)),
+mem(metric, grp, weight, ordinal) AS (VALUES ('sparc', 'motion', 1.0, 0), ('ldlj', 'motion', 0.5, 0), ('length_z', 'time', 1.0, 1), ('track_resid', 'tracking', 1.0, 2), ('accel_spike_frac', 'tracking', 1.0, 2), ('joint_limit_frac', 'tracking', 1.0, 2), ('gripper_flips_per_s', 'gripper', 1.0, 3), ('missed_grasp_frac', 'gripper', 1.0, 3), ('action_divergence', 'consistency', 1.0, 4)),
+pg AS (SELECT e, grp, ordinal, max(CAST(weight AS DOUBLE) * z) AS v FROM z JOIN mem USING (metric) GROUP BY ALL),
+ps AS (SELECT e, max(v) AS score, count(*) FILTER (v >= 2) AS n_flags, arg_max(grp, (v, -ordinal)) AS driver FROM pg GROUP BY e),
+rk AS (SELECT gr.e, group_label, basis, score, coalesce(n_flags, 0) AS n_flags, driver, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 3 THEN 'fail' WHEN score >= 2 THEN 'warn' ELSE 'pass' END AS verdict FROM gr LEFT JOIN ps USING (e))
+"""
+
+_RANKED = ["sparc", "ldlj", "length_z", "track_resid", "accel_spike_frac", "joint_limit_frac", "gripper_flips_per_s", "missed_grasp_frac", "action_divergence"]
+_SIGNALS = ["arm_right", "gripper_right"]
+
+_ARCS = ORACLE["sparc"][: ORACLE["sparc"].rindex("SELECT e AS episode_id")]
+_MOTION_SPANS = f"""
+SELECT episode_id, {_r('start_s', 'start_s')}, {_r('end_s', 'end_s')}, label, kind FROM (
+  SELECT e AS episode_id, win * 45 / 30.0::DOUBLE AS start_s, (win * 45 + least(n, 90)) / 30.0::DOUBLE AS end_s, 'roughest window (arm_right)' AS label, 'rough' AS kind FROM (SELECT e, arg_min(win, (v, win)) AS win FROM ({_ARCS} SELECT e, win, v FROM v) GROUP BY e) JOIN (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) - 1 AS n FROM lineitem GROUP BY ALL) USING (e)
+  UNION ALL SELECT episode_id, start_s, end_s, 'acceleration spike', 'spike' FROM ({ORACLE['spike_clusters']})
+  UNION ALL SELECT episode_id, c1 / 30.0::DOUBLE, c2 / 30.0::DOUBLE, 'regrasp recovery', 'recovery' FROM ({ORACLE['recoveries']}))"""
+
+ORACLE |= {
+    "quality_ranking": f"WITH {RANKING} SELECT e AS episode_id, group_label, basis, {_r('score', 'score')}, n_flags, driver, verdict FROM rk",
+    "ranking_signals": f"WITH {RANKING} SELECT e AS episode_id, group_label, metric, signal, {_r('z', 'z')}, {_r('value', 'value')} FROM z",
+    "family_scores": f"WITH {RANKING} SELECT e AS episode_id, grp AS family, {_r('max(z)', 'score')}, count(*) FILTER (z >= 2) AS n_flags FROM z JOIN mem USING (metric) GROUP BY e, grp",
+    "feature_matrix": f"WITH {RANKING}, p AS (SELECT group_label, e, " + ", ".join(f"max(z) FILTER (metric = '{x}') AS {x}" for x in _RANKED) + " FROM z GROUP BY ALL) SELECT group_label AS grp, e AS episode_id, " + ", ".join(_r(f"coalesce({x}, median({x}) OVER (PARTITION BY group_label), 0)", x) for x in _RANKED) + " FROM p",
+    "flat_results": f"WITH {RANKING}, wo AS (SELECT e, 'sparc' AS metric, worst FROM (SELECT episode_id AS e, worst FROM ({ORACLE['sparc']})) UNION ALL SELECT e, 'ldlj', round(quantile_cont(v, 0.05), 6) FROM ({_LDLJ[: _LDLJ.rindex('SELECT e AS episode_id')]} SELECT e, v FROM v) GROUP BY e), "
+    + "zz AS (SELECT z.*, worst FROM z LEFT JOIN wo USING (e, metric)) SELECT e AS episode_id, "
+    + ", ".join(f"{_r(f'max(value) FILTER (metric = {chr(39)}{x}{chr(39)})', f'q_{x}')}, nullif(max(signal) FILTER (metric = '{x}'), '') AS q_{x}_signal, {_r(f'max(worst) FILTER (metric = {chr(39)}{x}{chr(39)})', f'q_{x}_worst')}, {_r(f'max(z) FILTER (metric = {chr(39)}{x}{chr(39)})', f'q_{x}_z')}, " + ", ".join(_r(f"max(value) FILTER (metric = '{x}' AND signal = '{g}')", f"q_{x}_on_{g}") for g in _SIGNALS) for x in _RANKED)
+    + " FROM zz GROUP BY e",
+    "recovery_count": f"WITH r AS ({ORACLE['recoveries']}) SELECT CAST(s_suppkey AS BIGINT) AS episode_id, CAST(count(c1) AS DOUBLE) AS value FROM supplier LEFT JOIN r ON r.episode_id = s_suppkey GROUP BY s_suppkey",
+    "pauses": f"""WITH {SU}, {_SPEED}, p9 AS (SELECT e, quantile_cont(s, 0.9) AS p FROM ss GROUP BY e),
+rf AS (SELECT e, coalesce(median(s) FILTER (s > p / 2), any_value(p)) AS ref FROM ss JOIN p9 USING (e) GROUP BY e),
+fl AS (SELECT e, i, n, CASE WHEN 0.05 * ref > 0 THEN s < 0.05 * ref ELSE s <= 0 END AS idle FROM sn JOIN rf USING (e)),
+isl AS (SELECT e, i, n, idle, row_number() OVER (PARTITION BY e ORDER BY i) - row_number() OVER (PARTITION BY e, idle ORDER BY i) AS k FROM fl),
+runs AS (SELECT e, min(i) AS start, max(i) + 1 AS stop, any_value(n) AS n FROM isl WHERE idle GROUP BY e, k),
+rec AS ({ORACLE['recoveries']})
+SELECT e AS episode_id, start, stop, n FROM runs WHERE start > 0 AND stop < n AND NOT EXISTS (SELECT 1 FROM rec WHERE rec.episode_id = runs.e AND runs.start < rec.c2 + 30 AND runs.stop > rec.c1 - 30)""",
+    "motion_spans": _MOTION_SPANS,
+    "span_severity": f"""WITH {RANKING}, ms AS ({_MOTION_SPANS}), kz AS (SELECT e AS episode_id, CASE metric WHEN 'sparc' THEN 'rough' ELSE 'spike' END AS kind, max(round(z, 6)) AS z FROM z WHERE metric IN ('sparc', 'accel_spike_frac') GROUP BY ALL)
+SELECT ms.episode_id, start_s, end_s, label, ms.kind, CASE WHEN ms.kind = 'recovery' THEN 'info' WHEN z >= 3 THEN 'fail' ELSE 'warn' END AS severity FROM ms LEFT JOIN kz ON kz.episode_id = ms.episode_id AND kz.kind = ms.kind WHERE ms.kind = 'recovery' OR z >= 2""",
+    "integrity_review": f"SELECT episode_id, verdict, failing FROM ({INTEGRITY}) ORDER BY CASE verdict WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, episode_id LIMIT 50",
+    "top_tasks": "SELECT event_type AS task_key, count(DISTINCT user_id) AS k FROM events GROUP BY event_type ORDER BY k DESC, task_key LIMIT 12",
+    "language_verdict": f"SELECT CASE WHEN coalesce(task_missing, 0) > 0 OR coalesce(task_generic, 0) > 0 THEN 'warn' ELSE 'pass' END AS verdict, reason, count(*) AS k FROM ({_LANGUAGE}) GROUP BY ALL",
+    "dense_steps": f"""WITH {EV}, {VW}, c AS (SELECT window_id, from_s + greatest((to_s - from_s - 1) / 2, 0) AS a, to_s - greatest((to_s - from_s - 1) / 2, 0) AS b FROM vw),
+r AS (SELECT window_id, frame_t, row_number() OVER (PARTITION BY window_id ORDER BY frame_t) - 1 AS q FROM c JOIN vf USING (window_id) WHERE frame_t >= a - 1e-3 AND frame_t < b - 1e-3)
+SELECT window_id, q // 3 AS r, {_r('frame_t', 'frame_t')} FROM r WHERE q % 3 = 0""",
+    "resampled": f"WITH {EV}, n AS (SELECT e, i, x, lead(x) OVER (PARTITION BY e ORDER BY i) AS y FROM ev) SELECT e AS episode_id, i + 0.5::DOUBLE AS t, {_r('(x + y) / 2', 'v')} FROM n WHERE y IS NOT NULL",
+    "frame_changes": f"""WITH p AS (SELECT label AS camera, vec_id AS t, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6)) AS x, lag(list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6))) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings)
+SELECT camera, t, {_r('list_avg(list_transform(list_zip(x, y), lambda q: abs(q[1] - q[2])))', 'v')} FROM p WHERE y IS NOT NULL""",
+    "tag_selection": "WITH b AS (SELECT arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders GROUP BY o_custkey) SELECT CAST(o_orderkey AS BIGINT) AS episode_id, CASE WHEN k IS NULL THEN o_orderpriority ELSE array_to_string(list_sort([o_orderpriority, 'largest']), ',') END AS tags FROM orders LEFT JOIN b ON k = o_orderkey",
+}

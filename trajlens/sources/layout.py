@@ -7,9 +7,9 @@ and Parquet files of frames, several episodes a file. Any store that Spark reads
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns that describe a frame and are no feature, and types of vector features.
@@ -79,20 +79,46 @@ def data_files(refs: DataFrame, source: Source) -> DataFrame:
     return refs.withColumn("path", F.concat(F.lit(source.loc + "/"), parts))
 
 
-def read_frames(spark: SparkSession, source: Source, action: str | None, state: str | None, paths: list[str]) -> DataFrame:
-    """One row a frame in recorded order: only the bookkeeping and the picked vectors are read; unreadable files are skipped."""
+def video_files(refs: DataFrame, source: Source, camera: str, template: str) -> DataFrame:
+    """refs(episode_index, chunk, file) with path: the video file of each episode's camera."""
+    return data_files(refs, replace(source, data_path=template.replace("{video_key}", camera)))
+
+
+def read_frames(spark: SparkSession, source: Source, action: str | None, state: str | None, paths: list[str], episodes: DataFrame | None = None) -> DataFrame:
+    """One row a frame in recorded order: only the bookkeeping and the picked vectors are read; unreadable files are skipped.
+
+    episodes(episode_index): only these; Spark filters the scan with them where they are few. An episode that lost frames
+    to an unreadable file is found by build_episodes, which knows how many were promised.
+    """
     reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     df = reader.parquet(*paths)
     vector = lambda name: F.col(f"`{name}`").cast("array<double>") if name and name in df.columns else F.lit(None).cast("array<double>")
-    return df.select(F.lit(source.source_id).alias("source_id"), F.col("episode_index").cast("long"), F.col("frame_index").cast("long"), F.col("timestamp").cast("double"), F.col("_metadata.row_index").alias("row_index"), vector(action).alias("action"), vector(state).alias("state"))
+    df = df.select(F.lit(source.source_id).alias("source_id"), F.col("episode_index").cast("long"), F.col("frame_index").cast("long"), F.col("timestamp").cast("double"), F.col("_metadata.row_index").alias("row_index"), vector(action).alias("action"), vector(state).alias("state"))
+    return df.join(episodes.select("episode_index").distinct(), "episode_index", "left_semi") if episodes is not None else df
 
 
 def build_episodes(refs: DataFrame, frames: DataFrame) -> DataFrame:
     """refs(episode_index, expected) -> one row an episode: frames sorted by number (recorded order at ties), length, error.
 
-    An episode without frames is a row with an error, not an exception.
+    An episode without frames, or with fewer than expected, is a row with an error, not an exception; the frames that
+    were found stay. A null expected promises nothing.
     """
     ordered = F.sort_array(F.collect_list(F.struct("frame_index", "row_index", "timestamp", "action", "state")))
     built = frames.groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"), ordered.alias("frames"))
     df = refs.join(built, "episode_index", "left")
-    return df.withColumn("error", F.when(F.col("length").isNull(), F.concat(F.lit("no rows for episode "), F.col("episode_index").cast("string"))))
+    none = F.concat(F.lit("no rows for episode "), F.col("episode_index").cast("string"))
+    fewer = F.format_string("%d of %d rows found", "length", "expected")
+    return df.withColumn("error", F.when(F.col("length").isNull(), none).when(F.col("length") < F.col("expected"), fewer))
+
+
+def read_episode(refs: DataFrame, frames: DataFrame, episode_index: int) -> Row:
+    """One episode; raises where it can't be read whole."""
+    row = build_episodes(refs.where(F.col("episode_index") == episode_index), frames.where(F.col("episode_index") == episode_index)).first()
+    if row is None or row["error"]:
+        raise LookupError(row["error"] if row else f"unknown episode {episode_index}")
+    return row
+
+
+def failures(episodes: DataFrame) -> DataFrame:
+    """error, k: how many episodes failed in each way (digits aside)."""
+    return episodes.where("error is not null").groupBy(F.regexp_replace("error", "[0-9]+", "n").alias("error")).agg(F.count(F.lit(1)).alias("k"))

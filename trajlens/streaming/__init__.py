@@ -1,7 +1,9 @@
-"""Structured Streaming over frame events: episode lengths and paths as events arrive."""
+"""Structured Streaming over frame events: activity as events arrive, and episodes measured once they are whole."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,36 @@ def windowed_activity(events: DataFrame, window: str = "1 hour", late: str = "2
     return per.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "episodes", "mean_value")
 
 
-def score_stream(events: DataFrame, path: str, checkpoint: str, metrics_of):
-    """Each micro-batch's whole episodes measured by metrics_of(batch) and appended to a table; the ranking reads that table."""
+def episode_lengths(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """events(ts, user_id, value) -> episode_id, start, end, frames, path of every session that a gap has ended.
+
+    A session window holds an episode's state until the watermark passes its end, so an episode that arrives in many
+    micro-batches is one row, emitted once and whole.
+    """
+    df = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withWatermark("ts", late) if events.isStreaming else df
+    per = df.groupBy(F.col("user_id").alias("episode_id"), F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("frames"), F.sum(F.abs("value")).alias("path"))
+    return per.select("episode_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "frames", "path")
+
+
+def score_stream(events: DataFrame, path: str, checkpoint: str, metrics_of: Callable[[DataFrame], DataFrame]):
+    """Append events to a table and keep, for every episode that a micro-batch touches, its metrics over all its events so far.
+
+    metrics_of(events of whole episodes) -> rows with episode_id. The newest epoch of an episode in ``path/metrics`` counts
+    (latest); a replayed epoch overwrites its own folder, so results are those of exactly one run of it.
+    """
+
+    def update(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
+        seen = spark.read.parquet(f"{path}/events").where(F.col("epoch") <= epoch)
+        touched = spark.read.parquet(f"{path}/events/epoch={epoch}").select("user_id").distinct()
+        metrics_of(seen.drop("epoch").join(touched, "user_id", "left_semi")).write.mode("overwrite").parquet(f"{path}/metrics/epoch={epoch}")
+
+    return events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        metrics_of(batch).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)
 
-    return events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(metrics: DataFrame) -> DataFrame:
+    """The rows of each episode's newest epoch."""
+    newest = metrics.groupBy("episode_id").agg(F.max("epoch").alias("epoch"))
+    return metrics.join(newest, ["episode_id", "epoch"], "left_semi").drop("epoch")
