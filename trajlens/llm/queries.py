@@ -54,7 +54,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.judge(read(spark, sf_dir, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return df.select("doc_id", *[F.col(f"_{c}").alias(c) for c in base])
+    return df.select("doc_id", *base)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
