@@ -47,7 +47,7 @@ def dense_steps(windows: DataFrame, frames: DataFrame, step: int, max_frames: in
 def central(windows: DataFrame, seconds: float) -> DataFrame:
     """windows(window_id, from_s, to_s, ..) cut to their middle seconds."""
     cut = F.greatest((F.col("to_s") - F.col("from_s") - seconds) / 2, F.lit(0.0))
-    return windows.withColumn("from_s", F.col("from_s") + cut).withColumn("to_s", F.col("to_s") - cut)
+    return windows.withColumns({"from_s": F.col("from_s") + cut, "to_s": F.col("to_s") - cut})
 
 
 def resampled(series: DataFrame, grid: DataFrame) -> DataFrame:

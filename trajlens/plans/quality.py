@@ -232,7 +232,7 @@ def q_language_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_canonical_task(spark: SparkSession, d: str) -> DataFrame:
-    return _task_texts(spark, d).select("id", language.canonical_task(F.array(F.upper("text"), F.lit(" Second: task! "), "text")).alias("task_key"))
+    return _task_texts(spark, d).select("id", language.canonical_task(F.array(F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" Second: task! "), "text")).alias("task_key"))
 
 
 def _order_speeds(spark: SparkSession, d: str) -> DataFrame:

@@ -117,9 +117,9 @@ rn AS (SELECT *, row_number() OVER (PARTITION BY e, j ORDER BY round(d, 9), o, o
 
 INTEGRITY = f"""WITH {OL}, s AS (SELECT *, fi - lag(fi) OVER (PARTITION BY e ORDER BY i) AS step FROM ol),
 p AS (SELECT e, count(*) AS length, count(DISTINCT fi) AS k, min(fi) AS lo, max(fi) AS hi, count(*) FILTER (step < 0) AS ooo, max(abs(step / 30.0::DOUBLE - 1 / 30.0::DOUBLE)) AS dev, CAST(count(*) FILTER (NOT isfinite(a0)) + count(*) FILTER (NOT isfinite(a1)) AS BIGINT) AS bad FROM s GROUP BY e),
-g AS (SELECT p.*, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (o_custkey % 7 + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p JOIN orders ON o_orderkey = p.e)
+g AS (SELECT p.* EXCLUDE (e), coalesce(p.e, CAST(o_orderkey AS BIGINT)) AS e, length - k AS dup, hi - lo + 1 - k AS mis, CAST(lo <> 0 AS BIGINT) AS o, abs(length - (o_custkey % 7 + 1)) AS lm, CAST(length < 10 OR length / 30.0 < 1 AS BIGINT) AS ts FROM p FULL JOIN orders ON o_orderkey = p.e)
 SELECT e AS episode_id, dup + mis + ooo + o AS frame_gaps, nullif(concat_ws(', ', CASE WHEN dup > 0 THEN dup || ' duplicated' END, CASE WHEN mis > 0 THEN mis || ' missing' END, CASE WHEN ooo > 0 THEN ooo || ' out of order' END, CASE WHEN o > 0 THEN 'does not start at 0' END), '') AS note,
-  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN dup + mis + ooo + o > 0 OR lm > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict,
+  {_r('dev', 'timestamp_dev')}, lm AS length_mismatch, bad AS nonfinite_values, ts AS too_short, CASE WHEN length IS NULL THEN 'unknown' WHEN dup + mis + ooo + o > 0 OR coalesce(lm, 0) > 0 OR bad > 0 OR ts > 0 THEN 'fail' ELSE 'pass' END AS verdict,
   concat_ws(',', CASE WHEN dup + mis + ooo + o > 0 THEN 'frame_gaps' END, CASE WHEN lm > 0 THEN 'length_mismatch' END, CASE WHEN bad > 0 THEN 'nonfinite_values' END, CASE WHEN ts > 0 THEN 'too_short' END) AS failing FROM g"""
 
 VW = """
@@ -142,7 +142,7 @@ ORACLE: dict[str, str] = {
     "balance": f"WITH {SU}, n AS (SELECT count(*) AS n FROM meta), b AS (SELECT 'task_key' AS dimension, task AS key, count(*) AS k FROM meta GROUP BY task UNION ALL SELECT 'source_id', source_id, count(*) FROM meta GROUP BY source_id) SELECT dimension, key, k, k < 5 AS under_covered, k > 0.5 * n AS dominant FROM b, n",
     "integrity": INTEGRITY,
     "language": _LANGUAGE,
-    "canonical_task": f"""WITH {TEXTS}, o AS (SELECT id, list_transform([upper(text), ' Second: task! ', text], lambda t: trim(regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM tx)
+    "canonical_task": f"""WITH {TEXTS}, o AS (SELECT id, list_transform([translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' Second: task! ', text], lambda t: trim(regexp_replace(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS k FROM tx)
 SELECT id, array_to_string(list_sort(list_distinct(list_filter(k, lambda t: t <> ''))), ' | ') AS task_key FROM o""",
     "time_metrics": f"""WITH {SHORT}, pa AS (SELECT e, max(stop - start) AS pause FROM runs WHERE start > 0 AND stop < n GROUP BY e),
 t AS (SELECT e, n, min(i) FILTER (NOT idle) AS first, max(i) FILTER (NOT idle) AS last, avg(CAST(idle AS DOUBLE)) AS frac, median(f) FILTER (i >= n - 30) / any_value(CASE WHEN ref > 0 THEN ref END) AS fin FROM fl WHERE n >= 8 GROUP BY e, n),
