@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -51,10 +53,51 @@ def test_stages_take_anything(spark, docs, k):
     assert stage(spark, docs.where("false"), "/nowhere").collect() == []
 
 
+def _internal_names():
+    """Every column name that the modules of the operators use, as strings in their sources."""
+    import inspect
+    import re
+
+    names = set()
+    for module in (quality_rules, pii, mixing, near_dups, sentencepiece, lm_score, quality_classifier, license_scan):
+        names |= set(re.findall(r"""["']([A-Za-z_][A-Za-z0-9_]{0,16})["']""", inspect.getsource(module)))
+    return sorted(n for n in {x.lower() for x in names} if n not in ("doc_id", "text", "lang", "source", "n_chars"))
+
+
+def test_clashing_columns_keep_their_values(spark):
+    """A caller's columns with the names of an operator's own come back with their values, from every stage."""
+    names = _internal_names()
+    assert len(names) > 60
+    rng = random.Random(9)
+    new = lambda: "".join(rng.choice("abdeghilmnoprstu") for _ in range(rng.randint(3, 8)))
+    good = lambda: " ".join(f"{rng.choice(['the', 'and', 'of', 'to', 'in', 'is', 'it', 'on', 'with', 'for'])} {new()} {new()}" for _ in range(60)) + " mail a@b.example."
+    rows = [(i, good(), "en", "s", 7, *[f"{n}-{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, "/nowhere")
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names), name
+    assert {r.row for r in quality_rules.keep_good(df).collect()} <= {f"row-{i}" for i in range(3)}
+    for name, run in operators().items():
+        assert len(run(spark, df).collect()) == 3, name
+
+
+def test_languages_without_word_lists_are_kept(spark):
+    """Clean text in another script is compared with its own language's characters; no language leaves the base rules."""
+    rng = random.Random(2)
+    cyrillic = [" ".join("".join(rng.choice("абвгдежзиклмнопрстуя") for _ in range(rng.randint(2, 9))) for _ in range(120)) + "." for _ in range(12)]
+    english = [" ".join(rng.choice("the cat and of is to was on it for house dog run".split()) + (" x%d" % rng.randint(0, 999) if k % 3 else "") for k in range(120)) for _ in range(12)]
+    rows = [(i, t, "ru") for i, t in enumerate(cyrillic)] + [(100 + i, t, "en") for i, t in enumerate(english)] + [(200, cyrillic[0], None), (201, "#$% " * 60, "en")]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i].kept and got[i].word_distance is None for i in range(12))
+    assert got[200].kept and got[200].class_distance is None and not got[201].kept
+
+
 def test_quality_values(spark, docs):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect() if r.doc_id}
-    assert got[2]["_n_words"] == 0 and got[2]["_base_failed"] and got[5]["_n_repeat_words"] == 50_000
-    assert got[1]["_n_repeat_words"] == got[1]["_n_words"]
+    assert got[2].n_words == 0 and got[2].base_failed and got[5].n_repeat_words == 50_000
+    assert got[1].n_repeat_words == got[1].n_words
 
 
 def test_near_dup_values(spark, docs):

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+HOT = 1000
+
+
+def joined_by(left: DataFrame, right: DataFrame, key: str, k: str = "k", hot: int = HOT) -> DataFrame:
+    """left joined with right, which has one row a key and in column k (not returned) how often the key occurs in left.
+
+    Rows of keys that occur more often than hot stay where they are and meet the few hot rows of right, a stored table
+    whose size Spark knows: it sends it to all tasks while it is below its broadcast limit, and shuffles (splitting what
+    is skewed) beyond it. Only the other keys' rows are dealt out by key.
+    """
+    few = stored(right.where(F.col(k) > hot).drop(k))
+    if not few.take(1):
+        return left.join(right.drop(k), key)
+    near = left.join(few, key)
+    return near.unionByName(left.join(few, key, "left_anti").join(right.drop(k), key))
+
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
     """Every u has one edge, and no v is a u."""
@@ -19,12 +35,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps: every step replaces neighbours by minima, found by partial aggregation,
     so no node's neighbourhood is ever gathered; it ends when all that is left are stars around roots, after about log(diameter) rounds.
+    A hub's edges are not dealt out by the hub (joined_by).
     """
     now = stored(edges.where(F.col("u") != F.col("v")).select(F.when(F.col("u") > F.col("v"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("u") > F.col("v"), F.col("v")).otherwise(F.col("u")).alias("v")).distinct())
     while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"), "k")
+        large = joined_by(both.where(F.col("v") > F.col("u")), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         now = stored(small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())

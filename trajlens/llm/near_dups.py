@@ -7,11 +7,13 @@
 2. Texts of equal sets are one class. Half keys that only one class has can form no shared table key, so pairs are
    formed from shared half keys alone. The classes of a table key hang on its smallest one; the components of these
    edges are clusters of candidates.
-3. Each cluster's texts (one a class) are dealt to tasks in blocks of ``BLOCK`` classes and all pairs of a block are
-   compared exactly on their sets, in memory, without emitting pairs: a class gets the smallest class it is linked to.
-   A cluster of several blocks then compares a few well linked classes of each block with the other blocks, and at last
-   every class outside its cluster's largest component with all other blocks. After that, no two classes of one cluster
-   in different components are left uncompared.
+3. Each cluster's texts (one a class) are dealt to tasks in blocks of about ``BLOCK`` classes (fewer, if they are long) and
+   all pairs of a block are compared exactly on their sets, in memory, without emitting pairs: a class gets the smallest
+   class it is linked to. The blocks of a larger cluster hold classes of one band of set sizes; sets of bands that are
+   not neighbours can't be alike. There a few well linked classes of each block, and at last every class outside its
+   cluster's largest component, ask those other blocks of neighbouring bands that hold a class with which they share a
+   table key. Asking texts stream past a block, so a task holds one block. After that, no two classes that share a table
+   key and lie in different components are left uncompared.
 4. Components of the links; each document gets the smallest id of its component.
 
 Hashes of shingles have 64 bits, of sets 128. Cases: null and blank texts have no shingles and stay alone (kept); texts
@@ -27,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
-from .graph import components
+from .common import packed, stored, text_of, unpacked
+from .graph import components, joined_by
 
-ROWS, MISS, BLOCK, PROBES = 3, 1e-4, 512, 4
+ROWS, MISS, BLOCK, BLOCK_SHINGLES, PROBES = 3, 1e-4, 512, 2_000_000, 4
 _RNG = np.random.default_rng(20_240_601)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
 _POWERS = np.cumprod(np.full(1 << 12, 0xD1342543DE82EF95, dtype=np.uint64))
@@ -130,16 +132,20 @@ def sketches(docs: DataFrame, k: int, m: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rk long, n long, c long, d long, half array<long>")
 
 
-def candidate_edges(classes: DataFrame, m: int) -> DataFrame:
-    """Edges u, v between class digests: each class of a table key with the key's smallest one."""
+def table_keys(classes: DataFrame, m: int) -> DataFrame:
+    """c, keys: the tables' keys of each class digest (m*m at most), made of half keys that another class has too."""
     halves = classes.select("c", F.posexplode("half").alias("i", "h"))
-    shared = halves.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    mine = halves.join(shared, "h").groupBy("c").agg(F.collect_list(F.struct("i", "h")).alias("x"))  # at most 2*m
+    shared = halves.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    mine = joined_by(halves, shared, "h").groupBy("c").agg(F.collect_list(F.struct("i", "h")).alias("x"))  # at most 2*m
     mine = mine.select("c", F.filter("x", lambda y: y.i < m).alias("a"), F.filter("x", lambda y: y.i >= m).alias("b"))
-    keys = mine.select("c", F.explode(F.flatten(F.transform("a", lambda y: F.transform("b", lambda z: F.xxhash64(y.h, z.h))))).alias("key"))
-    keys = stored(keys)
-    least = keys.groupBy("key").agg(F.min("c").alias("v"), F.max("c").alias("top")).where("v < top").drop("top")
-    return keys.join(least, "key").where("c <> v").select(F.col("c").alias("u"), "v").distinct()
+    return stored(mine.select("c", F.flatten(F.transform("a", lambda y: F.transform("b", lambda z: F.xxhash64(y.h, z.h)))).alias("keys")))
+
+
+def candidate_edges(keys: DataFrame) -> DataFrame:
+    """Edges u, v between class digests: each class of a table key with the key's smallest one."""
+    keys = keys.select("c", F.explode("keys").alias("key"))
+    least = keys.groupBy("key").agg(F.min("c").alias("v"), F.max("c").alias("top"), F.count(F.lit(1)).alias("k")).where("v < top").drop("top")
+    return joined_by(keys, least, "key").where("c <> v").select(F.col("c").alias("u"), "v").distinct()
 
 
 class Links:
@@ -205,51 +211,77 @@ def link_clusters(members: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def link_across(asking: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between asking(root, block, c, d, text: what to compare with block) and the blocks of texts, as uc, ud, vc, vd."""
+    """Links between asking(root, block, c, d, label, text: what to compare with block) and the blocks of texts, as uc, ud, vc, vd."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(frames, ["root", "block"]):
-            own = group[~group["asks"]].drop_duplicates(["c", "d"])
-            asks = group[group["asks"]].drop_duplicates(["c", "d"])
-            if not len(own) or not len(asks):
-                continue
-            links, found = Links(shingle_sets(own["text"].tolist(), k), percent), []
-            c, d, label = own["c"].to_numpy(), own["d"].to_numpy(), own["label"].to_numpy()
-            for s, uc, ud, mine in zip(shingle_sets(asks["text"].tolist(), k), asks["c"], asks["d"], asks["label"]):
-                near = links.of(s)
-                near = near[label[near] != mine]
-                for j in near[np.unique(label[near], return_index=True)[1]].tolist():  # one link a component is enough
-                    found.append((uc, ud, int(c[j]), int(d[j])))
-            yield pd.DataFrame(found, columns=["uc", "ud", "vc", "vd"]).astype("int64")
+        now, own, links = None, [], None
+        for frame in frames:  # by root, block, and the block's own classes before those that ask
+            for place, group in frame.groupby(["root", "block"], sort=False):
+                if place != now:
+                    now, own, links = place, [], None
+                mine, asks = group[~group["asks"]], group[group["asks"]]
+                if len(mine):
+                    own.append(mine)
+                if not len(asks) or not own:
+                    continue
+                if links is None:
+                    whole = pd.concat(own).drop_duplicates(["c", "d"])
+                    c, d, label = (whole[x].to_numpy() for x in ("c", "d", "label"))
+                    links = Links(shingle_sets(whole["text"].tolist(), k), percent)
+                found = []
+                for start in range(0, len(asks), BLOCK):
+                    part = asks.iloc[start : start + BLOCK]
+                    for s, uc, ud, theirs in zip(shingle_sets(part["text"].tolist(), k), part["c"], part["d"], part["label"]):
+                        near = links.of(s)
+                        near = near[label[near] != theirs]
+                        for j in near[np.unique(label[near], return_index=True)[1]].tolist():  # one link a component is enough
+                            found.append((uc, ud, int(c[j]), int(d[j])))
+                yield pd.DataFrame(found, columns=["uc", "ud", "vc", "vd"]).astype("int64")
 
     both = texts.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
-    return both.repartition("root", "block").sortWithinPartitions("root", "block").mapInPandas(run, "uc long, ud long, vc long, vd long")
+    return both.repartition("root", "block").sortWithinPartitions("root", "block", "asks").mapInPandas(run, "uc long, ud long, vc long, vd long")
 
 
 def _node(c: str, d: str):
     return F.struct(F.col(c).alias("c"), F.col(d).alias("d"))
 
 
+def dealt(members: DataFrame, percent: int) -> DataFrame:
+    """members(root, c, d, n, ..) with blocks (of the cluster), band and block (a number of its own in the cluster)."""
+    many = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    sizes = members.groupBy("root").agg(many().alias("blocks"), F.count(F.lit(1)).alias("k"))
+    members = joined_by(members, sizes, "root").withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0))
+    per = members.groupBy("root", "band").agg(many().alias("subs"))
+    first = F.coalesce(F.sum("subs").over(Window.partitionBy("root").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # bands are few: sizes grow by a factor
+    per = per.withColumn("first", first)
+    return members.join(per, ["root", "band"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("c", "d"), F.col("subs"))).cast("int")).drop("subs", "first")
+
+
 def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int, m: int) -> DataFrame:
     """c, d, label: a struct of the component's smallest class, for the classes of candidate clusters."""
-    clusters = components(candidate_edges(classes, m)).select(F.col("node").alias("c"), "root")
-    members = clusters.join(classes.select("c", "d", F.col("rep.rk").alias("rk")), "c")
-    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c", "d"), F.col("blocks")).cast("int"))
+    keys = table_keys(classes, m)
+    clusters = components(candidate_edges(keys)).select(F.col("node").alias("c"), "root")
+    members = stored(dealt(clusters.join(classes.select("c", "d", "n", F.col("rep.rk").alias("rk")), "c"), percent))
     text = text_of(F.col("text"))
-    texts = docs.select(F.xxhash64("doc_id", text).alias("rk"), text.alias("text")).join(members, "rk")
-    texts = stored(texts.select("root", "block", "blocks", "c", "d", "text"))  # of candidates only; read again below
+    # always by a merge: what travels then grows evenly, and repeated rows meet before they are compared
+    texts = docs.select(F.xxhash64("doc_id", text).alias("rk"), text.alias("text")).join(members.hint("merge"), "rk").dropDuplicates(["rk", "c", "d"])
+    texts = stored(texts.select("root", "band", "block", "blocks", "c", "d", "text"))  # of candidates only; read again below
     linked = stored(link_clusters(texts, k, percent))
     edges = linked.where("blocks > 1").select(_node("c", "d").alias("u"), _node("lc", "ld").alias("v"))
     if not edges.take(1):
         return linked.select("c", "d", _node("lc", "ld").alias("label"))
     texts = texts.where("blocks > 1")
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block")))
+    # where to ask: blocks of neighbouring bands that hold a class of a common table key
+    placed = members.where("blocks > 1").select("c", "root", "band", "block")
+    held = keys.join(placed, "c").select(F.explode("keys").alias("key"), "root", F.col("band").alias("at_band"), F.col("block").alias("at_block")).distinct()
 
     def compare(labelled: DataFrame, chosen: DataFrame) -> DataFrame:
         own = texts.join(labelled, ["c", "d"])
-        asking = own.join(chosen, ["c", "d"], "left_semi").withColumn("block", others)
+        asks = chosen.select("c").distinct().join(placed, "c").join(keys, "c").withColumn("key", F.explode("keys")).drop("keys").join(held, ["key", "root"])
+        asks = asks.where((F.abs(F.col("band") - F.col("at_band")) <= 1) & (F.col("block") != F.col("at_block"))).select("c", "at_block").distinct()
         pick = ["root", "block", "c", "d", F.xxhash64("label").alias("label"), "text"]
+        asking = own.join(chosen, ["c", "d"], "left_semi").drop("block").join(asks, "c").withColumnRenamed("at_block", "block")
         found = link_across(asking.select(*pick), own.select(*pick), k, percent)
         return found.select(_node("uc", "ud").alias("u"), _node("vc", "vd").alias("v"))
 
@@ -257,13 +289,13 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     edges = stored(edges.unionByName(compare(local, linked.where("blocks > 1 and probe"))))
 
     def labels(edges: DataFrame) -> DataFrame:
-        found = components(edges).select(F.col("node.c").alias("c"), F.col("node.d").alias("d"), F.col("root").alias("_l"))
-        return local.join(found, ["c", "d"], "left").select("c", "d", F.coalesce("_l", _node("c", "d")).alias("label"))
+        found = components(edges).select(F.col("node.c").alias("c"), F.col("node.d").alias("d"), F.col("root").alias("to"))
+        return local.join(found, ["c", "d"], "left").select("c", "d", F.coalesce("to", _node("c", "d")).alias("label"))
 
     now = stored(labels(edges))
     sized = linked.where("blocks > 1").join(now, ["c", "d"]).groupBy("root", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = sized.groupBy("root").agg(F.max(F.struct("k", "label")).alias("x")).select("root", F.col("x.label").alias("main"))
-    outside = linked.where("blocks > 1").join(now, ["c", "d"]).join(largest, "root").where(F.col("label") != F.col("main"))
+    largest = sized.groupBy("root").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("k"))
+    outside = joined_by(linked.where("blocks > 1").join(now, ["c", "d"]), largest, "root").where(F.col("label") != F.col("main"))
     more = stored(compare(now, outside.select("c", "d")))
     if more.take(1):
         now = labels(edges.unionByName(more))
@@ -289,10 +321,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one row of each group; rows without words stay."""
+    """docs without all but one row of each group, columns of any names; rows without words stay."""
     found = near_duplicates(docs, shingle, percent)
-    stay = found.where((F.col("n_shingles") == 0) | (F.col("rk") == F.col("rep.rk"))).groupBy("rk").agg(F.max("n_shingles").alias("_n"))
-    keyed = docs.withColumn("_rk", F.xxhash64("doc_id", text_of(F.col("text"))))
-    kept = keyed.join(stay.withColumnRenamed("rk", "_rk"), "_rk")
-    once = kept.where("_n > 0").dropDuplicates(["_rk", "doc_id"])
-    return once.unionByName(kept.where("_n = 0")).select(*docs.columns)
+    stay = found.where((F.col("n_shingles") == 0) | (F.col("rk") == F.col("rep.rk"))).groupBy("rk").agg(F.max("n_shingles").alias("n"))
+    df = packed(docs, F.xxhash64("doc_id", text_of(F.col("text"))).alias("rk"), F.col("doc_id")).join(stay, "rk")
+    once = df.where("n > 0").dropDuplicates(["rk", "doc_id"])
+    return unpacked(once.unionByName(df.where("n = 0")), docs)
