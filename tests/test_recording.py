@@ -304,7 +304,7 @@ def test_runs_tags_and_partial_episodes(spark, tmp_path):
     for run in ("r1", "r2"):
         sinks.write_run(str(tmp_path / "run"), stats, {"min_group": 20}, ["q_sparc"], run)
     run, config, fields, back = sinks.read_run(spark, str(tmp_path / "run"))
-    assert (run, config, fields, back.count()) == ("r2", {"min_group": 20}, ["q_sparc"], 1)
+    assert (run, config, fields, back.count()) == ("r2", {"config_version": m.CONFIG_VERSION, "min_group": 20}, ["q_sparc"], 1)
     assert sinks.mixed_runs(spark.createDataFrame([("a",), ("b",)], "run_id string")).first().mixed
     e = spark.createDataFrame([(1, ["b"]), (2, None)], "episode_id long, tags array<string>")
     assert sorted((r.episode_id, r.tags) for r in sinks.tag_selection(e, e.where("episode_id = 1"), "a").collect()) == [(1, ["a", "b"]), (2, None)]
@@ -333,3 +333,23 @@ def test_streams_measure_whole_episodes(spark, tmp_path):
     assert found.select("epoch").distinct().count() == 2
     assert sorted((r.episode_id, r.n, r.v) for r in streaming.latest(found).collect()) == [(1, 40, 780.0), (2, 40, 780.0)]
     assert sorted((r.episode_id, r.frames) for r in streaming.episode_lengths(df).collect()) == [(1, 40), (2, 40)]
+
+
+def test_selection_and_panel_rows(spark):
+    e = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "a")], "episode_id long, task_key string")
+    ids = lambda df: [r.episode_id for r in df.collect()]
+    assert sorted(ids(episodes.of_task(e, "a"))) == [1, 4] and sorted(ids(episodes.of_task(e, ""))) == [2, 3] and len(ids(episodes.of_task(e, None))) == 4
+    assert ids(episodes.selected(e, [4, 9, 1, 4])) == [4, 1]
+    worst = spark.createDataFrame([(1, "g", "sparc", "arm", 2.5, 0.5)], "episode_id long, group_label string, metric string, signal string, z double, value double")
+    z = spark.createDataFrame([(1, "sparc", "arm", 0.5, 2.5), (1, "sparc", "hand", 0.25, 1.0)], "episode_id long, metric string, signal string, value double, z double")
+    assert registry.metric_rows(worst, z).first().breakdown == "arm=500,hand=250"
+    groups = spark.createDataFrame([(1, "g", "task"), (2, "g", "task")], "episode_id long, group_label string, basis string")
+    rows = {r.episode_id: r for r in registry.panel(registry.Scored(z, groups, z, z, worst, scoring.profile_scores(worst), {})).collect()}
+    assert rows[1]["values"] == {"sparc": 0.5} and rows[1].z == {"sparc": 2.5} and rows[1].verdict == "warn" and rows[2].verdict == "unknown"
+
+
+def test_a_recordings_tables_are_not_mixed_up(recording):
+    """Metrics asked for in other orders come from the same stored rows."""
+    one = registry.compute_raw(recording, ["ldlj", "length_z"])[0].collect()
+    two = registry.compute_raw(recording, ["length_z", "ldlj"])[0].collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))

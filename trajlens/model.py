@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+CONFIG_VERSION = 1  # of the thresholds, the registry and the scoring that a run was made with
 #: Fixed values.
 WARN_Z, FAIL_Z, Z_CLIP, MAD_TO_STD, MIN_SCALE = 2.0, 3.0, 10.0, 1.4826, 1e-12
 SIGNED_FLOOR, SIGNED_MIN = 0.05, 1e-9

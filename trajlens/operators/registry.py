@@ -165,8 +165,8 @@ def compute_raw(recording: Recording, names: list[str] | None = None, digits: in
     parts, failures = [], {}
     for name in names or list(FUNCTIONS):
         try:
-            for part in FUNCTIONS[name](recording):
-                parts.append(recording.once(f"raw {name} {len(parts)}", lambda part=part: part.select("episode_id", "metric", "signal", "value", "worst")))
+            for i, part in enumerate(FUNCTIONS[name](recording)):
+                parts.append(recording.once(f"raw {name} {i}", lambda part=part: part.select("episode_id", "metric", "signal", "value", "worst")))
         except Exception as e:  # noqa: BLE001  one metric's failure is a fact about it, not the end of the others
             failures[name] = f"{type(e).__name__}: {str(e)[:200]}"
     spark = recording.frames.sparkSession
@@ -194,6 +194,25 @@ class Scored:
         return df.select(BY, "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"))
 
 
+def metric_rows(worst: DataFrame, z: DataFrame) -> DataFrame:
+    """episode_id, metric, value, z, breakdown: a metric's worst signal, and its value on every signal in thousandths."""
+    own = F.filter(F.sort_array(F.collect_list(F.struct("signal", "value"))), lambda s: s.signal != "")
+    text = F.array_join(F.transform(own, lambda s: F.concat_ws("=", s.signal, F.round(s.value * 1000).cast("long").cast("string"))), ",")
+    return worst.select(BY, "metric", "value", "z").join(z.groupBy(BY, "metric").agg(text.alias("breakdown")), [BY, "metric"])
+
+
+def present_signals(raw: DataFrame) -> DataFrame:
+    """metric, signals: the signals on which each metric has values, in order."""
+    return raw.where("signal <> ''").groupBy("metric").agg(F.array_join(F.sort_array(F.collect_set("signal")), ",").alias("signals"))
+
+
+def panel(scored: Scored) -> DataFrame:
+    """One row an episode as a panel shows it: the ranking's columns, and its metrics' values and z as maps."""
+    entries = lambda c: F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", c))))
+    maps = scored.worst.groupBy(BY).agg(entries("value").alias("values"), entries("z").alias("z"))
+    return scored.ranking().join(maps, BY, "left")
+
+
 def finalize(recording: Recording, raw: DataFrame, failures: dict[str, str], min_group: int = m.MIN_GROUP) -> Scored:
     """Groups, robust fit, z-scores, worst signals and profile scores of a batch's raw values."""
     groups = stored(scoring.assign_groups(recording.episodes, min_group))

@@ -99,6 +99,22 @@ def q_ranking_signals(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_scored(spark, d).worst)
 
 
+def q_metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each recording's metrics as an inspector lists them."""
+    scored = _scored(spark, d)
+    return _rounded(registry.metric_rows(scored.worst, scored.z))
+
+
+def q_present_signals(spark: SparkSession, d: str) -> DataFrame:
+    return registry.present_signals(registry.compute_raw(recording(spark, d), RANKED, 6)[0])
+
+
+def q_first_task(spark: SparkSession, d: str) -> DataFrame:
+    """The episodes of the task that comes first by name."""
+    e = storage.stored(episodes.event_episodes(spark, d))
+    return episodes.of_task(e, e.agg(F.min("task_key")).first()[0])
+
+
 def q_family_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score and flags of each recording within each metric family."""
     return _rounded(scoring.family_scores(_scored(spark, d).worst))

@@ -310,6 +310,9 @@ SELECT episode_id, {_r('start_s', 'start_s')}, {_r('end_s', 'end_s')}, label, ki
 ORACLE |= {
     "quality_ranking": f"WITH {RANKING} SELECT e AS episode_id, group_label, basis, {_r('score', 'score')}, n_flags, driver, verdict FROM rk",
     "ranking_signals": f"WITH {RANKING} SELECT e AS episode_id, group_label, metric, signal, {_r('z', 'z')}, {_r('value', 'value')} FROM z",
+    "metric_rows": f"WITH {RANKING} SELECT e AS episode_id, metric, {_r('value', 'value')}, {_r('z', 'z')}, CASE WHEN signal = '' THEN '' ELSE signal || '=' || CAST(round(value * 1000) AS BIGINT) END AS breakdown FROM z",
+    "present_signals": f"WITH {RANKING} SELECT metric, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM raw WHERE signal <> '' GROUP BY metric",
+    "first_task": f"WITH {EV} SELECT e AS episode_id, length, task AS task_key FROM ep WHERE task = (SELECT min(task) FROM ep)",
     "family_scores": f"WITH {RANKING} SELECT e AS episode_id, grp AS family, {_r('max(z)', 'score')}, count(*) FILTER (z >= 2) AS n_flags FROM z JOIN mem USING (metric) GROUP BY e, grp",
     "feature_matrix": f"WITH {RANKING}, p AS (SELECT group_label, e, " + ", ".join(f"max(z) FILTER (metric = '{x}') AS {x}" for x in _RANKED) + " FROM z GROUP BY ALL) SELECT group_label AS grp, e AS episode_id, " + ", ".join(_r(f"coalesce({x}, median({x}) OVER (PARTITION BY group_label), 0)", x) for x in _RANKED) + " FROM p",
     "flat_results": f"WITH {RANKING}, wo AS (SELECT e, 'sparc' AS metric, worst FROM (SELECT episode_id AS e, worst FROM ({ORACLE['sparc']})) UNION ALL SELECT e, 'ldlj', round(quantile_cont(v, 0.05), 6) FROM ({_LDLJ[: _LDLJ.rindex('SELECT e AS episode_id')]} SELECT e, v FROM v) GROUP BY e), "

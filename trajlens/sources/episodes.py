@@ -55,3 +55,14 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("episode_id").orderBy(*LINE_ORDER)
     df = table(spark, sf_dir, "lineitem").withColumn("episode_id", F.col("l_orderkey").cast("long"))
     return df.select("episode_id", (F.row_number().over(w) - 1).alias("idx"), F.col("l_linenumber").cast("long").alias("frame_index"), F.array("l_quantity", "l_extendedprice").alias("action"))
+
+
+def of_task(episodes: DataFrame, task: str | None) -> DataFrame:
+    """The episodes of exactly this task; "" is no task, None is all."""
+    return episodes if task is None else episodes.where(F.coalesce("task_key", F.lit("")) == task)
+
+
+def selected(episodes: DataFrame, ids: list[int]) -> DataFrame:
+    """The episodes of these ids with place, their place among the ids; unknown ids have no row."""
+    order = episodes.sparkSession.createDataFrame(list(enumerate(dict.fromkeys(ids))), "place int, episode_id long")
+    return episodes.join(F.broadcast(order), "episode_id").orderBy("place")  # as many rows as a caller names

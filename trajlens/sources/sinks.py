@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import CONFIG_VERSION
+
 
 def wide(values: DataFrame, metrics: list[str], prefix: str = "q_") -> DataFrame:
     """episode_id and one column a metric, from the long table; the columns are fixed so that plans don't depend on data."""
@@ -39,7 +41,7 @@ def write_run(path: str, stats: DataFrame, config: dict, fields: list[str], run_
     """The run that a dataset's scores come from, overwritten each time: its normalisation as a table, all else as one JSON row."""
     spark = stats.sparkSession
     stats.write.mode("overwrite").parquet(f"{path}/stats")
-    spark.createDataFrame([(run_id, json.dumps(config, sort_keys=True), fields)], "run_id string, config string, fields array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/run")
+    spark.createDataFrame([(run_id, json.dumps({"config_version": CONFIG_VERSION, **config}, sort_keys=True), fields)], "run_id string, config string, fields array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/run")
 
 
 def read_run(spark: SparkSession, path: str) -> tuple[str, dict, list[str], DataFrame]:
