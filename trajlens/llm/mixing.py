@@ -11,7 +11,8 @@ used. No document is sorted. The boundary hash itself is taken if that brings th
 
 The hash is the first 60 bits of md5 over id, source and text, so reruns agree and partitioning doesn't matter. Rows
 that repeat exactly share a hash and are taken together. A null text has size 0 and takes nothing; a null source is a
-source of its own. An empty table gives an empty table. Sizes must fit a long.
+source of its own; a caller's columns may have any names. An empty table gives an empty table. Sizes must fit a long.
+Targets are found by windows over one row a source, in one task: sources must be fewer than some ten million.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words_of, stored, text_of
+from .common import n_words_of, packed, stored, text_of, unpacked
 
 BITS, LEVELS = 12, 5  # 60 bits of hash; 4,096 buckets a source and level
 MAX_EPOCHS, WEIGHT_CYCLE = 3, 3
@@ -57,14 +58,14 @@ def targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def thresholds(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
-    """_s (source), source_size, target, _whole (times that all its rows are taken), _lo and _edge (which once more)."""
+    """from_source, source_size, target, whole (times that all its rows are taken), lo and edge (which once more)."""
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = per_source.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     state = state.withColumn("lo", F.lit(0).cast("long"))
     for level in range(LEVELS):  # lo: the first hash of the boundary bucket; rest: the budget left when it begins
         shift = BITS * (LEVELS - 1 - level)
-        at = state.withColumnRenamed("source", "_s")
-        inside = F.col("source").eqNullSafe(F.col("_s")) & (F.shiftright(F.col("h"), shift + BITS) == F.shiftright(F.col("lo"), shift + BITS))
+        at = state.withColumnRenamed("source", "from_source")
+        inside = F.col("source").eqNullSafe(F.col("from_source")) & (F.shiftright(F.col("h"), shift + BITS) == F.shiftright(F.col("lo"), shift + BITS))
         same = [F.first(c).alias(c) for c in ("source_size", "target", "whole", "rest")]
         buckets = sizes.join(at, inside).groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("n"), *same)
         run = Window.partitionBy("source").orderBy("b")
@@ -76,27 +77,28 @@ def thresholds(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
         edge = edge.groupBy("source").agg(F.min(F.struct("b", left, "n", "source_size", "target", "whole")).alias("e"))
         state = edge.select("source", "e.source_size", "e.target", "e.whole", "e.rest", "e.n", F.shiftleft("e.b", shift).alias("lo"))
     edge_too = 2 * F.col("rest") >= F.col("n")
-    return state.select(F.col("source").alias("_s"), "source_size", "target", F.col("whole").alias("_whole"), F.col("lo").alias("_lo"), ((F.col("rest") > 0) & edge_too).alias("_edge"))
+    return state.select(F.col("source").alias("from_source"), "source_size", "target", "whole", "lo", ((F.col("rest") > 0) & edge_too).alias("edge"))
 
 
 def times(h: Column) -> Column:
-    return F.col("_whole") + ((h < F.col("_lo")) | ((h == F.col("_lo")) & F.col("_edge"))).cast("long")
+    return F.col("whole") + ((h < F.col("lo")) | ((h == F.col("lo")) & F.col("edge"))).cast("long")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target and times for every row of docs."""
     sizes = stored(sized(docs))
     state = thresholds(sizes, targets(sizes))
-    return sizes.join(state, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", times(F.col("h")).alias("times"))
+    return sizes.join(state, F.col("source").eqNullSafe(F.col("from_source"))).select("doc_id", "source", "size", "source_size", "target", times(F.col("h")).alias("times"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each row 0 to 3 times, with its own columns.
+    """docs as the mix takes them: each row 0 to 3 times, with its own columns, whatever their names.
 
-    Thresholds are few (one row a source), so they meet the documents in a join by source; a row's own hash decides.
+    Thresholds are one stored row a source, so Spark knows their size: it sends them to the tasks while they are below its
+    broadcast limit, and joins by source (splitting hot sources) beyond it. A row's own hash decides.
     """
     sizes = stored(sized(docs))
-    state = thresholds(sizes, targets(sizes))
-    keyed = docs.withColumn("_h", row_hash()).withColumn("_key", F.col("source").cast("string"))
-    df = keyed.join(state, F.col("_key").eqNullSafe(F.col("_s"))).withColumn("_times", times(F.col("_h")))
-    return df.withColumn("_again", F.explode(F.expr("array_repeat(0, cast(_times as int))"))).select(*docs.columns)
+    state = stored(thresholds(sizes, targets(sizes)))
+    df = packed(docs, row_hash().alias("h"), F.col("source").cast("string").alias("source"))
+    df = df.join(state, F.col("source").eqNullSafe(F.col("from_source"))).select("row", times(F.col("h")).cast("int").alias("n"))
+    return unpacked(df.select("row", F.explode(F.expr("array_repeat(0, n)"))), docs)
