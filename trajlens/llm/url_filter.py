@@ -1,7 +1,7 @@
 """URL filter: path rules first, then a logistic regression on hashed character n-grams of host and path.
 
-The regression is trained here on a small labelled table of (host, path, block) rows; ``SEED_URLS`` is the default and
-``MAX_LABELLED`` bounds what a caller may pass (the bounded labelled sample on which the classifier is fitted). Its
+The regression is trained here on a small labelled table of (host, path, block) rows; ``SEED_URLS`` is the default, made
+of general words by a rule, and ``MAX_LABELLED`` bounds what a caller may pass (the bounded labelled sample on which the classifier is fitted). Its
 weights, 2**HASH_BITS doubles, go to the tasks once; urls are judged in Arrow batches and nothing is shuffled.
 
 Rules: a rule ``host/path`` fits a url whose host is the rule's or one of its subdomains and whose path starts with the
@@ -25,15 +25,31 @@ from .common import lower_ascii
 
 #: (verdict, rule); a rule is a host and the beginning of a path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-HASH_BITS, NGRAMS, THRESHOLD, MAX_LABELLED = 16, (3, 4, 5), 0.5, 10_000
+HASH_BITS, NGRAMS, THRESHOLD, MAX_LABELLED, SLICE = 16, (3, 4, 5), 0.5, 10_000, 512
 
-_BAD = "cheap-pills spam-farm casino-bonus free-ringtones payday-loans replica-watches adult-cams hot-singles torrent-keygen crack-serials lottery-winner weight-loss-miracle link-farm seo-backlinks fake-followers click-bait-news"
-_GOOD = "library museum university weather gardening recipes history science city-council railway-club orchestra bookshop astronomy news-archive cycling chess-club northwind maplecrest thalor minera ertion anthea orland tiburon thesis theshore hesthes"
+#: Words that the labelled hosts are made of. Tails, top domains and paths say nothing: most are in both classes.
+BAD_WORDS = "adult ads bets bonus casino cheap click crack escort followers free keygen loans lottery pills poker porn prize replica slots spam torrent tracker viagra warez webcam winner xxx".split()
+GOOD_WORDS = "archive astronomy books chess choir city council cycling garden gallery history hospital journal kitchen law library maths museum music news nature orchestra physics poetry railway recipes school science theatre travel university weather".split()
+TAILS = "best center club deals farm guide house hub now online pro review shop site today win world zone".split()
 _TLDS = ("example.com", "example.net", "example.org")
-_PATHS = ("/en/12", "/en/960", "/fr/88", "/de/431", "/es/7.html", "")  # alike in both classes: language folders and numbers say nothing
-_GOOD_PATHS, _BAD_PATHS = (*_PATHS, "/about", "/fr/article"), (*_PATHS, "/buy-now", "/win/prize")
-#: The small labelled table: (host, path, blocked); hosts differ in their names, not in language folders or top domains.
-SEED_URLS = [(f"{pre}{name}.{_TLDS[i % 3]}", paths[(i + j) % len(paths)], y) for y, names, paths in ((1, _BAD, _BAD_PATHS), (0, _GOOD, _GOOD_PATHS)) for i, name in enumerate(names.split()) for j, pre in enumerate(("", "www.", "blog."))]
+_PATHS = ("/en/12", "/en/960", "/fr/88", "/de/431", "/es/7.html", "")
+PREFIXES = ("", "www.", "blog.", "m.")
+SYLLABLES = "an ber cor del en fis gal hor in jun kel lor men nar or pel quin ros sel tan ur vel wes yor zan".split()
+
+
+def labelled_urls() -> list[tuple[str, str, int]]:
+    """The small labelled table by rule: each word with four tails, and names of invented words, which are no evidence and allowed."""
+    rows = []
+    for y, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
+        for i, word in enumerate(words):
+            rows += [(f"{PREFIXES[(i + j) % 4]}{word}-{TAILS[(5 * i + 7 * j) % len(TAILS)]}.{_TLDS[(i + j) % 3]}", _PATHS[(i + 2 * j) % len(_PATHS)], y) for j in range(4)]
+    for i in range(150):
+        name = "".join(SYLLABLES[(7 * i + 11 * j * (i + 1) + i // 25) % len(SYLLABLES)] for j in range(2 + i % 3))
+        rows.append((f"{PREFIXES[i % 4]}{name}.{_TLDS[i % 3]}", _PATHS[i % len(_PATHS)], 0))
+    return rows
+
+
+SEED_URLS = labelled_urls()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -81,7 +97,7 @@ def url_key(host: str, path: str) -> bytes:
     return f"^{host}{path}$".encode()
 
 
-def train(labelled: Sequence[tuple[str, str, int]] = SEED_URLS, steps: int = 300, rate: float = 2.0, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(labelled: Sequence[tuple[str, str, int]] = SEED_URLS, steps: int = 1500, rate: float = 8.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and intercept by gradient descent on the log loss; features are n-gram counts over the row's n-grams."""
     if not 0 < len(labelled) <= MAX_LABELLED:
         raise ValueError(f"the labelled table must have 1 to {MAX_LABELLED} rows")
@@ -113,7 +129,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            p = predict([url_key(h, x) for h, x in zip(hosts, paths)], w, b)
+            keys = [url_key(h, x) for h, x in zip(hosts, paths)]
+            p = np.concatenate([np.zeros(0), *(predict(keys[k : k + SLICE], w, b) for k in range(0, len(keys), SLICE))])
             p = np.where([not h and not x for h, x in zip(hosts, paths)], 0.0, p)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "block_score"])
 
