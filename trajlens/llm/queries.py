@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, sentencepiece, topk, url_filter
+from . import license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, repeats, sentencepiece, topk, url_filter
 from .common import read
-from .sql import MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, TOPK_SQL
+from .sql import MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, REPEATS_SQL, TOPK_SQL
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +57,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", *base)
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_exact_topk, op4_license_scan, op5_lm_score, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules)}
+    every = (op1_sentencepiece, op2_pii, op3_exact_topk, op4_license_scan, op5_lm_score, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules, op11_suffix_array_dedup)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": TOPK_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL, "op11_suffix_array_dedup": REPEATS_SQL}

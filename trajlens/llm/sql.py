@@ -83,3 +83,16 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_
   NOT failed AND NOT coalesce(vc > {q.MAX_CLASS_DISTANCE}, false) AND NOT coalesce(vw > {q.MAX_WORD_DISTANCE}, false) AS kept
 FROM j
 """
+
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+p AS (SELECT r, unnest(range(1, octet_length(b) + 1)) AS i, unnest(range(1, octet_length(b) + 1)) + 199 <= octet_length(b) AS fits FROM d),
+w AS (SELECT p.r, i, CASE WHEN fits THEN md5(array_slice(b, i, i + 199)) END AS h, array_slice(b, i, i) AS c FROM p JOIN d USING (r)),
+k AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (SELECT w.*, CASE WHEN k.h IS NULL THEN 0 ELSE 1 END AS again FROM w LEFT JOIN k USING (h)),
+g AS (SELECT r, i, c, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM m),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY r ORDER BY i) AS before FROM g),
+a AS (SELECT r, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND before = 0) AS n_spans, string_agg(hex(c), '' ORDER BY i) FILTER (gone = 0) AS kept FROM e GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
