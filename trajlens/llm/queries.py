@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, repeats, sentencepiece, topk, url_filter
+from . import divergence, license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, repeats, sentencepiece, topk, url_filter, whitening
 from .common import read
-from .sql import MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, REPEATS_SQL, TOPK_SQL
+from .sql import DIVERGENCE_SQL, MIXING_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL, REPEATS_SQL, TOPK_SQL
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,10 +61,19 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return df.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_pii, op3_exact_topk, op4_license_scan, op5_lm_score, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules, op11_suffix_array_dedup)
+    every = (op1_sentencepiece, op2_pii, op3_exact_topk, op4_license_scan, op5_lm_score, op6_minhash_near_dedup, op7_quality_classifier, op8_url_filter, op9_mixing, op10_quality_rules, op11_suffix_array_dedup, op12_source_divergence, op13_embedding_whitening)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": TOPK_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL, "op11_suffix_array_dedup": REPEATS_SQL}
+    return {"op3_exact_topk": TOPK_SQL, "op6_minhash_near_dedup": NEAR_DEDUP_SQL, "op9_mixing": MIXING_SQL, "op10_quality_rules": QUALITY_RULES_SQL, "op11_suffix_array_dedup": REPEATS_SQL, "op12_source_divergence": DIVERGENCE_SQL}
