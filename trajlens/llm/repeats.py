@@ -138,6 +138,8 @@ def looked_up(docs: DataFrame, triggers: DataFrame, length: int) -> DataFrame:
                 fresh = (part["sha"] != part["sha"].shift(1, fill_value=before)).to_numpy()  # copies of a text mostly meet one after the other
                 before = part["sha"].iloc[-1]
                 part = part[fresh].reset_index(drop=True)
+                if part.empty:
+                    continue
                 texts = part["body"].tolist()
                 gone, unsure = [[] for _ in texts], [[] for _ in texts]
                 pure_keys, unsure_keys = part["pure"].tolist(), part["unsure"].tolist()
@@ -266,7 +268,8 @@ def resolved(rows: DataFrame, length: int) -> DataFrame:
         bodies, weight = own["body"].tolist(), own["weight"].to_numpy()
         hits = [_ranges(h if w < 2 else np.ones_like(h)) for h, w in zip(corpus_order(bodies, own["at"].to_numpy(), length), weight)]
         found = pd.DataFrame({"key": own["key"], "ctx": own["ctx"], "hits": hits})
-        return found[found["hits"].map(len) > 0]
+        found = found[found["hits"].map(len) > 0]
+        return found.astype({"hits": object})
 
     return dealt.groupBy("task").applyInPandas(run, f"key long, ctx binary, hits {SPANS}")
 
@@ -335,7 +338,7 @@ def changed_texts(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     both = sure.unionByName(texts.where(F.size("open") > 0).join(more, "sha", "left").select("sha", "body", "gone", F.coalesce("more", none).alias("more")))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (f for f in frames if len(f)):
             spans = [merged([*g, *m]) for g, m in zip(frame["gone"], frame["more"])]
             yield pd.DataFrame({"sha": frame["sha"], "spans": spans, "kept": [b"".join(b[x:y] for x, y in zip([0, *[s["stop"] for s in own]], [*[s["start"] for s in own], len(b)])) for own, b in zip(spans, frame["body"])]})
 
