@@ -201,7 +201,9 @@ def test_corruptions_do_what_they_say(spark):
     busy = spark.createDataFrame([(1, i, [math.sin(0.7 * i) + 0.4 * math.sin(0.23 * i)], [math.sin(0.7 * i) + 0.4 * math.sin(0.23 * i)]) for i in range(300)], "episode_id long, idx int, action array<double>, state array<double>")
     assert metrics.track_lag(harness.lagged_state(busy, FPS), [0], FPS).first().lag == 8
     assert values(metrics.accel_spike_frac(metrics.accel_spikes(signals.acceleration(harness.jolts(f, 0, 2.0), [0, 1], FPS))))[1] > 0
-    assert values(metrics.joint_limit_frac(harness.at_limits(f, 0, 1.0), [0]))[1] > values(metrics.joint_limit_frac(f, [0]))[1]
+    bounds = spark.createDataFrame([(0, 0.0, 1.0)], 'dim int, lo double, hi double')
+    assert values(metrics.joint_limit_frac(harness.at_limits(f, 0, 1.0), [0], bounds))[1] > values(metrics.joint_limit_frac(f, [0], bounds))[1]
+    assert not metrics.joint_limit_frac(f, [0]).count()
     flips = lambda d: values(metrics.gripper_flips(signals.gripper_unit(d, [1]), FPS, "g"))
     assert flips(harness.gripper_chatter(f, 1, 0.0, 2.0))[1] > flips(f)[1] + 1
     stalled = values(metrics.track_resid(harness.stalled_joint(busy, 0), metrics.track_lag(busy, [0], FPS), [0], "arm"))

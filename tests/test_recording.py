@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlens import model as m
+from trajlens import storage
 from trajlens.functions import spectral
 from trajlens.operators import batch, camera, harness, metrics, registry, scoring, signals, spans, video
 from trajlens.picks import Group, Picks, assemble, infer, labels, picked
@@ -175,10 +176,10 @@ def test_spectra_equal_plain_loops(recording):
 
 
 def test_full_ranking_is_the_ranking_with_more_metrics(spark, recording):
-    scored = registry.score(recording, None, quality.SUPPLIER_MIN_GROUP)
-    assert not scored.failures
+    scored = registry.score(recording, list(registry.FUNCTIONS))
+    assert not scored.failures.count()
     found = {r.metric for r in scored.raw.select("metric").distinct().collect()}
-    assert found >= {"idle_lead_s", "longest_pause_s", "jerk_rms", "psd_lf_hf", "track_lag_ms", "recovery_count", *quality.RANKED} - {"action_divergence"}  # groups of two are too small for peers
+    assert found >= {"idle_lead_s", "longest_pause_s", "jerk_rms", "psd_lf_hf", "track_lag_ms", "recovery_count", *quality.RANKED}
     weights = {x.name: (x.group, x.weight) for x in m.METRICS if x.group}
     best = {}
     for r in scored.worst.collect():
@@ -197,14 +198,96 @@ def test_a_failing_metric_is_reported_and_the_others_go_on(recording, monkeypatc
 
     monkeypatch.setitem(registry.FUNCTIONS, "ldlj", broken)
     raw, failures = registry.compute_raw(recording, ["length_z", "ldlj"])
-    assert list(failures) == ["ldlj"] and "ZeroDivisionError" in failures["ldlj"]
+    lost = failures.collect()
+    assert len(lost) == recording.episodes.count() and {r.metric for r in lost} == {"ldlj"} and "ZeroDivisionError" in lost[0].error
     assert {r.metric for r in raw.select("metric").distinct().collect()} == {"length_z"}
+    assert {r.failed for r in registry.finalize(recording, raw, failures).ranking().collect()} == {"ldlj"}
+
+
+def test_one_broken_episode_loses_one_metric(recording, monkeypatch):
+    """A measure that fails inside a task for one episode costs that episode that metric alone, and its verdict says so."""
+    bad = recording.episodes.agg({"episode_id": "min"}).first()[0]
+    arm = recording.picks.of("arm")[0]
+
+    def measure(x):
+        if not x[-1] >= 0:
+            raise ValueError("a broken series")
+        return (float(x.sum()),)
+
+    broken = recording.windows(arm).withColumn("speed", F.when((F.col("episode_id") == bad) & (F.col("win") == 1), -1.0).otherwise(F.col("speed")))
+    found = storage.stored(spectral.by_window(broken, measure, ["v"]))
+    monkeypatch.setitem(registry.FUNCTIONS, "sparc", lambda r: [metrics.windowed(found, "sparc", arm.signal)])
+    monkeypatch.setitem(registry.ERRORS, "sparc", lambda r: [found])
+    scored = registry.score(recording, ["sparc", "ldlj", "length_z"])
+    assert [(r.episode_id, r.metric, r.error) for r in scored.failures.collect()] == [(bad, "sparc", "ValueError: a broken series")]
+    have = {}
+    for r in scored.raw.collect():
+        have.setdefault(r.episode_id, set()).add(r.metric)
+    assert have.pop(bad) == {"ldlj", "length_z"} and all(v == {"sparc", "ldlj", "length_z"} for v in have.values())
+    assert {r.episode_id: r.failed for r in scored.ranking().collect() if r.failed} == {bad: "sparc"}
+
+
+def test_low_pass_failures_are_rows(spark):
+    df = spark.createDataFrame([(1, i, float(i % 7)) for i in range(60)] + [(2, i, float(i % 5)) for i in range(60)], "episode_id long, i int, speed double")
+    whole = {r.episode_id: r for r in spectral.filtered_whole(df, FPS).collect()}
+    assert all(len(r.f) == 60 and r.error is None for r in whole.values())
+
+
+def test_a_failing_job_ends_the_run(recording, monkeypatch):
+    from pyspark.errors import PySparkException
+
+    def lost(_):
+        raise PySparkException("a table is gone")
+
+    monkeypatch.setitem(registry.FUNCTIONS, "ldlj", lost)
+    with pytest.raises(PySparkException):
+        registry.compute_raw(recording, ["ldlj"])
+
+
+def test_opt_in_metrics_run_only_when_named(recording):
+    names = set(registry.default_metrics())
+    assert names == {n for n in registry.FUNCTIONS if not m.BY_NAME[n].opt_in} and "jerk_rms" not in names and "sparc" in names
+    assert {r.metric for r in registry.compute_raw(recording)[0].select("metric").distinct().collect()} <= names
+
+
+def test_gates_on_sizes_and_values(spark):
+    """Episodes whose arrays don't fit a metric have no value of it; all others keep theirs."""
+    wave = lambda i, d: [math.sin(0.3 * i + k) for k in range(d)]
+    rows = [(e, i, wave(i, 3), wave(i, 3 if e else 2)) for e in range(7) for i in range(60)] + [(7, i, wave(i, 1), wave(i, 1)) for i in range(60)] + [(8, i, wave(i, 3), wave(i, 3)) for i in range(2)]
+    rows[65] = (1, 5, [float("nan"), 0.0, 0.0], [0.0] * 3)
+    frames = spark.createDataFrame(rows, "episode_id long, idx int, action array<double>, state array<double>")
+    who = spark.createDataFrame([(e, "s", "t", "r") for e in range(9)], "episode_id long, source_id string, task_key string, robot string")
+    raw, failures = registry.compute_raw(registry.Recording(frames, who, FPS, quality.PICKS, min_group=5), ["path_length_z", "track_resid", "action_divergence", "joint_limit_frac"])
+    have = {}
+    for r in raw.collect():
+        have.setdefault(r.metric, set()).add(r.episode_id)
+    assert not failures.count() and "joint_limit_frac" not in have
+    assert have["path_length_z"] == set(range(7)) and 0 not in have["track_resid"] and {2, 3, 4, 5, 6} <= have["track_resid"]
+    assert have["action_divergence"] == {2, 3, 4, 5, 6, 8}
+
+
+def test_declared_ranges_count_where_sizes_match(spark):
+    rows = [(e, i, [float(i), 2.0 * i], [float(i)]) for e in (1, 2, 3) for i in range(11)]
+    frames = spark.createDataFrame(rows, "episode_id long, idx int, action array<double>, state array<double>")
+    said = spark.createDataFrame([(1, "action", [10.0, 0.0]), (2, "action", [5.0]), (1, "state", [2.0])], "episode_id long, vector string, ranges array<double>")
+    got = {r.episode_id: (r.u_action, r.u_state) for r in signals.with_units(frames, declared=said).where("idx = 10").collect()}
+    assert got[1] == ([1.0, 20.0], [5.0]) and got[2] == got[3] == ([10 / 9, 20 / 18], [10 / 9])
+
+
+def test_divergence_has_peers_in_the_pooled_group(spark):
+    """Episodes of many small tasks share the pooled group, and are each other's peers there."""
+    rows = [(e, i, [math.sin(0.1 * i + e), 0.1 * e], [math.sin(0.1 * i), 0.0]) for e in range(12) for i in range(40)]
+    frames = spark.createDataFrame(rows, "episode_id long, idx int, action array<double>, state array<double>")
+    who = spark.createDataFrame([(e, "s", f"t{e}", "a" if e < 9 else "b") for e in range(12)], "episode_id long, source_id string, task_key string, robot string")
+    r = registry.Recording(frames, who, FPS, Picks("action", "state"))
+    raw, _ = registry.compute_raw(r, ["action_divergence"])
+    assert {x.episode_id for x in raw.collect()} == set(range(9))  # three of the other robot are too few
 
 
 def test_missing_picks_switch_metrics_off(spark, recording):
-    bare = registry.Recording(recording.own, recording.episodes, FPS, Picks("action", "state"))
+    bare = registry.Recording(recording.frames, recording.episodes, FPS, Picks("action", "state"))
     raw, failures = registry.compute_raw(bare)
-    assert not failures and {r.metric for r in raw.select("metric").distinct().collect()} == {"length_z"}  # metrics of peers need larger groups
+    assert not failures.count() and {r.metric for r in raw.select("metric").distinct().collect()} == {"length_z", "action_divergence"}
     assert [need for _, need in Picks().readiness(True)][:4] == ["pick the action array", "pick the action array", "pick the state and action arrays", "pick gripper joints"]
     assert all(need is None for _, need in quality.PICKS.readiness())
 
@@ -228,7 +311,7 @@ def test_corruptions_are_caught(spark):
     clean = spark.createDataFrame(clean)
     for name, change in (("identity", harness.identity), ("idle_start", lambda f: harness.idle_start(f, 60)), ("idle_end", lambda f: harness.idle_end(f, 60)), ("mid_pause", lambda f: harness.mid_pause(f, 60)), ("abandoned", harness.abandoned), ("jitter", lambda f: harness.jitter(f, 0.05))):
         wanted = names if name == "identity" else list(harness.EXPECTED[name])
-        raw = scoring.value_rows(registry.compute_raw(registry.Recording(change(r.own), r.episodes, FPS, r.picks), wanted)[0])
+        raw = scoring.value_rows(registry.compute_raw(registry.Recording(change(r.frames), r.episodes, FPS, r.picks), wanted)[0])
         got = harness.judged(harness.compare(clean.where(F.col("metric").isin(wanted)), raw, harness.EXPECTED.get(name)), name).collect()
         assert got and all(x.status == "pass" for x in got), (name, got)
 
@@ -344,8 +427,8 @@ def test_selection_and_panel_rows(spark):
     z = spark.createDataFrame([(1, "sparc", "arm", 0.5, 2.5), (1, "sparc", "hand", 0.25, 1.0)], "episode_id long, metric string, signal string, value double, z double")
     assert registry.metric_rows(worst, z).first().breakdown == "arm=500,hand=250"
     groups = spark.createDataFrame([(1, "g", "task"), (2, "g", "task")], "episode_id long, group_label string, basis string")
-    rows = {r.episode_id: r for r in registry.panel(registry.Scored(z, groups, z, z, worst, scoring.profile_scores(worst), {})).collect()}
-    assert rows[1]["values"] == {"sparc": 0.5} and rows[1].z == {"sparc": 2.5} and rows[1].verdict == "warn" and rows[2].verdict == "unknown"
+    rows = {r.episode_id: r for r in registry.panel(registry.Scored(z, groups, z, z, worst, scoring.profile_scores(worst), spark.createDataFrame([(2, 'ldlj', 'x')], registry.FAILED))).collect()}
+    assert rows[1]["values"] == {"sparc": 0.5} and rows[1].z == {"sparc": 2.5} and rows[1].verdict == "warn" and rows[2].verdict == "unknown" and rows[2].failed == "ldlj"
 
 
 def test_a_recordings_tables_are_not_mixed_up(recording):

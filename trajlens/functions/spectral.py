@@ -10,9 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 ORDER = 4
 PAD = 3 * (ORDER + 1)
 BATCH = 256
+CHUNK = 4096
+LONG = 4 * CHUNK  # samples of an episode that are one row while it is filtered
 
 
 def cutoff(fps: float) -> float:
@@ -28,8 +32,8 @@ def butterworth(hz: float, fps: float) -> tuple[np.ndarray, np.ndarray]:
     return b * a.sum() / b.sum(), a
 
 
-def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """Each row of x filtered; rows advance together, one sample a step."""
+def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of x filtered, and the state behind its end; rows advance together, one sample a step."""
     z, out = state.copy(), np.empty_like(x)
     for i in range(x.shape[1]):
         v = x[:, i]
@@ -37,7 +41,20 @@ def _filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> n
         for k in range(ORDER - 1):
             z[k] = b[k + 1] * v + z[k + 1] - a[k + 1] * y
         z[ORDER - 1] = b[ORDER] * v - a[ORDER] * y
-    return out
+    return out, z
+
+
+def _advance(a: np.ndarray) -> np.ndarray:
+    """What one sample does to the state, without its own value."""
+    companion = np.zeros((ORDER, ORDER))
+    companion[:, 0] = -a[1:]
+    companion[:-1, 1:] = np.eye(ORDER - 1)
+    return companion
+
+
+def _steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The state in which a constant 1 stays as it is."""
+    return np.linalg.solve(np.eye(ORDER) - _advance(a), b[1:] - a[1:] * b[0])
 
 
 def lowpass_many(series: list[np.ndarray], hz: float, fps: float) -> list[np.ndarray]:
@@ -49,17 +66,14 @@ def lowpass_many(series: list[np.ndarray], hz: float, fps: float) -> list[np.nda
     if not at:
         return list(series)
     b, a = butterworth(hz, fps)
-    companion = np.zeros((ORDER, ORDER))
-    companion[:, 0] = -a[1:]
-    companion[:-1, 1:] = np.eye(ORDER - 1)
-    steady = np.linalg.solve(np.eye(ORDER) - companion, b[1:] - a[1:] * b[0])
+    steady = _steady(b, a)
     long = [np.concatenate([2 * x[0] - x[PAD:0:-1], x, 2 * x[-1] - x[-2 : -PAD - 2 : -1]]) for x in (series[i] for i in at)]
 
     def one_way(rows: list[np.ndarray]) -> list[np.ndarray]:
         filled = np.zeros((len(rows), max(map(len, rows))))
         for row, x in zip(filled, rows):
             row[: len(x)] = x
-        done = _filter(b, a, filled, steady[:, None] * filled[:, 0])
+        done, _ = _filter(b, a, filled, steady[:, None] * filled[:, 0])
         return [y[: len(x)][::-1] for y, x in zip(done, rows)]
 
     out = list(series)
@@ -90,18 +104,113 @@ def arc_length(speed: np.ndarray, fps: float, hz: float, least: float = 0.05, pa
     return float(-np.sqrt(step**2 + np.diff(amplitude[lo:hi]) ** 2).sum())
 
 
-def filtered_speed(speed: DataFrame, fps: float) -> DataFrame:
-    """speed(episode_id, i, speed) -> episode_id, i, f: the absolute low-passed speed of each episode."""
+def told(e: Exception) -> str:
+    return f"{type(e).__name__}: {str(e)[:200]}"
+
+
+def filtered_whole(speed: DataFrame, fps: float) -> DataFrame:
+    """speed(episode_id, i, speed) -> episode_id, f (the absolute low-passed speeds in order), error: why an episode has none."""
+
+    def one(x: np.ndarray) -> tuple[np.ndarray | None, str | None]:
+        try:
+            return np.abs(lowpass(np.asarray(x, dtype=float), cutoff(fps), fps)), None
+        except Exception as e:  # noqa: BLE001  the episode's own failure
+            return None, told(e)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             order = frame["x"].map(len).argsort(kind="stable").to_numpy()
             for k in range(0, len(frame), BATCH):  # episodes of like length together
                 part = frame.iloc[order[k : k + BATCH]]
-                yield pd.DataFrame({"episode_id": part["episode_id"], "f": [np.abs(y) for y in lowpass_many([np.asarray(x) for x in part["x"]], cutoff(fps), fps)]})
+                try:
+                    found = [(np.abs(y), None) for y in lowpass_many([np.asarray(x, dtype=float) for x in part["x"]], cutoff(fps), fps)]
+                except Exception:  # noqa: BLE001  one of them failed: each alone
+                    found = [one(x) for x in part["x"]]
+                yield pd.DataFrame({"episode_id": part["episode_id"].tolist(), "f": [f for f, _ in found], "error": [e for _, e in found]})
 
     whole = speed.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "speed"))), lambda s: s.speed).alias("x"))
-    return whole.mapInPandas(run, f"episode_id {dict(speed.dtypes)['episode_id']}, f array<double>").select("episode_id", F.posexplode("f").alias("i", "f"))
+    return whole.mapInPandas(run, f"episode_id {dict(speed.dtypes)['episode_id']}, f array<double>, error string")
+
+
+def filtered_speed(speed: DataFrame, fps: float) -> DataFrame:
+    """speed(episode_id, i, speed) -> episode_id, i, f: the absolute low-passed speed of each episode, however long."""
+    speed = stored(speed.select("episode_id", "i", "speed"))
+    n = stored(speed.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG))
+    if not n.take(1):
+        return filtered_whole(speed, fps).select("episode_id", F.posexplode("f").alias("i", "f"))
+    short = filtered_whole(speed.join(n, "episode_id", "left_anti"), fps)
+    return short.select("episode_id", F.posexplode("f").alias("i", "f")).unionByName(filtered_chunks(speed.join(n, "episode_id"), fps))
+
+
+def filtered_chunks(speed: DataFrame, fps: float) -> DataFrame:
+    """speed(episode_id, i, speed, n) of long episodes -> episode_id, i, f, filtered in chunks of CHUNK samples.
+
+    A recursive filter is a linear map of its state, so what a chunk does to any state is a fixed matrix power and what it adds
+    by itself. Each chunk adds up its own part from rest; an episode's few sums, one a chunk, give every chunk the state that it
+    begins with; then each chunk is filtered for good. The same again from the end. Samples are numbered from 0 without gaps.
+    """
+    hz = cutoff(fps)
+    key = dict(speed.dtypes)["episode_id"]
+    b, a = butterworth(hz, fps) if 0 < hz < fps / 2 else (np.eye(1, ORDER + 1)[0], np.eye(1, ORDER + 1)[0])
+    advance, steady = _advance(a), _steady(b, a)
+    last = F.floor(F.col("n") / CHUNK) - 1  # the last chunk takes what is left, so every chunk is longer than the padding
+    parts = speed.withColumn("chunk", F.least(F.floor(F.col("i") / CHUNK), last).cast("int")).groupBy("episode_id", "chunk", (last.cast("int")).alias("last"))
+    chunks = parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "speed"))), lambda s: s.speed).alias("x"))
+    schema = f"episode_id {key}, chunk int, last int, x array<double>, end array<double>, first double"
+
+    def alike(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for size, part in frame.groupby(frame["x"].map(len)):
+            for at in range(0, len(part), BATCH):
+                own = part.iloc[at : at + BATCH]
+                yield own, np.stack(own["x"].tolist()).astype(float).reshape(len(own), size)
+
+    def summed(own: pd.DataFrame, rows: np.ndarray) -> pd.DataFrame:
+        """rows in the order in which they are filtered, with the state that they leave behind from rest."""
+        _, z = _filter(b, a, rows, np.zeros((ORDER, len(rows))))
+        return pd.DataFrame({"episode_id": own["episode_id"].tolist(), "chunk": own["chunk"].to_numpy(), "last": own["last"].to_numpy(), "x": list(rows), "end": list(z.T), "first": rows[:, 0]})
+
+    def padded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.copy()
+            xs = [np.asarray(x, dtype=float) for x in frame["x"]]
+            xs = [np.concatenate([2 * x[0] - x[PAD:0:-1], x]) if c == 0 else x for x, c in zip(xs, frame["chunk"])]
+            frame["x"] = [np.concatenate([x, 2 * x[-1] - x[-2 : -PAD - 2 : -1]]) if c == e else x for x, c, e in zip(xs, frame["chunk"], frame["last"])]
+            for own, rows in alike(frame):
+                yield summed(own, rows)
+
+    def begun(sums: pd.DataFrame, forward: bool) -> pd.DataFrame:
+        """The state with which each chunk of an episode begins."""
+        sums = sums.sort_values("chunk", ascending=forward)
+        state, out = steady * sums["first"].iloc[0], []
+        for size, end in zip(sums["size"], sums["end"]):
+            out.append(state)
+            state = np.linalg.matrix_power(advance, int(size)) @ state + np.asarray(end)
+        return pd.DataFrame({"episode_id": sums["episode_id"].tolist(), "chunk": sums["chunk"].to_numpy(), "state": out})
+
+    def one_way(blocks: DataFrame, forward: bool) -> DataFrame:
+        sums = blocks.select("episode_id", "chunk", F.size("x").alias("size"), "end", "first")
+        states = sums.groupBy("episode_id").applyInPandas(lambda own: begun(own, forward), f"episode_id {key}, chunk int, state array<double>")
+        return blocks.drop("end", "first").join(states, ["episode_id", "chunk"])
+
+    def filtered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, rows in alike(frame):
+                y, _ = _filter(b, a, rows, np.stack(own["state"].tolist()).astype(float).T)
+                yield own.assign(x=list(y[:, ::-1]))
+
+    def back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in filtered(frames):
+            for own, rows in alike(frame):
+                yield summed(own, rows)
+
+    def done(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in filtered(frames):
+            cut = [np.abs(x[PAD * (c == 0) : len(x) - PAD * (c == e)]) for x, c, e in zip(own["x"], own["chunk"], own["last"])]
+            yield pd.DataFrame({"episode_id": own["episode_id"].tolist(), "chunk": own["chunk"].to_numpy(), "f": cut})
+
+    forth = stored(one_way(stored(chunks.mapInPandas(padded, schema)), True).mapInPandas(back, schema))
+    out = one_way(forth, False).mapInPandas(done, f"episode_id {key}, chunk int, f array<double>")
+    return out.select("episode_id", "chunk", F.posexplode("f").alias("i", "f")).select("episode_id", (F.col("i") + F.col("chunk") * CHUNK).cast("int").alias("i"), "f")
 
 
 def filtered_keyed(series: DataFrame, fps: float) -> DataFrame:
@@ -110,23 +219,32 @@ def filtered_keyed(series: DataFrame, fps: float) -> DataFrame:
 
 
 def by_window(windows: DataFrame, measure: Callable[[np.ndarray], tuple], names: list[str]) -> DataFrame:
-    """windows(episode_id, [signal,] win, i, speed) -> their keys and what measure says of each window's speeds; an episode's windows may lie in many tasks."""
+    """windows(episode_id, [signal,] win, i, speed) -> their keys, what measure says of each window's speeds, and error where it failed.
+
+    An episode's windows may lie in many tasks. A window that fails is a row with an error, not the end of the task.
+    """
     key = [c for c in ("episode_id", "signal", "win") if c in windows.columns]
 
+    def one(x: np.ndarray) -> tuple:
+        try:
+            return (*measure(np.asarray(x)), None)
+        except Exception as e:  # noqa: BLE001  the window's own failure
+            return (*[math.nan] * len(names), told(e))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = pd.DataFrame([measure(np.asarray(x)) for x in frame["x"]], columns=names, index=frame.index, dtype=float)
+            found = pd.DataFrame([one(x) for x in frame["x"]], columns=[*names, "error"], index=frame.index).astype(dict.fromkeys(names, float))
             yield pd.concat([frame[key], found], axis=1)
 
     whole = windows.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "speed"))), lambda s: s.speed).alias("x"))
     types = dict(windows.dtypes)
-    return whole.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in key] + [f"{c} double" for c in names]))
+    return whole.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in key] + [f"{c} double" for c in names] + ["error string"]))
 
 
 def window_arc_length(windows: DataFrame, fps: float) -> DataFrame:
-    """windows(episode_id, win, i, speed) -> episode_id, win, v."""
+    """windows(episode_id, win, i, speed) -> episode_id, win, v, error."""
     hz = cutoff(fps)
-    return by_window(windows, lambda x: (arc_length(x, fps, hz),), ["v"]).where("not isnan(v)")
+    return by_window(windows, lambda x: (arc_length(x, fps, hz),), ["v"]).where("error is not null or not isnan(v)")
 
 
 def jerk_rms(speed: np.ndarray, fps: float, hz: float = 10.0) -> float:
@@ -154,5 +272,5 @@ def power_ratio(speed: np.ndarray, fps: float) -> float:
 
 
 def spectral_metrics(windows: DataFrame, fps: float) -> DataFrame:
-    """windows(episode_id, win, i, speed) -> episode_id, win, jerk, ratio."""
+    """windows(episode_id, win, i, speed) -> episode_id, win, jerk, ratio, error."""
     return by_window(windows, lambda x: (jerk_rms(x, fps), power_ratio(x, fps)), ["jerk", "ratio"])

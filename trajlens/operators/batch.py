@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
-from .signals import long_form, normalized
+from ..storage import stored
+from .neighbors import nearest_foreign
+from .signals import long_form, with_units
 
 BY = "episode_id"
-REFERENCE_ROWS, SCORED_ROWS = 4096, 65_536
+SCORED_ROWS = 65_536
 
 
 def stats_leverage(frames: DataFrame, sources: DataFrame, vectors: tuple[str, ...] = ("action", "state")) -> DataFrame:
@@ -37,86 +37,35 @@ def stats_leverage(frames: DataFrame, sources: DataFrame, vectors: tuple[str, ..
 
 
 def aux_sample(frames: DataFrame, k: int = m.AUX_FRAMES) -> DataFrame:
-    """episode_id, j, action, state: at most k evenly spaced frames, range-normalised."""
-    n = frames.groupBy(BY).agg(F.count(F.lit(1)).alias("n")).where("n >= 2").withColumn("k", F.least("n", F.lit(k)))
+    """episode_id, j, action, state: at most k evenly spaced frames, range-normalised; episodes with a value that isn't finite have none."""
+    frames = frames if "u_action" in frames.columns else with_units(frames.select(BY, "idx", "action", "state"))
+    broken = lambda v: F.col(v).isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    n = frames.groupBy(BY).agg(F.count(F.lit(1)).alias("n"), F.count_if(broken("action") | broken("state")).alias("bad")).where("n >= 2 and bad = 0").withColumn("k", F.least("n", F.lit(k)))
     picks = n.select(BY, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.when(j == F.col("k") - 1, F.col("n") - 1).otherwise(F.floor(j * ((F.col("n") - 1) / (F.col("k") - 1)))))).alias("j", "idx"))
-    parts = []
-    for vector in ("action", "state"):
-        u = normalized(long_form(frames, vector)).join(picks, [BY, "idx"])
-        parts.append(u.groupBy(BY, "j").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "u"))), lambda s: s.u).alias(vector)))
-    return parts[0].join(parts[1], [BY, "j"])
-
-
-def _foreign_neighbors(own: np.ndarray, owner: np.ndarray, rows: np.ndarray, rows_owner: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row of own: the k nearest rows of other owners and their squared distances."""
-    step = max(1, 4_000_000 // max(1, rows.size))
-    for start in range(0, len(own), step):
-        part = own[start : start + step]
-        d = ((rows[None] - part[:, None]) ** 2).sum(axis=2)
-        d[owner[start : start + step, None] == rows_owner[None]] = np.inf
-        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        for i in range(len(part)):
-            near = np.flatnonzero(d[i] <= last[i])
-            near = near[np.argsort(d[i, near], kind="stable")][:k]
-            near = near[np.isfinite(d[i, near])]
-            yield start + i, near, d[i, near]
+    return frames.join(picks, [BY, "idx"]).select(BY, "j", F.col("u_action").alias("action"), F.col("u_state").alias("state"))
 
 
 def action_divergence(aux: DataFrame, groups: DataFrame, k: int = m.NEIGHBORS) -> DataFrame:
     """episode_id, value: how far an episode's actions are from those of its nearest peers in state space.
 
-    groups(episode_id, grp). The samples (at most 32 frames an episode) are dealt to blocks by episode; every block of
-    asking frames meets every block of its group, each task keeps k neighbours a frame, and the k best of all blocks
-    count. Neither side of a task grows with the group.
+    groups(episode_id, grp[, robot]). Peers share group, robot and the sizes of state and action; fewer than MIN_PEERS have
+    no value. Of an episode at most 32 frames are compared (aux_sample), each with its k nearest frames of other episodes.
     """
-    rows = aux.join(groups, BY)
-    sizes = rows.groupBy("grp").agg(F.count_distinct(BY).alias("e"), F.count(F.lit(1)).alias("r")).where(F.col("e") >= m.MIN_PEERS)
-    rows = rows.join(sizes.select("grp", F.ceil(F.col("r") / REFERENCE_ROWS).cast("int").alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64(BY), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asked = rows.select("grp", F.col("block").alias("home"), others.alias("block"), F.col(BY).alias("e"), F.col("j").alias("f"), F.col("action").alias("a"), F.col("state").alias("s"))
-    held = rows.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("home"), "block", BY, "j", "action", "state")
-
-    def near(_key, asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(asking) and len(own):
-            own = own.sort_values([BY, "j"])
-            actions, states = np.stack(own["action"].tolist()), np.stack(own["state"].tolist())
-            mine = np.stack(asking["a"].tolist())
-            e, f, o, oj = asking["e"].to_numpy(), asking["f"].to_numpy(), own[BY].to_numpy(), own["j"].to_numpy()
-            for i, at, d in _foreign_neighbors(np.stack(asking["s"].tolist()), e, states, o, k):
-                gap = ((actions[at] - mine[i]) ** 2).sum(axis=1)
-                out += [(int(e[i]), int(f[i]), float(x), int(o[t]), int(oj[t]), float(g)) for x, t, g in zip(d, at, gap)]
-        return pd.DataFrame(out, columns=["e", "f", "d", "o", "oj", "gap"]).astype({"e": "int64", "f": "int32", "o": "int64", "oj": "int32"})
-
-    key = ["grp", "home", "block"]
-    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # columns of its own beside asked's
-    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(near, "e long, f int, d double, o long, oj int, gap double")
-    best = Window.partitionBy("e", "f").orderBy("d", "o", "oj")
-    per = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("e", "f").agg(F.avg("gap").alias("g"))
-    return per.groupBy(F.col("e").alias(BY)).agg(F.avg("g").alias("value"))
+    robot = F.col("robot") if "robot" in groups.columns else F.lit(None).cast("string")
+    rows = aux.join(groups.select(BY, F.col("grp").alias("label"), robot.alias("robot")), BY)
+    peers = F.struct("label", "robot", F.size("state").alias("n_state"), F.size("action").alias("n_action"))
+    rows = rows.withColumn("grp", F.to_json(peers))
+    enough = rows.groupBy("grp").agg(F.count_distinct(BY).alias("e")).where(F.col("e") >= m.MIN_PEERS).select("grp")
+    points = stored(rows.join(enough, "grp").select("grp", F.col(BY).alias("owner"), F.col("j").cast("int").alias("item"), F.col("state").alias("x"), F.col("action").alias("y")))
+    per = nearest_foreign(points, k).groupBy("owner", "item").agg(F.avg("gap").alias("g"))
+    return per.groupBy(F.col("owner").alias(BY)).agg(F.avg("g").alias("value"))
 
 
 def novelty(points: DataFrame, k: int = m.NEIGHBORS, least: int = m.MIN_OUTLIER_GROUP) -> DataFrame:
-    """episode_id, value: mean distance to the k nearest others of points(grp, episode_id, x), by blocks as above."""
-    sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    rows = points.join(sizes.select("grp", "n", F.ceil(F.col("n") / REFERENCE_ROWS).cast("int").alias("blocks")), "grp").withColumn("block", F.pmod(F.xxhash64(BY), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    asked = rows.select("grp", F.col("block").alias("home"), F.explode(every).alias("block"), F.col(BY).alias("e"), F.col("x").alias("p"))
-    held = rows.select("grp", F.explode(every).alias("home"), "block", BY, "x")
-
-    def near(_key, asking: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(asking) and len(own):
-            e, o = asking["e"].to_numpy(), own[BY].to_numpy()
-            for i, at, d in _foreign_neighbors(np.stack(asking["p"].tolist()), e, np.stack(own["x"].tolist()), o, k):
-                out += [(int(e[i]), int(o[t]), float(np.sqrt(v))) for v, t in zip(d, at)]
-        return pd.DataFrame(out, columns=["e", "o", "d"]).astype({"e": "int64", "o": "int64"})
-
-    key = ["grp", "home", "block"]
-    held = held.select(*[F.col(c).alias(c) for c in held.columns])  # columns of its own beside asked's
-    found = asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(near, "e long, o long, d double")
-    best = Window.partitionBy("e").orderBy("d", "o")
-    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(F.col("e").alias(BY)).agg(F.avg("d").alias("value"))
+    """episode_id, value: mean distance to the k nearest others of points(grp, episode_id, x) in groups of at least `least`."""
+    enough = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("grp")
+    rows = points.join(enough, "grp").select("grp", F.col(BY).alias("owner"), F.lit(0).alias("item"), "x", F.array().cast("array<double>").alias("y"))
+    return nearest_foreign(stored(rows), k).groupBy(F.col("owner").alias(BY)).agg(F.avg(F.sqrt("d")).alias("value"))
 
 
 def majority_schema(signatures: DataFrame) -> DataFrame:
@@ -124,9 +73,10 @@ def majority_schema(signatures: DataFrame) -> DataFrame:
 
     Below half of all episodes the dataset is mixed and nobody is flagged; at a tie the smaller signature is the majority.
     """
-    counts = signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("k"))
-    top = counts.agg(F.max_by("sig", F.struct("k", -F.xxhash64(F.col("sig").cast("string")).cast("double"))).alias("main"), (F.max("k") / F.sum("k")).alias("share"))
-    df = signatures.crossJoin(F.broadcast(top))  # one row
+    counts = stored(signatures.groupBy("sig").agg(F.count(F.lit(1)).alias("k")))
+    most = counts.agg(F.max("k").alias("k"), F.sum("k").alias("n"))
+    top = counts.join(F.broadcast(most), "k").agg(F.min("sig").alias("main"), F.first(F.col("k") / F.col("n")).alias("share"))  # one row each
+    df = signatures.crossJoin(F.broadcast(top))
     mixed = F.col("share") < m.MIXED_SHARE
     return df.select(BY, (~mixed & (F.col("sig") != F.col("main"))).cast("long").alias("mismatch"), mixed.alias("mixed"))
 

@@ -86,11 +86,11 @@ def time_metrics(filtered: DataFrame, fps: float, recovered: DataFrame | None =
     return per.select(BY, rows.alias("r")).select(BY, "r.metric", F.lit("").alias("signal"), "r.value", F.lit(None).cast("double").alias("worst")).where("value is not null")
 
 
-def accel_spikes(acc: DataFrame) -> DataFrame:
-    """acc (episode_id, dim, i, acc) -> episode_id, i, spike: any joint above its own median + 8 MAD, 20 at least."""
+def accel_spikes(acc: DataFrame, k: float = m.SPIKE_K, floor: float = m.SPIKE_FLOOR) -> DataFrame:
+    """acc (episode_id, dim, i, acc) -> episode_id, i, spike: any joint above its own median + k MAD, floor at least."""
     med = acc.groupBy(BY, "dim").agg(F.median("acc").alias("med"))
     mad = acc.join(med, [BY, "dim"]).groupBy(BY, "dim").agg(F.first("med").alias("med"), F.median(F.abs(F.col("acc") - F.col("med"))).alias("mad"))
-    limit = F.greatest(F.col("med") + m.SPIKE_K * m.MAD_TO_STD * F.col("mad"), F.lit(m.SPIKE_FLOOR))
+    limit = F.greatest(F.col("med") + k * m.MAD_TO_STD * F.col("mad"), F.lit(floor))
     return acc.join(mad, [BY, "dim"]).groupBy(BY, "i").agg(F.max(F.col("acc") > limit).alias("spike"))
 
 
@@ -112,7 +112,7 @@ def track_lag(frames: DataFrame, dims: list[int], fps: float) -> DataFrame:
     """episode_id, lag: the shift that aligns state velocity with action velocity best, null below the least correlation."""
     w = Window.partitionBy(BY, "dim").orderBy("idx")
     centred = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy(BY, "dim"))
-    one = lambda vector, name: signals.normalized(signals.long_form(frames, vector, dims)).withColumn(name, F.col("u") - F.lag("u").over(w)).where("idx > 0").select(BY, "dim", "idx", name).withColumn(name, centred(name))
+    one = lambda vector, name: signals.units(frames, vector, dims).withColumn(name, F.col("u") - F.lag("u").over(w)).where("idx > 0").select(BY, "dim", "idx", name).withColumn(name, centred(name))
     both = one("action", "a").join(one("state", "s"), [BY, "dim", "idx"])
     seq = both.groupBy(BY, "dim").agg(F.sort_array(F.collect_list(F.struct("idx", "a", "s"))).alias("x"), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("s") * F.col("s"))).alias("norm"))
     seq = seq.where("norm > 1e-12").withColumn("n", F.size("x")).where("n >= 7")
@@ -125,19 +125,20 @@ def track_lag(frames: DataFrame, dims: list[int], fps: float) -> DataFrame:
 
 
 def track_resid(frames: DataFrame, lags: DataFrame, dims: list[int], signal: str) -> DataFrame:
-    """Mean absolute gap between action and lag-shifted state, each joint's median gap taken out."""
-    u = lambda vector, name: signals.normalized(signals.long_form(frames, vector, dims)).select(BY, "dim", "idx", F.col("u").alias(name))
-    ahead = u("state", "s").join(lags, BY).withColumn("idx", F.col("idx") - F.col("lag")).select(BY, "dim", "idx", "s")
-    gap = u("action", "a").join(ahead, [BY, "dim", "idx"]).withColumn("d", F.col("a") - F.col("s"))
+    """Mean absolute gap between action and lag-shifted state, each joint's median gap taken out. One row a frame is joined, not one a joint."""
+    frames = frames if "u_state" in frames.columns else signals.with_units(frames.select(BY, "idx", "action", "state"))
+    some = lambda v: F.array(*[F.get(v, F.lit(d)) for d in dims])
+    ahead = frames.join(lags, BY).select(BY, (F.col("idx") - F.col("lag")).alias("idx"), some("u_state").alias("s"))
+    gap = frames.select(BY, "idx", some("u_action").alias("a")).join(ahead, [BY, "idx"]).select(BY, F.posexplode(F.zip_with("a", "s", lambda a, s: a - s)).alias("dim", "d"))
     med = gap.groupBy(BY, "dim").agg(F.median("d").alias("med"))
     per = gap.join(med, [BY, "dim"]).groupBy(BY).agg(F.avg(F.abs(F.col("d") - F.col("med"))).alias("v"))
     return named(per, "track_resid", F.col("v"), signal)
 
 
 def joint_limit_frac(frames: DataFrame, dims: list[int], bounds: DataFrame | None = None) -> DataFrame:
-    """Share of (frame, moving joint) near the joint's bounds(dim, lo, hi), as the source declares them or, without, observed."""
+    """Share of (frame, moving joint) near the joint's bounds(dim, lo, hi), as the source declares them; no value without."""
     x = signals.long_form(frames, "state", dims)
-    bounds = (x.groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi")) if bounds is None else bounds).withColumn("span", F.col("hi") - F.col("lo"))
+    bounds = (bounds if bounds is not None else x.select("dim", F.col("x").alias("lo"), F.col("x").alias("hi")).where("false")).withColumn("span", F.col("hi") - F.col("lo"))
     moved = x.groupBy(BY, "dim").agg((F.max("x") - F.min("x")).alias("ptp"))
     active = moved.join(bounds, "dim").where((F.col("span") > 1e-9) & (F.col("ptp") >= m.MIN_ACTIVE_SHARE * F.col("span")))
     near = (F.col("x") <= F.col("lo") + m.LIMIT_MARGIN * F.col("span")) | (F.col("x") >= F.col("hi") - m.LIMIT_MARGIN * F.col("span"))
@@ -159,7 +160,7 @@ def recoveries(frames: DataFrame, unit: DataFrame, arm: list[int], fps: float, o
     reopened = nxt.where("opens").select(BY, F.col("idx").alias("o"), F.col("next_close").alias("c2"))
     t = closes.join(reopened, [BY, "o"]).where("c2 is not null")
     t = t.where(((F.col("o") - F.col("c1")) / fps <= m.RECOVERY_WINDOW_S) & ((F.col("c2") - F.col("o")) / fps <= m.RECOVERY_REOPEN_S) & ((F.col("c2") - F.col("c1")) / fps <= m.RECOVERY_WINDOW_S))
-    u = signals.normalized(signals.long_form(frames, "action", arm)).select(BY, "dim", "idx", "u")
+    u = signals.units(frames, "action", arm)
     at = t.join(u.select(BY, F.col("idx").alias("c1"), "dim", F.col("u").alias("p")), [BY, "c1"]).join(u.select(BY, F.col("idx").alias("c2"), "dim", F.col("u").alias("q")), [BY, "c2", "dim"])
     near = at.groupBy(BY, "c1", "o", "c2").agg(F.sqrt(F.avg(F.pow(F.col("p") - F.col("q"), 2))).alias("d"))
     return near.where(F.col("d") <= m.RECOVERY_DISTANCE).drop("d")

@@ -1,7 +1,9 @@
 """From recordings to scores: one function a metric, all run into one long table, and the batch finished over it.
 
-Frames and every derived signal that several metrics use are stored once. A metric whose picks are missing gives no rows;
-one that fails while it is planned or stored is reported by name, and the others go on.
+Frames, with each dimension over its range, and every derived signal that several metrics use are stored once. A metric whose
+picks are missing gives no rows. A failure is a row (episode_id, metric, error): what fails for one episode inside a task costs that
+episode that metric, and a metric that can't be planned costs every episode that metric; all else goes on, and the ranking
+names what each episode lacks. A job that fails (a lost table, a broken cluster) is not a metric's failure: it ends the run.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +25,7 @@ from . import batch, metrics, scoring, signals
 
 BY = metrics.BY
 RAW = "episode_id long, metric string, signal string, value double, worst double"
+FAILED = "episode_id long, metric string, error string"
 
 
 @dataclass
@@ -32,7 +37,8 @@ class Recording:
     fps: float
     picks: Picks
     bounds: DataFrame | None = None  # dim, lo, hi of the state, as the source declares them
-    labels: DataFrame | None = None  # episode_id, grp: peers for the metrics that compare episodes
+    ranges: DataFrame | None = None  # episode_id, vector, ranges: an array's ranges, as the episode's source declares them
+    min_group: int = m.MIN_GROUP
     _made: dict = field(default_factory=dict)
 
     def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -42,7 +48,18 @@ class Recording:
 
     @cached_property
     def own(self) -> DataFrame:
-        return stored(self.frames)
+        """The frames with u_action and u_state, stored."""
+        return stored(signals.with_units(self.frames, declared=self.ranges))
+
+    @cached_property
+    def joint(self) -> DataFrame:
+        """The frames whose action is as large as their state: those that tell joint positions."""
+        return self.own.where(F.size("action") == F.size("state"))
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """episode_id, group_label, basis: the normalisation group, which is also where an episode has its peers."""
+        return stored(scoring.assign_groups(self.episodes, self.min_group))
 
     def speed(self, group: Group) -> DataFrame:
         return self.once(f"speed {group.signal}", lambda: signals.group_speed(self.own, list(group.dims), self.fps))
@@ -54,9 +71,24 @@ class Recording:
         dims = self.picks.arm_dims()
         return self.once("arm speed", lambda: signals.group_speed(self.own, dims, self.fps)) if dims else None
 
-    def filtered(self) -> DataFrame | None:
+    def _filtered(self) -> DataFrame | None:
         speed = self.arm_speed()
-        return self.once("filtered", lambda: spectral.filtered_speed(speed, self.fps)) if speed is not None else None
+        if speed is None or "filtered" in self._made:
+            return self._made.get("filtered")
+        n = stored(speed.groupBy(BY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > spectral.LONG))
+        if n.take(1):
+            self.once("filtered chunks", lambda: spectral.filtered_chunks(speed.join(n, BY), self.fps))
+            speed = speed.join(n, BY, "left_anti")
+        return self.once("filtered", lambda: spectral.filtered_whole(speed, self.fps))
+
+    def filtered(self) -> DataFrame | None:
+        """The arm's low-passed speed; what is too long for one row is filtered in chunks."""
+        whole = self._filtered()
+        if whole is None:
+            return None
+        more = [self._made["filtered chunks"]] if "filtered chunks" in self._made else []
+        out = whole.select(BY, F.posexplode("f").alias("i", "f"))
+        return out.unionByName(more[0]) if more else out
 
     def unit(self, gripper: Group) -> DataFrame:
         return self.once(f"unit {gripper.signal}", lambda: signals.gripper_unit(self.own, list(gripper.dims)))
@@ -79,11 +111,11 @@ class Recording:
 
     def lags(self) -> DataFrame | None:
         dims = self.picks.arm_dims()
-        return self.once("lags", lambda: metrics.track_lag(self.own, dims, self.fps)) if dims and self.picks.joint_positions else None
+        return self.once("lags", lambda: metrics.track_lag(self.joint, dims, self.fps)) if dims and self.picks.joint_positions else None
 
     def spikes(self) -> DataFrame | None:
         dims = self.picks.arm_dims()
-        return self.once("spikes", lambda: metrics.accel_spikes(signals.acceleration(self.own, dims, self.fps))) if dims and self.picks.joint_positions else None
+        return self.once("spikes", lambda: metrics.accel_spikes(signals.acceleration(self.joint, dims, self.fps))) if dims and self.picks.joint_positions else None
 
     def arcs(self, group: Group) -> DataFrame:
         return self.once(f"arcs {group.signal}", lambda: spectral.window_arc_length(self.windows(group), self.fps))
@@ -108,11 +140,7 @@ def _time(name: str) -> Callable[[Recording], list[DataFrame]]:
 
 
 def _sparc_phase(r: Recording) -> list[DataFrame]:
-    out = []
-    for g in r.picks.of("gripper"):
-        if (arm := r.picks.arm_of(g)) is not None:
-            out.append(metrics.windowed(spectral.window_arc_length(metrics.phases(r.speed(arm), r.unit(g)), r.fps), "sparc_phase", arm.signal))
-    return out
+    return [metrics.windowed(v, "sparc_phase", arm.signal) for arm, v in _phases(r)]
 
 
 def _lag_ms(r: Recording) -> list[DataFrame]:
@@ -123,11 +151,20 @@ def _missed(r: Recording) -> list[DataFrame]:
     if r.picks.open_high is None or not r.picks.joint_positions:
         return []
     pairs = [(g, r.picks.arm_of(g)) for g in r.picks.of("gripper")]
-    return [metrics.missed_grasps(r.own, r.unit(g), list(g.dims), r.fps, r.picks.open_high, a.signal) for g, a in pairs if a is not None]
+    return [metrics.missed_grasps(r.joint, r.unit(g), list(g.dims), r.fps, r.picks.open_high, a.signal) for g, a in pairs if a is not None]
+
+
+def _phases(r: Recording) -> list[tuple[Group, DataFrame]]:
+    """Each gripper's arm with the spectral arc lengths of its phases."""
+    pairs = [(g, r.picks.arm_of(g)) for g in r.picks.of("gripper")]
+    make = lambda g, a: lambda: spectral.window_arc_length(metrics.phases(r.speed(a), r.unit(g)), r.fps)
+    return [(a, r.once(f"phases {g.signal}", make(g, a))) for g, a in pairs if a is not None]
 
 
 def _divergence(r: Recording) -> list[DataFrame]:
-    peers = r.labels if r.labels is not None else r.episodes.select(BY, F.col("task_key").alias("grp"))
+    robot = [c for c in ("robot",) if c in r.episodes.columns]
+    peers = r.groups.select(BY, F.col("group_label").alias("grp"))
+    peers = peers.join(r.episodes.select(BY, *robot), BY) if robot else peers
     return [metrics.named(batch.action_divergence(r.aux(), peers), "action_divergence", F.col("value"))]
 
 
@@ -146,9 +183,9 @@ FUNCTIONS: dict[str, Callable[[Recording], list[DataFrame]]] = {
     "length_z": lambda r: [metrics.length(r.own.groupBy(BY).agg(F.count(F.lit(1)).alias("length")), r.fps)],
     "path_length_z": lambda r: [metrics.path_length(r.arm_speed(), r.fps)] if r.arm_speed() is not None else [],
     "track_lag_ms": _lag_ms,
-    "track_resid": lambda r: [metrics.track_resid(r.own, r.lags(), list(g.dims), g.signal) for g in r.picks.of("arm")] if r.lags() is not None else [],
+    "track_resid": lambda r: [metrics.track_resid(r.joint, r.lags(), list(g.dims), g.signal) for g in r.picks.of("arm")] if r.lags() is not None else [],
     "accel_spike_frac": lambda r: [metrics.accel_spike_frac(r.spikes())] if r.spikes() is not None else [],
-    "joint_limit_frac": lambda r: [metrics.joint_limit_frac(r.own, r.picks.arm_dims(), r.bounds)] if r.picks.joint_positions and r.picks.arm_dims() else [],
+    "joint_limit_frac": lambda r: [metrics.joint_limit_frac(r.joint, r.picks.arm_dims(), r.bounds)] if r.picks.joint_positions and r.picks.arm_dims() and r.bounds is not None else [],
     "gripper_flips_per_s": lambda r: [metrics.gripper_flips(r.unit(g), r.fps, g.signal) for g in r.picks.of("gripper")],
     "missed_grasp_frac": _missed,
     "recovery_count": lambda r: [metrics.recovery_count(r.episodes, r.recoveries())] if r.recoveries() is not None else [],
@@ -157,22 +194,48 @@ FUNCTIONS: dict[str, Callable[[Recording], list[DataFrame]]] = {
 }
 
 
-def compute_raw(recording: Recording, names: list[str] | None = None, digits: int | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """The long table of raw values (each metric's rows stored once), and the metrics that failed with their errors.
+_TIMES = ("idle_lead_s", "idle_trail_s", "longest_pause_s", "end_motion_ratio", "idle_frac")
+#: Name to the tables whose rows with an error cost their episode the metric.
+ERRORS: dict[str, Callable[[Recording], list[DataFrame]]] = {
+    "sparc": lambda r: [r.arcs(g) for g in _moving(r)],
+    "sparc_phase": lambda r: [v for _, v in _phases(r)],
+    "jerk_rms": lambda r: [r.spectra(g) for g in _moving(r)],
+    "psd_lf_hf": lambda r: [r.spectra(g) for g in _moving(r)],
+    **dict.fromkeys(_TIMES, lambda r: [r._filtered()] if r._filtered() is not None else []),
+}
+
+
+def default_metrics() -> list[str]:
+    """The metrics that run where nobody chose: all but the opt-in ones."""
+    return [n for n in FUNCTIONS if not m.BY_NAME[n].opt_in]
 
-    digits: round the values, so that engines that add in another order agree on all that follows.
+
+def compute_raw(recording: Recording, names: list[str] | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The long table of raw values (each metric's rows stored once), and the failures (episode_id, metric, error), stored.
+
+    names: the metrics to run, default_metrics() without. digits: round the values, so that engines that add in another order
+    agree on all that follows.
     """
-    parts, failures = [], {}
-    for name in names or list(FUNCTIONS):
-        try:
-            for i, part in enumerate(FUNCTIONS[name](recording)):
-                parts.append(recording.once(f"raw {name} {i}", lambda part=part: part.select("episode_id", "metric", "signal", "value", "worst")))
-        except Exception as e:  # noqa: BLE001  one metric's failure is a fact about it, not the end of the others
-            failures[name] = f"{type(e).__name__}: {str(e)[:200]}"
     spark = recording.frames.sparkSession
-    raw = spark.createDataFrame([], RAW)
-    for part in parts:
-        raw = raw.unionByName(part)
+    raw, failures = spark.createDataFrame([], RAW), spark.createDataFrame([], FAILED)
+    for name in default_metrics() if names is None else names:
+        failed = lambda rows, error, name=name: rows.select(F.col(BY).cast("long"), F.lit(name).alias("metric"), error.alias("error"))
+        try:
+            parts = [recording.once(f"raw {name} {i}", lambda part=part: part.select(BY, "metric", "signal", "value", "worst")) for i, part in enumerate(FUNCTIONS[name](recording))]
+            broken = [failed(rows.where("error is not null"), F.col("error")) for rows in ERRORS.get(name, lambda r: [])(recording)]
+        except AnalysisException as e:
+            parts, broken = [], [failed(recording.episodes, F.lit(spectral.told(e)))]
+        except (PySparkException, Py4JError):
+            raise
+        except Exception as e:  # noqa: BLE001  a metric that can't be planned is a fact about it, not the end of the others
+            parts, broken = [], [failed(recording.episodes, F.lit(spectral.told(e)))]
+        for part in parts:
+            raw = raw.unionByName(part)
+        for rows in broken:
+            failures = failures.unionByName(rows)
+    failures = stored(failures.groupBy(BY, "metric").agg(F.min("error").alias("error")))
+    if failures.take(1):
+        raw = raw.join(failures, [BY, "metric"], "left_anti")
     return (raw.withColumn("value", F.round("value", digits) + F.lit(0.0)) if digits is not None else raw), failures
 
 
@@ -186,12 +249,14 @@ class Scored:
     z: DataFrame
     worst: DataFrame
     scores: DataFrame
-    failures: dict[str, str]
+    failures: DataFrame
 
     def ranking(self) -> DataFrame:
-        """Every episode with its group, score, flags, driver and verdict."""
+        """Every episode with its group, score, flags, driver, verdict and the metrics that failed for it, which its verdict doesn't know."""
         df = self.groups.join(self.scores, BY, "left")
-        return df.select(BY, "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"))
+        lost = self.failures.groupBy(BY).agg(F.array_join(F.sort_array(F.collect_set("metric")), ",").alias("failed"))
+        df = df.join(lost, BY, "left")
+        return df.select(BY, "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"), F.coalesce("failed", F.lit("")).alias("failed"))
 
 
 def metric_rows(worst: DataFrame, z: DataFrame) -> DataFrame:
@@ -213,17 +278,16 @@ def panel(scored: Scored) -> DataFrame:
     return scored.ranking().join(maps, BY, "left")
 
 
-def finalize(recording: Recording, raw: DataFrame, failures: dict[str, str], min_group: int = m.MIN_GROUP) -> Scored:
-    """Groups, robust fit, z-scores, worst signals and profile scores of a batch's raw values."""
-    groups = stored(scoring.assign_groups(recording.episodes, min_group))
+def finalize(recording: Recording, raw: DataFrame, failures: DataFrame) -> Scored:
+    """Robust fit, z-scores, worst signals and profile scores of a batch's raw values within the recording's groups."""
+    groups = recording.groups
     flags = [x.name for x in m.METRICS if x.kind == "flag"]
     values = raw.where(~F.col("metric").isin(flags)).join(groups.select(BY, "group_label"), BY)
-    stats = stored(scoring.fit(stored(values)))
+    stats = stored(scoring.fit(values))
     z = stored(scoring.z_scores(raw, groups, stats))
     worst = stored(scoring.worst_signals(z, [g.signal for g in recording.picks.groups]))
     return Scored(raw, groups, stats, z, worst, scoring.profile_scores(worst), failures)
 
 
-def score(recording: Recording, names: list[str] | None = None, min_group: int = m.MIN_GROUP, digits: int | None = None) -> Scored:
-    raw, failures = compute_raw(recording, names, digits)
-    return finalize(recording, raw, failures, min_group)
+def score(recording: Recording, names: list[str] | None = None, digits: int | None = None) -> Scored:
+    return finalize(recording, *compute_raw(recording, names, digits))

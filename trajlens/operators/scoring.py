@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..storage import stored
+from .quantiles import percentiles
 
 KEY = ["group_label", "metric", "signal"]
 
@@ -20,11 +22,15 @@ def assign_groups(episodes: DataFrame, min_group: int = m.MIN_GROUP) -> DataFram
 
 def fit(values: DataFrame) -> DataFrame:
     """Median, MAD and the two one-sided scales of each group, metric and signal of values(.., value)."""
-    q = values.groupBy(*KEY).agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
+    values = stored(values.select(*KEY, "value"))
+    q = percentiles(values, KEY, "value", [0.25, 0.5, 0.75])
     dev = F.col("value") - F.col("q")[1]
-    df = values.join(q, KEY).groupBy(*KEY, "q", "n").agg(F.median(F.abs(dev)).alias("mad"), F.median(F.when(dev > 0, dev)).alias("up"), F.median(F.when(dev < 0, -dev)).alias("down"))
+    sides = F.array(F.struct(F.lit("mad").alias("side"), F.abs(dev).alias("d")), F.struct(F.when(dev > 0, "up").when(dev < 0, "down").alias("side"), F.abs(dev).alias("d")))
+    away = values.join(q, KEY).select(*KEY, F.explode(sides).alias("s")).select(*KEY, "s.side", "s.d").where("side is not null")
+    middle = percentiles(stored(away), [*KEY, "side"], "d", [0.5])
+    tails = middle.groupBy(*KEY).agg(*[F.max(F.when(F.col("side") == side, F.col("q")[0])).alias(side) for side in ("mad", "up", "down")])
     scale = lambda gap, tail: F.when(gap > 0, gap * m.MAD_TO_STD).otherwise(F.coalesce(F.col(tail) / m.WARN_Z, F.lit(m.MIN_SCALE)))
-    return df.select(*KEY, F.col("q")[1].alias("median"), "mad", scale(F.col("q")[2] - F.col("q")[1], "up").alias("scale_high"), scale(F.col("q")[1] - F.col("q")[0], "down").alias("scale_low"), "n")
+    return q.join(tails, KEY).select(*KEY, F.col("q")[1].alias("median"), "mad", scale(F.col("q")[2] - F.col("q")[1], "up").alias("scale_high"), scale(F.col("q")[1] - F.col("q")[0], "down").alias("scale_low"), "n")
 
 
 def _clip(z: Column) -> Column:
@@ -83,8 +89,10 @@ def feature_matrix(worst: DataFrame) -> DataFrame:
     """grp, episode_id, x: z-scores of the scored metrics, gaps filled with the group's median; a metric that a group lacks is 0 for all its rows."""
     names = [x.name for x in m.METRICS if x.group and x.kind != "flag"]
     df = worst.where(F.col("metric").isin(names)).groupBy(F.col("group_label").alias("grp"), "episode_id").pivot("metric", names).agg(F.first("z"))
-    middle = df.groupBy("grp").agg(*[F.median(f"`{n}`").alias(f"median_{n}") for n in names])
-    return df.join(middle, "grp").select("grp", "episode_id", F.array(*[F.coalesce(F.col(f"`{n}`"), F.col(f"median_{n}"), F.lit(0.0)) for n in names]).alias("x"))
+    long = worst.where(F.col("metric").isin(names) & F.col("z").isNotNull()).select(F.col("group_label").alias("grp"), "metric", "z")
+    middle = percentiles(stored(long), ["grp", "metric"], "z", [0.5]).groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("metric", F.col("q")[0].alias("v")))).alias("middle"))
+    gap = lambda n: F.coalesce(F.col(f"`{n}`"), F.element_at("middle", n), F.lit(0.0))
+    return df.join(middle, "grp").select("grp", "episode_id", F.array(*[gap(n) for n in names]).alias("x"))
 
 
 def outliers(novelty: DataFrame, isolation: DataFrame, groups: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import GRIPPER_HIGH, GRIPPER_LOW
+from ..storage import stored
+from .quantiles import percentiles
 
 
 def long_form(frames: DataFrame, vector: str = "action", dims: list[int] | None = None) -> DataFrame:
@@ -28,18 +30,72 @@ def normalized(values: DataFrame) -> DataFrame:
     return values.join(joint_ranges(values), ["episode_id", "dim"]).withColumn("u", F.col("x") / F.col("rng"))
 
 
+def with_units(frames: DataFrame, vectors: tuple[str, ...] = ("action", "state"), declared: DataFrame | None = None) -> DataFrame:
+    """frames with u_<vector>, each dimension over its range: one row a frame, ranges as one array an episode.
+
+    declared(episode_id, vector, ranges): the ranges that the episode's source declares, used where they are as many as the
+    vector has dimensions; a declared range that isn't above 1e-9 is 1. All others are the episode's own (joint_ranges).
+    """
+    out = frames
+    for v in (v for v in vectors if v in frames.columns):
+        x = stored(long_form(frames, v))
+        q = percentiles(x.where(F.col("x").isNotNull()), ["episode_id", "dim"], "x", [0.05, 0.95])
+        bad = x.groupBy("episode_id", "dim").agg(F.count_if(F.col("x").isNull()).alias("bad"))
+        spread = F.col("q")[1] - F.col("q")[0]
+        own = bad.join(q, ["episode_id", "dim"], "left").withColumn("rng", F.when((F.col("bad") > 0) | spread.isNull() | (spread <= 1e-9), 1.0).otherwise(spread))
+        ranges = own.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "rng"))), lambda s: s.rng).alias("own"))  # one number a dimension
+        if declared is not None:
+            said = declared.where(F.col("vector") == v).select("episode_id", F.transform("ranges", lambda r: F.when(r > 1e-9, r).otherwise(1.0)).alias("said"))
+            ranges = ranges.join(said, "episode_id", "left").select("episode_id", F.when(F.size("said") == F.size("own"), F.col("said")).otherwise(F.col("own")).alias("own"))
+        fine = F.transform(v, lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c))
+        out = out.join(ranges, "episode_id", "left").withColumn(f"u_{v}", F.zip_with(fine, "own", lambda c, r: c / r)).drop("own")
+    return out
+
+
+def units(frames: DataFrame, vector: str, dims: list[int] | None = None) -> DataFrame:
+    """episode_id, idx, dim, u: the vector's normalised values, from u_<vector> where the frames have it."""
+    if f"u_{vector}" not in frames.columns:
+        return normalized(long_form(frames, vector, dims)).select("episode_id", "idx", "dim", "u")
+    df = frames.select("episode_id", "idx", F.posexplode(f"u_{vector}").alias("dim", "u"))
+    return df.where(F.col("dim").isin(dims)) if dims is not None else df
+
+
+def _large(frames: DataFrame, vector: str, dims: list[int]) -> DataFrame:
+    """Frames whose vector has all of these dimensions."""
+    return frames.where(F.size(vector) > max(dims, default=0))
+
+
 def group_speed(frames: DataFrame, dims: list[int], fps: float) -> DataFrame:
-    """episode_id, i (0 is the move from frame 0 to 1), speed: the norm of the group's normalised steps a second."""
-    w = Window.partitionBy("episode_id", "dim").orderBy("idx")
-    u = normalized(long_form(frames, "action", dims)).withColumn("d", (F.col("u") - F.lag("u").over(w)) * fps).where("idx > 0")
-    speed = u.groupBy("episode_id", (F.col("idx") - 1).alias("i")).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("speed"))
-    return speed
+    """episode_id, i (0 is the move from frame 0 to 1), speed: the norm of the group's normalised steps a second.
+
+    Episodes of fewer than three frames, or whose action lacks a dimension of the group, have none.
+    """
+    frames = _large(frames, "action", dims)
+    w = Window.partitionBy("episode_id").orderBy("idx")
+    n = F.count(F.lit(1)).over(Window.partitionBy("episode_id"))
+    if "u_action" in frames.columns:
+        step = [(F.col("u_action")[d] - F.lag(F.col("u_action")[d]).over(w)) * fps for d in dims]
+        whole = F.coalesce(*step).isNotNull()  # a step without any value is none
+        square = F.when(whole, sum((F.coalesce(x * x, F.lit(0.0)) for x in step[1:]), F.coalesce(step[0] * step[0], F.lit(0.0))))
+        df = frames.select("episode_id", (F.col("idx") - 1).alias("i"), F.sqrt(square).alias("speed"), n.alias("n"))
+        return df.where("i >= 0 and n >= 3").drop("n")
+    v = Window.partitionBy("episode_id", "dim").orderBy("idx")
+    df = frames.withColumn("n", n).where("n >= 3").drop("n")
+    u = units(df, "action", dims).withColumn("d", (F.col("u") - F.lag("u").over(v)) * fps).where("idx > 0")
+    return u.groupBy("episode_id", (F.col("idx") - 1).alias("i")).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("speed"))
 
 
 def acceleration(frames: DataFrame, dims: list[int], fps: float, vector: str = "state") -> DataFrame:
     """episode_id, dim, i, acc: absolute second difference of the normalised values a squared second."""
+    frames = _large(frames, vector, dims)
+    if f"u_{vector}" in frames.columns:
+        w = Window.partitionBy("episode_id").orderBy("idx")
+        x = lambda d, k: F.lag(F.col(f"u_{vector}")[d], k).over(w) if k else F.col(f"u_{vector}")[d]
+        second = F.array(*[F.struct(F.lit(d).alias("dim"), (F.abs(x(d, 0) - 2 * x(d, 1) + x(d, 2)) * fps * fps).alias("acc")) for d in dims])
+        df = frames.select("episode_id", "idx", second.alias("s")).where("idx > 1").select("episode_id", "idx", F.explode("s").alias("s"))
+        return df.select("episode_id", "s.dim", (F.col("idx") - 2).alias("i"), "s.acc")
     w = Window.partitionBy("episode_id", "dim").orderBy("idx")
-    u = normalized(long_form(frames, vector, dims))
+    u = units(frames, vector, dims)
     second = F.col("u") - 2 * F.lag("u", 1).over(w) + F.lag("u", 2).over(w)
     return u.withColumn("acc", F.abs(second) * fps * fps).where("idx > 1").select("episode_id", "dim", (F.col("idx") - 2).alias("i"), "acc")
 
@@ -47,7 +103,7 @@ def acceleration(frames: DataFrame, dims: list[int], fps: float, vector: str = "
 def gripper_unit(frames: DataFrame, dims: list[int]) -> DataFrame:
     """episode_id, idx, unit: the gripper's mean position within its own range; episodes whose gripper stays are left out."""
     every = Window.partitionBy("episode_id")
-    g = long_form(frames, "action", dims).groupBy("episode_id", "idx").agg(F.avg("x").alias("g"))
+    g = long_form(_large(frames, "action", dims), "action", dims).groupBy("episode_id", "idx").agg(F.avg("x").alias("g"))
     g = g.withColumn("lo", F.min("g").over(every)).withColumn("hi", F.max("g").over(every)).where("hi - lo > 1e-9")
     return g.select("episode_id", "idx", ((F.col("g") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("unit"))
 

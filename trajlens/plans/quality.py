@@ -77,11 +77,17 @@ def q_event_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recording(spark: SparkSession, d: str) -> registry.Recording:
-    return registry.Recording(episodes.supplier_frames(spark, d), episodes.supplier_episodes(spark, d), FPS, PICKS)
+    frames = episodes.supplier_frames(spark, d)
+    return registry.Recording(frames, episodes.supplier_episodes(spark, d), FPS, PICKS, bounds=_bounds(frames), min_group=SUPPLIER_MIN_GROUP)
+
+
+def _bounds(frames: DataFrame) -> DataFrame:
+    """What a dataset's statistics file says of the arm's state: least and largest value of each dimension."""
+    return signals.long_form(frames, "state", ARM).groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
 
 
 def _scored(spark: SparkSession, d: str) -> registry.Scored:
-    return registry.score(recording(spark, d), RANKED, SUPPLIER_MIN_GROUP, 6)
+    return registry.score(recording(spark, d), RANKED, 6)
 
 
 def q_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +97,7 @@ def q_quality_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 def q_full_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The ranking over every metric of the registry that the frames allow, low-passed times, phases and flags included."""
-    return _rounded(registry.score(recording(spark, d), None, SUPPLIER_MIN_GROUP).ranking())
+    return _rounded(registry.score(recording(spark, d), list(registry.FUNCTIONS)).ranking())
 
 
 def q_ranking_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +176,7 @@ def q_span_severity(spark: SparkSession, d: str) -> DataFrame:
     """The motion intervals whose metric is at warn or fail, and recoveries."""
     r = recording(spark, d)
     raw, failures = registry.compute_raw(r, RANKED, 6)
-    worst = registry.finalize(r, raw, failures, SUPPLIER_MIN_GROUP).worst
+    worst = registry.finalize(r, raw, failures).worst
     return _rounded(spans.with_severity(_motion_spans(r), worst.withColumn("z", F.round("z", 6))))
 
 
@@ -217,9 +223,9 @@ def q_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_integrity_review(spark: SparkSession, d: str) -> DataFrame:
-    """The first 50 recordings of the integrity list: fail, warn, unknown, pass."""
+    """The integrity list, worst first: fail, warn, unknown, pass."""
     order = F.when(F.col("verdict") == "fail", 0).when(F.col("verdict") == "warn", 1).when(F.col("verdict") == "unknown", 2).otherwise(3)
-    return q_integrity(spark, d).select("episode_id", "verdict", "failing").orderBy(order, "episode_id").limit(50)
+    return q_integrity(spark, d).select("episode_id", "verdict", "failing").orderBy(order, "episode_id")
 
 
 def q_top_tasks(spark: SparkSession, d: str) -> DataFrame:
@@ -298,8 +304,8 @@ def q_track_resid(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(metrics.track_resid(frames, metrics.track_lag(frames, ARM, FPS), ARM, "arm").select("episode_id", "value"))
 
 
-def _spikes(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.accel_spikes(signals.acceleration(episodes.supplier_frames(spark, d), ARM, FPS))
+def _spikes(spark: SparkSession, d: str, k: float = m.SPIKE_K, floor: float = m.SPIKE_FLOOR) -> DataFrame:
+    return metrics.accel_spikes(signals.acceleration(episodes.supplier_frames(spark, d), ARM, FPS), k, floor)
 
 
 def q_accel_spikes(spark: SparkSession, d: str) -> DataFrame:
@@ -307,11 +313,13 @@ def q_accel_spikes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_spike_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.spike_clusters(_spikes(spark, d), FPS))
+    """Spike clusters at a lower limit than the metric's, since these series have no spikes at that one."""
+    return _rounded(metrics.spike_clusters(_spikes(spark, d, 1.5, 1.0), FPS))
 
 
 def q_joint_limits(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.joint_limit_frac(episodes.supplier_frames(spark, d), ARM).select("episode_id", "value"))
+    frames = episodes.supplier_frames(spark, d)
+    return _rounded(metrics.joint_limit_frac(frames, ARM, _bounds(frames)).select("episode_id", "value"))
 
 
 def q_stats_leverage(spark: SparkSession, d: str) -> DataFrame:
@@ -398,7 +406,7 @@ def q_corruptions(spark: SparkSession, d: str) -> DataFrame:
     rates = []
     for name, change in changed.items():
         wanted = names if name == "identity" else list(harness.EXPECTED[name])
-        copy = registry.Recording(change(r.own), r.episodes, FPS, PICKS)
+        copy = registry.Recording(change(r.own.drop("u_action", "u_state")), r.episodes, FPS, PICKS, bounds=r.bounds, min_group=r.min_group)
         raw = scoring.value_rows(registry.compute_raw(copy, wanted)[0])
         rates.append(harness.judged(harness.compare(clean.where(F.col("metric").isin(wanted)), raw, harness.EXPECTED.get(name)), name))
     out = rates[0]
@@ -463,9 +471,9 @@ def q_resampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_frame_changes(spark: SparkSession, d: str) -> DataFrame:
-    """How much each image differs from the one before it, by camera."""
-    images = _points(spark, d).select(F.lit(0).cast("long").alias("episode_id"), F.col("grp").alias("camera"), F.col("episode_id").alias("t"), F.transform("x", lambda v: F.round(v, 6)).alias("px"))
-    return _rounded(camera.frame_changes(images).drop("episode_id"))
+    """How much each image differs from the one before it, by camera, in whole millionths: engines that add in another order agree."""
+    images = _points(spark, d).select(F.lit(0).cast("long").alias("episode_id"), F.col("grp").alias("camera"), F.col("episode_id").alias("t"), F.transform("x", lambda v: F.floor(v * 1000000)).alias("px"))
+    return camera.frame_changes(images).select("camera", "t", F.floor("v").alias("v"))
 
 
 def q_tag_selection(spark: SparkSession, d: str) -> DataFrame:

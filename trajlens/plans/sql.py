@@ -170,7 +170,7 @@ gp AS (SELECT x.e, x.dim, x.ua - y.us AS d FROM u x JOIN lags USING (e) JOIN u y
 gm AS (SELECT e, dim, median(d) AS med FROM gp GROUP BY e, dim)
 SELECT e AS episode_id, {_r('avg(abs(d - med))', 'value')} FROM gp JOIN gm USING (e, dim) GROUP BY e""",
     "accel_spikes": f"{_ACC} SELECT e AS episode_id, {_r('avg(CAST(spike AS DOUBLE))', 'value')} FROM spk GROUP BY e",
-    "spike_clusters": f"""{_ACC}, s AS (SELECT *, avg(CAST(spike AS DOUBLE)) OVER (PARTITION BY e) AS share FROM spk),
+    "spike_clusters": f"""{_ACC.replace('8.0 * 1.4826', '1.5 * 1.4826').replace('20.0)', '1.0)')}, s AS (SELECT *, avg(CAST(spike AS DOUBLE)) OVER (PARTITION BY e) AS share FROM spk),
 n AS (SELECT e, i, CASE WHEN i - lag(i) OVER (PARTITION BY e ORDER BY i) <= 3 THEN 0 ELSE 1 END AS fresh FROM s WHERE spike AND share < 0.3),
 k AS (SELECT e, i, sum(fresh) OVER (PARTITION BY e ORDER BY i) AS k FROM n)
 SELECT e AS episode_id, {_r('(min(i) + 1) / 30.0', 'start_s')}, {_r('(max(i) + 2) / 30.0', 'end_s')} FROM k WHERE k <= 12 GROUP BY e, k""",
@@ -193,7 +193,7 @@ SELECT camera, {_r('log10(1 + quantile_cont(sharp, 0.1))', 'blur')}, {_r('log10(
     "wide_results": f"WITH {EV} SELECT e AS episode_id, {_r('max(value) FILTER (metric = ' + chr(39) + 'ldlj' + chr(39) + ')', 'q_ldlj')}, {_r('max(value) FILTER (metric = ' + chr(39) + 'length_z' + chr(39) + ')', 'q_length_z')}, {_r('max(value) FILTER (metric = ' + chr(39) + 'path_length_z' + chr(39) + ')', 'q_path_length_z')} FROM raw GROUP BY e",
     "upsert": f"""WITH {EV}, w AS (SELECT e, max(value) FILTER (metric = 'ldlj') AS l, max(value) FILTER (metric = 'length_z') AS n, max(value) FILTER (metric = 'path_length_z') AS p FROM raw GROUP BY e)
 SELECT w.e AS episode_id, {_r('n', 'q_length_z')}, {_r('CASE WHEN basis = ' + chr(39) + 'pooled' + chr(39) + ' THEN NULL ELSE p END', 'q_path_length_z')}, {_r('CASE WHEN basis = ' + chr(39) + 'pooled' + chr(39) + ' THEN l END', 'q_ldlj')} FROM w JOIN gr USING (e)""",
-    "majority_schema": f"WITH {EV}, s AS (SELECT e, CASE WHEN length % 10 = 0 THEN '50 fps' ELSE '30 fps' END AS sig FROM ep), c AS (SELECT sig, count(*) AS k FROM s GROUP BY sig), t AS (SELECT arg_max(sig, k) AS main, max(k) / sum(k) AS share FROM c) SELECT e AS episode_id, CAST(share >= 0.5 AND sig <> main AS BIGINT) AS mismatch, share < 0.5 AS mixed FROM s, t",
+    "majority_schema": f"WITH {EV}, s AS (SELECT e, CASE WHEN length % 10 = 0 THEN '50 fps' ELSE '30 fps' END AS sig FROM ep), c AS (SELECT sig, count(*) AS k FROM s GROUP BY sig), t AS (SELECT arg_min(sig, (-k, sig)) AS main, max(k) / sum(k) AS share FROM c) SELECT e AS episode_id, CAST(share >= 0.5 AND sig <> main AS BIGINT) AS mismatch, share < 0.5 AS mixed FROM s, t",
     "sparc": f"""WITH {SU},
 dd AS (SELECT e, dim, i, (ua - lag(ua) OVER (PARTITION BY e, dim ORDER BY i)) * 30.0 AS d FROM u WHERE dim IN (0, 1)),
 ss AS (SELECT e, i - 1 AS i, sqrt(sum(d * d)) AS s FROM dd WHERE i > 0 GROUP BY e, i),
@@ -268,6 +268,9 @@ def _ranked(metric: str, query: str, signal: str = "") -> str:
     return f"SELECT episode_id AS e, '{metric}' AS metric, '{signal}' AS signal, value FROM ({query})"
 
 
+# a ranking's peers share the normalisation group, not only the task
+_AMONG_LABELS = ORACLE["action_divergence"].replace("FROM aux JOIN meta USING (e))", "FROM aux JOIN (SELECT e, CASE WHEN count(*) OVER (PARTITION BY task) >= 15 THEN task ELSE '__pooled__' END AS task FROM meta) USING (e))")
+
 RANKING = f"""
 raw AS ({' UNION ALL '.join([
     _ranked('sparc', ORACLE['sparc'], 'arm_right'),
@@ -278,7 +281,7 @@ raw AS ({' UNION ALL '.join([
     _ranked('joint_limit_frac', ORACLE['joint_limits']),
     _ranked('gripper_flips_per_s', ORACLE['gripper_flips'], 'gripper_right'),
     _ranked('missed_grasp_frac', ORACLE['missed_grasps'], 'arm_right'),
-    _ranked('action_divergence', ORACLE['action_divergence']),
+    _ranked('action_divergence', _AMONG_LABELS),
 ])}),
 meta AS (SELECT CAST(s_suppkey AS BIGINT) AS e, r_name AS task FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 gr AS (SELECT e, task, CASE WHEN k >= 15 THEN 'task:' || task ELSE '__pooled__' END AS group_label, CASE WHEN k >= 15 THEN 'task' ELSE 'pooled' END AS basis FROM (SELECT *, count(*) OVER (PARTITION BY task) AS k FROM meta)),
@@ -301,14 +304,15 @@ _RANKED = ["sparc", "ldlj", "length_z", "track_resid", "accel_spike_frac", "join
 _SIGNALS = ["arm_right", "gripper_right"]
 
 _ARCS = ORACLE["sparc"][: ORACLE["sparc"].rindex("SELECT e AS episode_id")]
+_SPIKES = ORACLE["spike_clusters"].replace("1.5 * 1.4826", "8.0 * 1.4826").replace("1.0)) AS spike", "20.0)) AS spike")
 _MOTION_SPANS = f"""
 SELECT episode_id, {_r('start_s', 'start_s')}, {_r('end_s', 'end_s')}, label, kind FROM (
   SELECT e AS episode_id, win * 45 / 30.0::DOUBLE AS start_s, (win * 45 + least(n, 90)) / 30.0::DOUBLE AS end_s, 'roughest window (arm_right)' AS label, 'rough' AS kind FROM (SELECT e, arg_min(win, (v, win)) AS win FROM ({_ARCS} SELECT e, win, v FROM v) GROUP BY e) JOIN (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) - 1 AS n FROM lineitem GROUP BY ALL) USING (e)
-  UNION ALL SELECT episode_id, start_s, end_s, 'acceleration spike', 'spike' FROM ({ORACLE['spike_clusters']})
+  UNION ALL SELECT episode_id, start_s, end_s, 'acceleration spike', 'spike' FROM ({_SPIKES})
   UNION ALL SELECT episode_id, c1 / 30.0::DOUBLE, c2 / 30.0::DOUBLE, 'regrasp recovery', 'recovery' FROM ({ORACLE['recoveries']}))"""
 
 ORACLE |= {
-    "quality_ranking": f"WITH {RANKING} SELECT e AS episode_id, group_label, basis, {_r('score', 'score')}, n_flags, driver, verdict FROM rk",
+    "quality_ranking": f"WITH {RANKING} SELECT e AS episode_id, group_label, basis, {_r('score', 'score')}, n_flags, driver, verdict, '' AS failed FROM rk",
     "ranking_signals": f"WITH {RANKING} SELECT e AS episode_id, group_label, metric, signal, {_r('z', 'z')}, {_r('value', 'value')} FROM z",
     "metric_rows": f"WITH {RANKING} SELECT e AS episode_id, metric, {_r('value', 'value')}, {_r('z', 'z')}, CASE WHEN signal = '' THEN '' ELSE signal || '=' || CAST(round(value * 1000) AS BIGINT) END AS breakdown FROM z",
     "present_signals": f"WITH {RANKING} SELECT metric, string_agg(DISTINCT signal, ',' ORDER BY signal) AS signals FROM raw WHERE signal <> '' GROUP BY metric",
@@ -330,14 +334,14 @@ SELECT e AS episode_id, start, stop, n FROM runs WHERE start > 0 AND stop < n AN
     "motion_spans": _MOTION_SPANS,
     "span_severity": f"""WITH {RANKING}, ms AS ({_MOTION_SPANS}), kz AS (SELECT e AS episode_id, CASE metric WHEN 'sparc' THEN 'rough' ELSE 'spike' END AS kind, max(round(z, 6)) AS z FROM z WHERE metric IN ('sparc', 'accel_spike_frac') GROUP BY ALL)
 SELECT ms.episode_id, start_s, end_s, label, ms.kind, CASE WHEN ms.kind = 'recovery' THEN 'info' WHEN z >= 3 THEN 'fail' ELSE 'warn' END AS severity FROM ms LEFT JOIN kz ON kz.episode_id = ms.episode_id AND kz.kind = ms.kind WHERE ms.kind = 'recovery' OR z >= 2""",
-    "integrity_review": f"SELECT episode_id, verdict, failing FROM ({INTEGRITY}) ORDER BY CASE verdict WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, episode_id LIMIT 50",
+    "integrity_review": f"SELECT episode_id, verdict, failing FROM ({INTEGRITY}) ORDER BY CASE verdict WHEN 'fail' THEN 0 WHEN 'warn' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, episode_id",
     "top_tasks": "SELECT event_type AS task_key, count(DISTINCT user_id) AS k FROM events GROUP BY event_type ORDER BY k DESC, task_key LIMIT 12",
     "language_verdict": f"SELECT CASE WHEN coalesce(task_missing, 0) > 0 OR coalesce(task_generic, 0) > 0 THEN 'warn' ELSE 'pass' END AS verdict, reason, count(*) AS k FROM ({_LANGUAGE}) GROUP BY ALL",
     "dense_steps": f"""WITH {EV}, {VW}, c AS (SELECT window_id, from_s + greatest((to_s - from_s - 1) / 2, 0) AS a, to_s - greatest((to_s - from_s - 1) / 2, 0) AS b FROM vw),
 r AS (SELECT window_id, frame_t, row_number() OVER (PARTITION BY window_id ORDER BY frame_t) - 1 AS q FROM c JOIN vf USING (window_id) WHERE frame_t >= a - 1e-3 AND frame_t < b - 1e-3)
 SELECT window_id, q // 3 AS r, {_r('frame_t', 'frame_t')} FROM r WHERE q % 3 = 0""",
     "resampled": f"WITH {EV}, n AS (SELECT e, i, x, lead(x) OVER (PARTITION BY e ORDER BY i) AS y FROM ev) SELECT e AS episode_id, i + 0.5::DOUBLE AS t, {_r('(x + y) / 2', 'v')} FROM n WHERE y IS NOT NULL",
-    "frame_changes": f"""WITH p AS (SELECT label AS camera, vec_id AS t, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6)) AS x, lag(list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 6))) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings)
-SELECT camera, t, {_r('list_avg(list_transform(list_zip(x, y), lambda q: abs(q[1] - q[2])))', 'v')} FROM p WHERE y IS NOT NULL""",
+    "frame_changes": f"""WITH p AS (SELECT label AS camera, vec_id AS t, list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT)) AS x, lag(list_transform(embedding, lambda v: CAST(floor(CAST(v AS DOUBLE) * 1000000) AS BIGINT))) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings)
+SELECT camera, t, CAST(list_sum(list_transform(list_zip(x, y), lambda q: abs(q[1] - q[2]))) // len(x) AS BIGINT) AS v FROM p WHERE y IS NOT NULL""",
     "tag_selection": "WITH b AS (SELECT arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders GROUP BY o_custkey) SELECT CAST(o_orderkey AS BIGINT) AS episode_id, CASE WHEN k IS NULL THEN o_orderpriority ELSE array_to_string(list_sort([o_orderpriority, 'largest']), ',') END AS tags FROM orders LEFT JOIN b ON k = o_orderkey",
 }
