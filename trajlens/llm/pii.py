@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import packed, stored, unpacked
 
-#: The key of sessions that set none in KEY_SETTING: for tests and trials; surrogates under it are not secret.
+#: The key of the registered queries where KEY_SETTING is unset: for tests and trials; surrogates under it are not secret.
 KEY_SETTING, TRIAL_KEY = "spark.trajlens.pii.key", "trial key, not secret"
 MAX_ATTEMPTS, MAX_PERMUTED, ROUNDS = 64, 4, 4
 #: Honorifics by the gender that the names after them have.
@@ -73,9 +73,12 @@ SURNAME_END = {"latin": "rd", "cyrillic": "рк"}
 PERMUTED = ("email", "access_key", "phone", "card", "secret", "iban")
 
 
-def session_key(spark: SparkSession) -> str:
-    """The session's key, from KEY_SETTING; a fixed one for trials where it is unset."""
-    return spark.conf.get(KEY_SETTING, None) or TRIAL_KEY
+def session_key(spark: SparkSession, default: str | None = None) -> str:
+    """The session's key, from KEY_SETTING; where it is unset, the default that a caller names, else an error: nobody gets surrogates that aren't secret without asking."""
+    key = spark.conf.get(KEY_SETTING, None) or default
+    if not key:
+        raise ValueError(f"set {KEY_SETTING}, or name a default")
+    return key
 
 
 def _quoted(x: str) -> str:
@@ -275,6 +278,26 @@ def _cased(word: Column, s: Column) -> Column:
     return F.when(F.upper(word) == word, F.upper(s)).otherwise(F.initcap(s))
 
 
+#: What runs of letters in which names are looked for are made of.
+_RUN = r"[\p{L}'’-]"
+
+
+def _bucketed(entries: str) -> Column:
+    """Entries "word NUL surrogate" dealt to as many buckets as the root of their number by a hash of the word, so that neither dealing nor looking up takes their square."""
+    named = f"transform({entries}, x -> named_struct('h', hash(substring_index(x, '\\0', 1)), 'w', substring_index(x, '\\0', 1), 's', substring_index(x, '\\0', -1)))"
+    of = _let(named, "xs", "transform(sequence(0, cast(ceil(sqrt(size(xs))) as int) - 1), b -> filter(xs, x -> pmod(x.h, cast(ceil(sqrt(size(xs))) as int)) = b))")
+    return F.expr(f"if(size({entries}) > 0, {of}, array())")
+
+
+def _renamed(t: Column) -> Column:
+    """A run of letters with its name replaced: it is one of the names, or one with something after its last or first apostrophe."""
+    found = lambda w: F.filter(F.get("names", F.pmod(F.hash(w), F.size("names"))), lambda x: x["w"] == w)
+    tries = F.array(t, F.regexp_replace(t, "'[^']*$", ""), F.substring_index(t, "'", 1))
+    hits = F.filter(F.transform(tries, lambda w: F.struct(w.alias("w"), F.get(found(w), F.lit(0))["s"].alias("s"))), lambda x: x["s"].isNotNull())
+    first = F.get(hits, F.lit(0))
+    return F.when(F.size(hits) > 0, F.concat(first["s"], F.substring(t, F.char_length(first["w"]) + 1, F.char_length(t)))).otherwise(t)
+
+
 def replace_entities(docs: DataFrame, key: str, kinds_col: str | None = None) -> DataFrame:
     """docs with text replaced by its surrogates' text; kinds_col adds the kind of each entity replaced, in order."""
     if not key:
@@ -298,11 +321,13 @@ def replace_entities(docs: DataFrame, key: str, kinds_col: str | None = None) ->
     one = _let(f"coalesce({other}, named_struct('attempt', 0, 'form', p.form))", "o", f"named_struct('kind', p.kind, 's', {surrogate})")
     df = df.withColumn("done", F.expr(f"transform(parts, q -> transform(q, p -> {one}))")).drop("parts", "tries")
     new = F.zip_with("raw", "done", _spliced)
-    # the words of names, for where they stand alone
-    each = F.flatten(F.zip_with("raw", "done", lambda r, q: F.when(q[0]["kind"] == "name", F.zip_with(_words(r), q, lambda w, p: F.struct(w.alias("w"), _cased(w, p["s"]).alias("s")))).otherwise(F.expr("cast(array() as array<struct<w:string,s:string>>)"))))
-    df = df.withColumn("new", new).withColumn("names", F.array_distinct(F.concat(each, F.transform(each, lambda x: F.struct(F.upper(x["w"]).alias("w"), F.upper(x["s"]).alias("s"))))))
+    # the words of names, for where they stand alone: as strings, whose distinct ones are found by hashing
+    entry = lambda w, s: F.concat(w, F.lit("\x00"), s)
+    each = F.flatten(F.zip_with("raw", "done", lambda r, q: F.when(q[0]["kind"] == "name", F.zip_with(_words(r), q, lambda w, p: entry(w, _cased(w, p["s"])))).otherwise(F.expr("cast(array() as array<string>)"))))
+    df = df.withColumn("new", new).withColumn("names", F.array_distinct(F.concat(each, F.transform(each, F.upper))))
+    df = df.withColumn("names", _bucketed("names"))
     between = F.split("text", ENTITY, -1)
-    alone = lambda seg: F.aggregate("names", seg, lambda acc, x: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}'’-])"), x["w"], F.lit(r"(?![\p{L}’-])")), x["s"]))
+    alone = lambda seg: F.array_join(F.transform(F.regexp_extract_all(seg, F.lit(rf"{_RUN}+|[^{_RUN[1:]}+"), F.lit(0)), lambda t: F.when(t.rlike(r"^\p{Lu}"), _renamed(t)).otherwise(t)), "")
     between = F.when(F.size("names") > 0, F.transform(between, alone)).otherwise(between)
     whole = F.array_join(F.zip_with(between, "new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     text = F.when(F.size("raw") > 0, whole).otherwise(F.col("text"))

@@ -17,7 +17,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = pii.replace_entities(read(spark, sf_dir, "documents"), pii.session_key(spark), "entity_kinds")
+    df = pii.replace_entities(read(spark, sf_dir, "documents"), pii.session_key(spark, pii.TRIAL_KEY), "entity_kinds")
     return df.select("doc_id", "text", F.size("entity_kinds").cast("long").alias("n_entities"), F.array_join("entity_kinds", ",").alias("kinds"))
 
 
