@@ -1,12 +1,14 @@
 """Quality rules by distribution divergence (DataFrame functions only).
 
-Each document's histogram of character classes and its histogram of common words are compared with those of every
-reference language by Jensen-Shannon distance (base 2, square root, 0 to 1). The references are the sums of the same
-counts over all documents, by language code: character classes for every language of the corpus, common words for the
-languages of ``COMMON_WORDS``. A document fails the divergence rules if it is far from every reference. Documents below
-the minimum lengths are not judged by divergence: a short text's histogram says little. A document whose own language
-has no reference of a kind (no code, no word list, or more than ``MAX_LANGS`` languages with more documents) is not
-judged by that kind; the base rules decide.
+Each document's histogram of character classes and its histogram of common words are compared with references by
+Jensen-Shannon distance (base 2, square root, 0 to 1). A language's reference is the sum of the same counts over those of its
+documents that pass the base rules: character classes for every language code of the corpus, common words for the languages
+of ``COMMON_WORDS``. It counts only with ``MIN_DOCS`` such documents and ``MIN_SUPPORT`` characters (or a hundredth as many
+words), so a few odd documents with a code of their own make no reference. A document fails a divergence rule if it is far from its own
+language's reference and from all others. Documents below the minimum lengths are not judged by divergence: a short
+text's histogram says little. A document whose own language has no reference of a kind is not judged by that kind; the
+base rules decide. References are one row, joined to all; there may be any number of languages, and only what is far from
+its own language meets the others.
 
 Cases: a null text is an empty one (no words, ``base_failed``). Null ids and repeated rows are judged like any other; a
 caller's columns may have any names; very long texts are counted whole. An empty table gives an empty table. Where no
@@ -15,6 +17,8 @@ document has a language, there is no reference and the base rules decide alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +34,8 @@ COMMON_WORDS = {
 #: Character classes as patterns; what none of them holds is the class "other".
 CLASSES = {"lower": "[a-z]+", "upper": r"\p{Lu}+", "letter": r"[^\x00-\x7F\p{Lu}]+", "digit": "[0-9]+", "space": r"[\x20\x09-\x0D]+", "stop": "[.,;:!?'()\"-]+"}
 
-MIN_CHARS, MIN_WORDS, MAX_LANGS = 200, 50, 1000
+MIN_CHARS, MIN_WORDS = 200, 50
+MIN_DOCS, MIN_SUPPORT = 20, 20_000  # what a language's reference rests on at least
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.35
 WINDOW, MIN_BASE_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
@@ -78,37 +83,55 @@ def counted(docs: DataFrame, row: Column, langs: list[str]) -> DataFrame:
     return df.select("row", "lang", F.inline(F.array(F.struct(*BASE, "cls", *[f"cw_{x}" for x in langs]))))
 
 
-def references(df: DataFrame, langs: list[str]) -> tuple[dict[str, list[float]], dict[str, list[float]]]:
-    """Language to its shares of character classes, and of common words, over all counted rows with that language code."""
+def references(df: DataFrame, langs: list[str]) -> DataFrame:
+    """One row: classes and words, arrays of (lang, q), the shares of each language with enough counted rows that pass the base rules."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    shares = lambda c: F.transform(c, lambda v: v / total(F.col(c)))
+    good = df.where(~base_failed() & F.col("lang").isNotNull())
     sums = [F.array(*[F.sum(F.col("cls")[i]) for i in range(len(CLASSES) + 1)]).alias("cls"), F.count(F.lit(1)).alias("k")]
     for x in langs:
         sums.append(F.array(*[F.sum(F.when(F.col("lang") == x, F.col(f"cw_{x}")[i]).otherwise(0.0)) for i in range(len(COMMON_WORDS[x]) + 1)]).alias(f"cw_{x}"))
-    classes, words = {}, {}
-    for row in df.where("lang is not null").groupBy("lang").agg(*sums).orderBy(F.desc("k"), "lang").limit(MAX_LANGS).collect():
-        if sum(row["cls"]) > 0:
-            classes[row["lang"]] = [v / sum(row["cls"]) for v in row["cls"]]
-        if row["lang"] in langs and sum(cw := row[f"cw_{row['lang']}"]) > 0:
-            words[row["lang"]] = [v / sum(cw) for v in cw]
-    return dict(sorted(classes.items())), dict(sorted(words.items()))
+    per = stored(good.groupBy("lang").agg(*sums).where(F.col("k") >= MIN_DOCS))
+    own = F.coalesce(*[F.when(F.col("lang") == x, F.col(f"cw_{x}")) for x in langs], F.expr("cast(array() as array<double>)"))
+    per = per.select("lang", "cls", own.alias("cw"))
+    kept = lambda c, least: F.when(total(F.col(c)) >= least, F.struct("lang", shares(c).alias("q")))
+    listed = lambda c, least: F.sort_array(F.collect_list(kept(c, least)))  # noqa: E731  nulls are not collected
+    return stored(per.agg(listed("cls", MIN_SUPPORT).alias("classes"), listed("cw", MIN_SUPPORT / 100).alias("words")))
+
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-def js_distance(counts: str, total: Column, reference: list[float]) -> Column:
+
+def js_distance(counts: Column, total: Column, reference: Column) -> Column:
     """Jensen-Shannon distance between counts/total and the reference shares."""
-    q = F.array(*[F.lit(float(v)) for v in reference])
     shares = F.transform(counts, lambda c: c / total)
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    terms = F.zip_with(shares, q, lambda a, b: part(a, b) + part(b, a))
+    terms = F.zip_with(shares, reference, lambda a, b: part(a, b) + part(b, a))
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) / 2, F.lit(0.0)))
 
 
-def verdicts(df: DataFrame, classes: dict[str, list[float]], words: dict[str, list[float]]) -> DataFrame:
+def nearest(refs: str, most: float, distance: Callable[[Column], Column]) -> Column:
+    """The distance to the own language's reference; where that is over most, the least distance to any. Null without a reference of its own.
+
+    distance: of a reference (lang, q).
+    """
+    own = F.get(F.filter(refs, lambda r: r["lang"] == F.col("lang")), F.lit(0))
+    return F.when(own.isNotNull(), F.when(distance(own) <= most, distance(own)).otherwise(F.array_min(F.transform(refs, distance))))
+
+
+def verdicts(df: DataFrame, refs: DataFrame, langs: list[str]) -> DataFrame:
     """Counted rows with base_failed, class_distance, word_distance (null where they aren't judged by it) and kept."""
     chars, n = F.col("chars").cast("double"), F.col("n_words").cast("double")
-    nearest = lambda xs: F.array_min(F.array(*xs)) if xs else F.lit(None).cast("double")
-    among = lambda refs: F.col("lang").isin(list(refs)) if refs else F.lit(False)
-    df = df.withColumn("class_distance", F.when((chars >= MIN_CHARS) & among(classes), nearest([js_distance("cls", chars, c) for c in classes.values()])))
-    df = df.withColumn("word_distance", F.when((n >= MIN_WORDS) & among(words), nearest([js_distance(f"cw_{x}", n, w) for x, w in words.items()])))
-    df = df.withColumn("base_failed", (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+    def words(r: Column) -> Column:
+        """The rows' own counts of the reference's words: each language has a list of its own."""
+        return F.coalesce(*[F.when(r["lang"] == x, js_distance(F.col(f"cw_{x}"), n, r["q"])) for x in langs])
+
+    df = df.crossJoin(F.broadcast(refs))  # one row
+    df = df.withColumn("class_distance", F.when(chars >= MIN_CHARS, nearest("classes", MAX_CLASS_DISTANCE, lambda r: js_distance(F.col("cls"), chars, r["q"]))))
+    df = df.withColumn("word_distance", F.when(n >= MIN_WORDS, nearest("words", MAX_WORD_DISTANCE, words))).drop("classes", "words")
+    df = df.withColumn("base_failed", base_failed())
     far = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~far)
 
@@ -117,7 +140,7 @@ def judge(docs: DataFrame, langs: list[str] | None = None) -> DataFrame:
     """doc_id, the base counts and the verdicts of every row. Texts are read once: a few numbers a row are stored."""
     langs = sorted(langs or COMMON_WORDS)
     df = stored(counted(docs, F.col("doc_id"), langs))
-    return verdicts(df, *references(df, langs)).select(F.col("row").alias("doc_id"), *BASE, "base_failed", "class_distance", "word_distance", "kept")
+    return verdicts(df, references(df, langs), langs).select(F.col("row").alias("doc_id"), *BASE, "base_failed", "class_distance", "word_distance", "kept")
 
 
 def keep_good(docs: DataFrame, langs: list[str] | None = None) -> DataFrame:
@@ -125,4 +148,4 @@ def keep_good(docs: DataFrame, langs: list[str] | None = None) -> DataFrame:
     langs = sorted(langs or COMMON_WORDS)
     whole = packed(docs, F.col("text"), F.col("lang"))
     df = stored(counted(whole, F.col("row"), langs))
-    return unpacked(verdicts(df, *references(df, langs)).where("kept"), docs)
+    return unpacked(verdicts(df, references(df, langs), langs).where("kept"), docs)

@@ -69,12 +69,14 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest
 common(cl, word) AS (VALUES {_COMMON}),
 cc AS (SELECT doc_id, lang, length(t) AS chars, x.k AS k, x.c AS c FROM (SELECT doc_id, lang, t, unnest([{_CLASSES}]) AS x FROM b)),
 co AS (SELECT doc_id, lang, chars, k, c FROM cc UNION ALL SELECT doc_id, any_value(lang), any_value(chars), 'other', any_value(chars) - sum(c) FROM cc GROUP BY doc_id),
-rc AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM co WHERE lang IS NOT NULL GROUP BY lang, k),
+good AS (SELECT doc_id FROM b LEFT JOIN rep USING (doc_id) WHERE n >= 20 AND 100 * coalesce(n_repeat, 0) <= 30 * n),
+enough AS (SELECT lang, sum(length(t)) AS chars, sum(n) AS words FROM b JOIN good USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) >= {q.MIN_DOCS}),
+rc AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM co JOIN good USING (doc_id) WHERE lang IN (SELECT lang FROM enough WHERE chars >= {q.MIN_SUPPORT}) GROUP BY lang, k),
 dc AS (SELECT doc_id, min(v) AS v FROM (SELECT doc_id, r.lang, sqrt(greatest(0, sum({_TERM}) / 2)) AS v FROM (SELECT doc_id, r.lang, c / chars AS p, r.q FROM co JOIN rc r USING (k) WHERE chars >= {q.MIN_CHARS} AND co.lang IN (SELECT lang FROM rc)) r GROUP BY doc_id, r.lang) GROUP BY doc_id),
 wo AS (SELECT doc_id, lower(x) AS word, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM b) WHERE lower(x) IN (SELECT word FROM common) GROUP BY ALL),
 wf AS (SELECT b.doc_id, b.lang, b.n, m.cl, m.word AS k, coalesce(wo.c, 0) AS c FROM b CROSS JOIN common m LEFT JOIN wo ON wo.doc_id = b.doc_id AND wo.word = m.word),
 wh AS (SELECT * FROM wf UNION ALL SELECT doc_id, any_value(lang), any_value(n), cl, '', any_value(n) - sum(c) FROM wf GROUP BY doc_id, cl),
-rw AS (SELECT cl, k, sum(c) / sum(sum(c)) OVER (PARTITION BY cl) AS q FROM wh WHERE lang = cl GROUP BY cl, k),
+rw AS (SELECT cl, k, sum(c) / sum(sum(c)) OVER (PARTITION BY cl) AS q FROM wh JOIN good USING (doc_id) WHERE lang = cl AND lang IN (SELECT lang FROM enough WHERE words >= {q.MIN_SUPPORT / 100}) GROUP BY cl, k),
 dw AS (SELECT doc_id, min(v) AS v FROM (SELECT doc_id, cl, sqrt(greatest(0, sum({_TERM}) / 2)) AS v FROM (SELECT doc_id, cl, c / n AS p, rw.q FROM wh JOIN rw USING (cl, k) WHERE n >= {q.MIN_WORDS} AND wh.lang IN (SELECT cl FROM rw)) GROUP BY doc_id, cl) GROUP BY doc_id),
 j AS (SELECT b.*, coalesce(rep.n_repeat, 0) AS n_repeat, b.n < 20 OR 100 * coalesce(rep.n_repeat, 0) > 30 * b.n AS failed, dc.v AS vc, dw.v AS vw
   FROM b LEFT JOIN rep USING (doc_id) LEFT JOIN dc USING (doc_id) LEFT JOIN dw USING (doc_id))
