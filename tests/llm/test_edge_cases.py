@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trajlens.llm import license_scan, lm_score, mixing, near_dups, pii, quality_classifier, quality_rules, sentencepiece, topk, url_filter
@@ -86,14 +87,43 @@ def test_clashing_columns_keep_their_values(spark):
 def test_languages_without_word_lists_are_kept(spark):
     """Clean text in another script is compared with its own language's characters; no language leaves the base rules."""
     rng = random.Random(2)
-    cyrillic = [" ".join("".join(rng.choice("абвгдежзиклмнопрстуя") for _ in range(rng.randint(2, 9))) for _ in range(120)) + "." for _ in range(12)]
-    english = [" ".join(rng.choice("the cat and of is to was on it for house dog run".split()) + (" x%d" % rng.randint(0, 999) if k % 3 else "") for k in range(120)) for _ in range(12)]
+    cyrillic = [" ".join("".join(rng.choice("абвгдежзиклмнопрстуя") for _ in range(rng.randint(2, 9))) for _ in range(120)) + "." for _ in range(30)]
+    english = [" ".join(rng.choice("the cat and of is to was on it for house dog run".split()) + (" x%d" % rng.randint(0, 999) if k % 3 else "") for k in range(120)) for _ in range(60)]
     rows = [(i, t, "ru") for i, t in enumerate(cyrillic)] + [(100 + i, t, "en") for i, t in enumerate(english)] + [(200, cyrillic[0], None), (201, "#$% " * 60, "en")]
     got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert all(got[i].kept and got[i].word_distance is None for i in range(12))
+    assert all(got[i].kept and got[i].word_distance is None for i in range(30))
     assert got[200].kept and got[200].class_distance is None and not got[201].kept
 
 
+def _english(rng, n):
+    return [" ".join(rng.choice("the cat and of is to was on it for house dog run".split()) + (" x%d" % rng.randint(0, 999) if k % 3 else "") for k in range(140)) for _ in range(n)]
+
+
+def test_odd_documents_make_no_reference(spark):
+    """A page of symbols is judged by the clean texts of its language, whatever single page has a language code of its own."""
+    rng = random.Random(3)
+    rows = [(i, t, "en") for i, t in enumerate(_english(rng, 40))] + [(100, " ".join("#$%&" for _ in range(60 + 20 * (k % 2))) + " " + " ".join(f"<{k}{j}>" for j in range(90)), "en") for k in range(1)]
+    alone = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = {r.doc_id: r.class_distance for r in quality_rules.judge(alone).collect()}
+    odd = [(200 + k, " ".join(f"<{k}#{j}>" for j in range(90)), "zz") for k in range(19)]
+    both = {r.doc_id: r for r in quality_rules.judge(alone.unionByName(spark.createDataFrame(odd, alone.schema))).collect()}
+    assert first[100] > quality_rules.MAX_CLASS_DISTANCE and both[100].class_distance == pytest.approx(first[100]) and not both[100].kept
+    assert all(both[i].kept for i in range(40)) and both[200].class_distance is None
+
+
+def test_any_number_of_languages(spark):
+    import time
+
+    rng = random.Random(4)
+    pairs = _english(rng, 40)
+    texts = [f"{x} {y}" for x, y in zip(pairs[::2], pairs[1::2])]
+    df = spark.range(1100 * 20).selectExpr("concat('l', cast(id div 20 as string)) as lang", "cast(id % 20 as int) as i").join(F.broadcast(spark.createDataFrame(list(enumerate(texts)), "i int, text string")), "i").selectExpr("cast(i as long) as doc_id", "text", "lang")
+    df = df.unionByName(spark.createDataFrame([(-1, "# $ % & " * 5 + "<>" * 400 + " " + " ".join(f"q{k}" for k in range(40)), "l7")], df.schema))
+    began = time.time()
+    got = quality_rules.judge(df).where("doc_id = -1").collect()
+    assert got[0].class_distance > quality_rules.MAX_CLASS_DISTANCE and not got[0].kept and time.time() - began < 120
+
+
 def test_quality_values(spark, docs):
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect() if r.doc_id}
     assert got[2].n_words == 0 and got[2].base_failed and got[5].n_repeat_words == 50_000
@@ -133,3 +163,30 @@ def test_url_edges(spark):
     assert (got[5].rule, got[5].verdict, got[6].rule, got[6].verdict, got[7].rule) == ("com/fr/", "allow", "com/de/", "block", None)
     assert (got[8].rule, got[8].verdict, got[9].rule, got[9].path) == ("example.org/en/1", "block", "org/", "/en/2")
     assert url_filter.judge(df.where("false")).collect() == []
+
+
+def test_many_names_in_one_text(spark):
+    """Names are looked up, not tried one by one; what follows an apostrophe stays, and words that only begin like a name do too."""
+    import time
+
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("abcdefghijklmnop", k=8)).capitalize() for _ in range(6000)})
+    text = " and ".join(f"Mr {x} saw {rng.choice(names)}" for x in names)
+    began = time.time()
+    out = pii.replace_entities(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
+    assert time.time() - began < 90
+    old, new = text.split(" "), out.split(" ")
+    mapping = {}
+    for a, b in zip(old, new):
+        assert mapping.setdefault(a, b) == b and (a == b) == (a in ("Mr", "saw", "and"))
+    assert len(set(mapping.values())) == len(mapping)
+    t = "Dr. Ada Lind met Ms. O'Neil. Then ADA and Lind's friend O'Neil's, 'Ada', Lind-Berg and Adam came."
+    got = pii.replace_entities(spark.createDataFrame([(1, t)], "doc_id long, text string"), "k").first().text
+    ada, lind, neil = got.split()[1], got.split()[2], got.split()[5].rstrip(".")
+    assert got == f"Dr. {ada} {lind} met Ms. {neil}. Then {ada.upper()} and {lind}'s friend {neil}'s, 'Ada', Lind-Berg and Adam came."
+
+
+def test_no_key_is_an_error(spark):
+    with pytest.raises(ValueError):
+        pii.session_key(spark)
+    assert pii.session_key(spark, "mine") == "mine"
