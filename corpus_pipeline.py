@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates in place of personal data; n_chars follows the text. A null text stays null with its n_chars."""
-    df = pii.replace_entities(docs, pii.session_key(spark))
+    df = pii.replace_entities(docs, pii.session_key(spark, pii.TRIAL_KEY))
     if "n_chars" in df.columns:
         changed = F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
         df = df.select(*[changed.alias(c) if c == "n_chars" else F.col(c) for c in df.columns])
