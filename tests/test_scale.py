@@ -32,7 +32,7 @@ def test_percentiles_of_a_group_of_a_million(spark, monkeypatch):
     assert got["small"].q == [0.0, 0.2, 1.0, 2.0, 3.0, 3.8, 4.0]
 
 
-@pytest.mark.parametrize("direct,buckets,small", [(10, 4, 3), (5, 64, 1), (100_000, 4096, 4096)])
+@pytest.mark.parametrize("direct,buckets,small", [(10, 16, 3), (100_000, 4096, 4096)])
 def test_percentiles_at_ties_outliers_and_extremes(spark, monkeypatch, direct, buckets, small):
     for name, value in (("DIRECT", direct), ("BUCKETS", buckets), ("SMALL", small)):
         monkeypatch.setattr(quantiles, name, value)
@@ -77,9 +77,9 @@ def plain_neighbours(rows, k):
     return out
 
 
-@pytest.mark.parametrize("rows_,cell,pivots", [(4096, 512, 1024), (20, 8, 64), (7, 5, 3)])
-def test_neighbours_equal_all_pairs(spark, monkeypatch, rows_, cell, pivots):
-    for name, value in (("ROWS", rows_), ("CELL", cell), ("PIVOTS", pivots)):
+@pytest.mark.parametrize("whole,rows_,cell,pivots", [(8192, 50, 512, 1024), (0, 20, 8, 64), (10, 7, 5, 3)])
+def test_neighbours_equal_all_pairs(spark, monkeypatch, whole, rows_, cell, pivots):
+    for name, value in (("WHOLE", whole), ("ROWS", rows_), ("CELL", cell), ("PIVOTS", pivots)):
         monkeypatch.setattr(neighbors, name, value)
     rng = np.random.default_rng(6)
     rows = [(g, 100 * int(g == "b") + o, i, (rng.normal(size=3) + 8 * (o % 4)).round(2).tolist(), [float(o), float(i)]) for g, n in (("a", 30), ("b", 9)) for o in range(n) for i in range(4)]
@@ -95,6 +95,7 @@ def test_neighbours_equal_all_pairs(spark, monkeypatch, rows_, cell, pivots):
 def test_neighbours_leave_far_cells_alone(spark, monkeypatch):
     """In clusters, a row asks few of its group's cells, and blocks stay bounded."""
     monkeypatch.setattr(neighbors, "CELL", 50)
+    monkeypatch.setattr(neighbors, "WHOLE", 100)
     rng = np.random.default_rng(7)
     rows = [("g", o, 0, (rng.normal(size=4) * 0.1 + 20 * (o % 40)).tolist(), []) for o in range(4000)]
     df = stored(spark.createDataFrame(rows, "grp string, owner long, item int, x array<double>, y array<double>"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,19 +113,37 @@ def spike_clusters(spikes: DataFrame, fps: float) -> DataFrame:
 
 
 def track_lag(frames: DataFrame, dims: list[int], fps: float) -> DataFrame:
-    """episode_id, lag: the shift that aligns state velocity with action velocity best, null below the least correlation."""
-    w = Window.partitionBy(BY, "dim").orderBy("idx")
-    centred = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy(BY, "dim"))
-    one = lambda vector, name: signals.units(frames, vector, dims).withColumn(name, F.col("u") - F.lag("u").over(w)).where("idx > 0").select(BY, "dim", "idx", name).withColumn(name, centred(name))
-    both = one("action", "a").join(one("state", "s"), [BY, "dim", "idx"])
-    seq = both.groupBy(BY, "dim").agg(F.sort_array(F.collect_list(F.struct("idx", "a", "s"))).alias("x"), F.sqrt(F.sum(F.col("a") * F.col("a")) * F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    seq = seq.where("norm > 1e-12").withColumn("n", F.size("x")).where("n >= 7")
-    most = F.least(F.lit(int(round(m.MAX_LAG_S * fps))), F.floor(F.col("n") / 3).cast("int"))
-    seq = seq.select(BY, "dim", "n", "norm", most.alias("most"), F.col("x.a").alias("a"), F.col("x.s").alias("s"))
-    at = F.expr("transform(sequence(0, most), lag -> aggregate(zip_with(slice(a, 1, n - lag), slice(s, lag + 1, n - lag), (p, q) -> p * q), 0D, (t, v) -> t + v) / norm * n / (n - lag))")
-    score = seq.select(BY, F.posexplode(at).alias("lag", "c")).groupBy(BY, "lag").agg(F.avg("c").alias("c"))
-    best = score.groupBy(BY).agg(F.max(F.struct("c", (-F.col("lag")).alias("l"))).alias("b"))
-    return best.where(F.col("b.c") >= m.MIN_LAG_CORR).select(BY, (-F.col("b.l")).alias("lag"))
+    """episode_id, lag: the shift that aligns state velocity with action velocity best, null below the least correlation.
+
+    An episode's series meet in one row, and every joint's correlations at all shifts are products of numpy arrays in Arrow batches.
+    """
+    frames = frames if "u_state" in frames.columns else signals.with_units(frames.select(BY, "idx", "action", "state"))
+    some = lambda v: F.array(*[F.get(v, F.lit(d)) for d in dims])
+    rows = frames.groupBy(BY).agg(F.sort_array(F.collect_list(F.struct("idx", some("u_action").alias("a"), some("u_state").alias("s")))).alias("x"))
+    rows = rows.select(BY, F.flatten("x.a").alias("a"), F.flatten("x.s").alias("s"))
+
+    def best(a: np.ndarray, s: np.ndarray) -> int | None:
+        a, s = (np.diff(np.asarray(v, dtype=float).reshape(-1, len(dims)), axis=0) for v in (a, s))
+        if len(a) < 7:
+            return None
+        a, s = a - np.nanmean(a, axis=0), s - np.nanmean(s, axis=0)
+        norm = np.sqrt(np.nansum(a * a, axis=0) * np.nansum(s * s, axis=0))
+        n, most = len(a), min(int(round(m.MAX_LAG_S * fps)), len(a) // 3)
+        fine = (norm > 1e-12) & np.isfinite(a).all(axis=0) & np.isfinite(s).all(axis=0)
+        if not fine.any():
+            return None
+        a, s, norm = a[:, fine], s[:, fine], norm[fine]
+        score = [float(((a[: n - k] * s[k:]).sum(axis=0) / norm * n / (n - k)).mean()) for k in range(most + 1)]
+        lag = int(np.argmax(score))  # the first of the best
+        return lag if score[lag] >= m.MIN_LAG_CORR else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [best(a, s) for a, s in zip(batch["a"], batch["s"])]
+            kept = [i for i, v in enumerate(found) if v is not None]
+            yield pd.DataFrame({BY: batch[BY].iloc[kept].to_numpy(), "lag": [found[i] for i in kept]}).astype({"lag": "int32"})
+
+    return rows.mapInPandas(run, f"{BY} {dict(frames.dtypes)[BY]}, lag int")
 
 
 def track_resid(frames: DataFrame, lags: DataFrame, dims: list[int], signal: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import stored
 
 ROWS, CELL, PIVOTS = 4096, 512, 1024  # rows of a task's block, of a cell as aimed at, pivots of a group at most
+WHOLE = 8192  # rows of a group that are one cell: comparing them all costs less than placing them
 SLACK = 1e-9  # of a bound, for rounding
 ROW = ["owner", "item", "x", "y"]
 FOUND = "owner long, item int, d double, near long, near_item int, gap double"
@@ -55,8 +56,14 @@ class Cells:
     def __init__(self, points: DataFrame):
         grp = dict(points.dtypes)["grp"]
         sizes = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-        sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / ROWS).cast("int")).withColumn("wanted", F.least(F.ceil(F.col("n") / CELL), F.lit(PIVOTS)).cast("int")))
+        wanted = F.when(F.col("n") <= WHOLE, 1).otherwise(F.least(F.ceil(F.col("n") / CELL), F.lit(PIVOTS))).cast("int")
+        sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("n") / ROWS).cast("int")).withColumn("wanted", wanted))
         self.sizes, self.grp = sizes, grp
+        self.split = bool(sizes.where("wanted > 1").take(1))  # a group of several cells
+        if not self.split:
+            self.rows = stored(points.select("grp", *ROW, F.lit(0).alias("cell"), F.lit(0.0).alias("r")))
+            self.cells = sizes.select("grp", F.lit(0).alias("cell"), "n", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"), F.col("blocks").alias("parts"))
+            return
         rows = points.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("owner", "item"), F.col("blocks")).cast("int"))
         by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("owner", "item", F.lit(3)), "owner", "item")
         ranked = rows.withColumn("p", F.row_number().over(by_hash)).where(F.col("p") <= PIVOTS).where(F.col("p") <= F.col("wanted"))
@@ -140,7 +147,10 @@ def nearest_foreign(points: DataFrame, k: int) -> DataFrame:
     """
     cells = Cells(points)
     best = Window.partitionBy("owner", "item").orderBy("d", "near", "near_item")
-    first = stored(cells.answered(cells.rows.select("grp", "cell", *ROW), k))
+    first = cells.answered(cells.rows.select("grp", "cell", *ROW), k)
+    if not cells.split:
+        return first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    first = stored(first)
     ranked = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     kth = ranked.where(F.col("rank") == k).select("owner", "item", "d")
     more = cells.answered(stored(cells.in_reach(kth)), k)

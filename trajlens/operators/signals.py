@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import GRIPPER_HIGH, GRIPPER_LOW
 from ..storage import stored
-from .quantiles import percentiles
+from .quantiles import DIRECT, percentiles
 
 
 def long_form(frames: DataFrame, vector: str = "action", dims: list[int] | None = None) -> DataFrame:
@@ -36,13 +36,18 @@ def with_units(frames: DataFrame, vectors: tuple[str, ...] = ("action", "state")
     declared(episode_id, vector, ranges): the ranges that the episode's source declares, used where they are as many as the
     vector has dimensions; a declared range that isn't above 1e-9 is 1. All others are the episode's own (joint_ranges).
     """
-    out = frames
+    out = frames = stored(frames)
+    longest = frames.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     for v in (v for v in vectors if v in frames.columns):
-        x = stored(long_form(frames, v))
-        q = percentiles(x.where(F.col("x").isNotNull()), ["episode_id", "dim"], "x", [0.05, 0.95])
-        bad = x.groupBy("episode_id", "dim").agg(F.count_if(F.col("x").isNull()).alias("bad"))
+        x = long_form(frames, v)
+        bad = F.count_if(F.col("x").isNull()).alias("bad")
+        if longest <= DIRECT:  # an episode's values fit a buffer
+            own = x.groupBy("episode_id", "dim").agg(F.percentile("x", F.array(F.lit(0.05), F.lit(0.95))).alias("q"), bad)
+        else:
+            x = stored(x)
+            own = x.groupBy("episode_id", "dim").agg(bad).join(percentiles(x, ["episode_id", "dim"], "x", [0.05, 0.95]), ["episode_id", "dim"], "left")
         spread = F.col("q")[1] - F.col("q")[0]
-        own = bad.join(q, ["episode_id", "dim"], "left").withColumn("rng", F.when((F.col("bad") > 0) | spread.isNull() | (spread <= 1e-9), 1.0).otherwise(spread))
+        own = own.withColumn("rng", F.when((F.col("bad") > 0) | spread.isNull() | (spread <= 1e-9), 1.0).otherwise(spread))
         ranges = own.groupBy("episode_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "rng"))), lambda s: s.rng).alias("own"))  # one number a dimension
         if declared is not None:
             said = declared.where(F.col("vector") == v).select("episode_id", F.transform("ranges", lambda r: F.when(r > 1e-9, r).otherwise(1.0)).alias("said"))
