@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trajlens import model as m
@@ -401,23 +402,56 @@ def test_runs_tags_and_partial_episodes(spark, tmp_path):
 
 
 def test_streams_measure_whole_episodes(spark, tmp_path):
-    """An episode split over micro-batches is measured over all its events; sessions are emitted once."""
+    """Sessions are emitted once and whole."""
     from trajlens import streaming
 
     rows = [(f"2024-01-01 00:{i:02d}:00", e, float(i)) for i in range(40) for e in (1, 2)]
     df = spark.createDataFrame(rows, "ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp"))
-    source = str(tmp_path / "source")
-    df.where("value < 20").coalesce(1).write.parquet(source)
-    df.where("value >= 20").coalesce(1).write.mode("append").parquet(source)
-    events = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    measure = lambda e: e.groupBy(F.col("user_id").alias("episode_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
-    streaming.score_stream(events, str(tmp_path / "out"), str(tmp_path / "check"), measure).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out/metrics"))
-    assert found.select("epoch").distinct().count() == 2
-    assert sorted((r.episode_id, r.n, r.v) for r in streaming.latest(found).collect()) == [(1, 40, 780.0), (2, 40, 780.0)]
     assert sorted((r.episode_id, r.frames) for r in streaming.episode_lengths(df).collect()) == [(1, 40), (2, 40)]
 
 
+def test_streams_keep_state_instead_of_history(spark, tmp_path):
+    """Events in many micro-batches give the batch metrics of whole episodes, and each event is read once."""
+    from trajlens import streaming
+
+    source = str(tmp_path / "source")
+    events = episodes.table(spark, SF, "events")
+    ordered = events.withColumn("k", F.ntile(5).over(Window.orderBy("ts", "event_id")))
+    for k in range(1, 6):
+        ordered.where(F.col("k") == k).drop("k").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = streaming.score_stream(stream, str(tmp_path / "out"), str(tmp_path / "check"), FPS)
+    query.awaitTermination()
+    reads = [p.numInputRows for p in query.recentProgress if p.numInputRows]
+    assert len(reads) == 5 and sum(reads) == events.count()
+    got = {r.episode_id: r for r in streaming.latest(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    raw = {}
+    for r in quality.event_raw(spark, SF).collect():
+        raw.setdefault(r.episode_id, {})[r.metric] = (r.value, r.worst)
+    assert got.keys() == raw.keys()
+    ends = {r.user_id: (r.lo, r.hi) for r in events.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    for e, x in raw.items():
+        assert got[e].length_s == pytest.approx(x["length_z"][0]) and (got[e].lo, got[e].hi) == ends[e] and got[e].late == 0
+        assert (got[e].ldlj is None) == ("ldlj" not in x)
+        if "ldlj" in x:  # it doesn't depend on the range
+            assert (got[e].ldlj, got[e].ldlj_worst) == pytest.approx(x["ldlj"])
+
+
+def test_stream_state_by_itself():
+    from trajlens.streaming import EpisodeState, window_jerk
+
+    rng = np.random.default_rng(9)
+    x = np.cumsum(rng.normal(size=400))
+    state = None
+    for part in np.split(x, [1, 2, 50, 131, 300]):
+        own = EpisodeState(state)
+        own.add(part, FPS, 90)
+        state = own.stored()
+        assert len(own.tail) < 90
+    speed = np.abs(np.diff(x)) * FPS
+    assert state[9] == pytest.approx([window_jerk(speed[k : k + 90], FPS) for k in range(0, 399 - 89, 45)]) and state[6] == pytest.approx(speed.sum() / FPS)
+
+
 def test_selection_and_panel_rows(spark):
     e = spark.createDataFrame([(1, "a"), (2, ""), (3, None), (4, "a")], "episode_id long, task_key string")
     ids = lambda df: [r.episode_id for r in df.collect()]
