@@ -47,7 +47,8 @@ TESTED_OTHERWISE = {
     "sparc_phase": "test_recording.test_spectra_equal_plain_loops",
     "full_ranking": "test_recording.test_full_ranking_is_the_ranking_with_more_metrics",
     "episode_detail": "test_recording.test_detail_thins_what_the_signals_hold",
-    "corruptions": "test_recording.test_corruptions_are_caught",
+    "corruptions": "test_suite.test_all_corruptions_are_caught",
+    "length_control_z": "test_suite.test_length_control_of_z_scores",
     "ranking_outliers": "test_recording.test_outliers_of_the_feature_matrix",
     "isolation_forest": "test_engine.test_outlier_has_the_highest_scores",
 }

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model as m
-from ..functions import spectral
+from ..functions import language, spectral
 from ..picks import Group, Picks
 from ..storage import stored
-from . import batch, metrics, scoring, signals
+from . import batch, camera, metrics, scoring, signals, video
 
 BY = metrics.BY
 RAW = "episode_id long, metric string, signal string, value double, worst double"
@@ -38,6 +38,10 @@ class Recording:
     picks: Picks
     bounds: DataFrame | None = None  # dim, lo, hi of the state, as the source declares them
     ranges: DataFrame | None = None  # episode_id, vector, ranges: an array's ranges, as the episode's source declares them
+    images: DataFrame | None = None  # episode_id, camera, t (seconds in the episode), px: gray values of side * side pixels
+    side: int = 0
+    windows_of: DataFrame | None = None  # episode_id, camera, from_s, to_s: where the episode lies in each camera's video
+    refs: DataFrame | None = None  # episode_id, expected: how many frames the dataset promises
     min_group: int = m.MIN_GROUP
     _made: dict = field(default_factory=dict)
 
@@ -127,10 +131,85 @@ class Recording:
         filtered = self.filtered()
         return self.once("times", lambda: metrics.time_metrics(filtered, self.fps, self.recoveries())) if filtered is not None else None
 
+    def stills(self) -> DataFrame | None:
+        """episode_id, camera and the still-frame measures of each."""
+        if self.images is None or not self.side:
+            return None
+        key = F.concat_ws("|", BY, "camera")
+
+        def make() -> DataFrame:
+            stats = camera.still_stats(self.images.select(key.alias("camera"), F.col("t").alias("frame"), "px"), self.side)
+            return camera.camera_metrics(stats).select(F.substring_index("camera", "|", 1).cast("long").alias(BY), F.regexp_replace("camera", r"^[^|]*\|", "").alias("signal"), *[c for c in CAMERA.values()], *[f"{w}" for w in CAMERA_WORST.values()])
+
+        return self.once("stills", make)
+
+    def changes(self) -> DataFrame | None:
+        return self.once("changes", lambda: camera.frame_changes(self.images)) if self.images is not None else None
+
+    def state_filtered(self) -> DataFrame | None:
+        """The low-passed speed of the arm's state."""
+        dims = self.picks.arm_dims()
+        own = self.joint.select(BY, "idx", F.col("state").alias("action"), F.col("u_state").alias("u_action"))
+        return self.once("state filtered", lambda: spectral.filtered_speed(signals.group_speed(own, dims, self.fps), self.fps)) if dims else None
+
+    def integrity(self) -> DataFrame:
+        """One row an episode: the integrity metrics, their verdict and the failing checks."""
+
+        def make() -> DataFrame:
+            frames = self.frames if "frame_index" in self.frames.columns else self.frames.withColumn("frame_index", F.col("idx").cast("long"))
+            sizes = self.frames.groupBy(BY).agg(F.count(F.lit(1)).alias("length"), F.max(F.size("action")).alias("a"), F.max(F.size("state")).alias("s"))
+            gaps, cameras = None, None
+            if self.windows_of is not None:
+                maps = self.windows_of.groupBy(BY).agg(F.map_from_entries(F.collect_list(F.struct("camera", F.struct("from_s", "to_s")))).alias("windows"))  # one entry a camera
+                gaps = video.window_mismatch(sizes.join(maps, BY), self.fps)
+                cameras = self.windows_of.groupBy(BY).agg(F.array_join(F.sort_array(F.collect_set("camera")), ",").alias("cameras"))
+            sizes = sizes.join(cameras, BY, "left") if cameras is not None else sizes.withColumn("cameras", F.lit(None).cast("string"))
+            schema = batch.majority_schema(sizes.select(BY, F.concat_ws("/", "a", "s", F.coalesce("cameras", F.lit("-"))).alias("sig")))
+            return metrics.integrity(frames, self.fps, self.refs, gaps, schema)
+
+        return self.once("integrity", make)
+
     def aux(self) -> DataFrame:
         return self.once("aux", lambda: batch.aux_sample(self.own))
 
 
+#: Camera metrics and the columns of their values and worst values.
+CAMERA = {"blur": "blur", "exposure_err": "exposure_err", "clipped_frac": "clipped_frac"}
+CAMERA_WORST = {"blur": "blur_worst", "exposure_err": "exposure_worst", "clipped_frac": "clipped_worst"}
+
+
+def _by_camera(rows: DataFrame | None, metric: str, value: str = "value", worst: str | None = None) -> list[DataFrame]:
+    """rows(episode_id, signal or camera, value[, worst]) as a metric with a signal a camera."""
+    if rows is None:
+        return []
+    signal = F.col("signal" if "signal" in rows.columns else "camera")
+    last = F.col(worst) if worst else F.lit(None)
+    return [rows.select(BY, F.lit(metric).alias("metric"), signal.alias("signal"), F.col(value).cast("double").alias("value"), last.cast("double").alias("worst")).where("value is not null")]
+
+
+def _still(name: str) -> Callable[[Recording], list[DataFrame]]:
+    return lambda r: _by_camera(r.stills(), name, CAMERA[name], CAMERA_WORST[name])
+
+
+def _frozen(r: Recording) -> list[DataFrame]:
+    if r.changes() is None or r.windows_of is None or r.state_filtered() is None:
+        return []
+    zero = r.windows_of.select(BY, "camera", F.lit(0.0).alias("from_s"), (F.col("to_s") - F.col("from_s")).alias("to_s"))  # times of changes are the episode's
+    return _by_camera(camera.frozen_frac(r.changes(), r.state_filtered(), zero, r.fps), "frozen_frac")
+
+
+def _video_lag(r: Recording) -> list[DataFrame]:
+    return _by_camera(camera.action_lag_ms(r.changes(), r.arm_speed(), r.fps), "video_action_lag_ms") if r.changes() is not None and r.arm_speed() is not None else []
+
+
+def _check(name: str) -> Callable[[Recording], list[DataFrame]]:
+    return lambda r: [metrics.named(r.integrity(), name, F.col(name))]
+
+
+def _language(name: str, measure: Callable) -> Callable[[Recording], list[DataFrame]]:
+    return lambda r: [metrics.named(r.episodes.withColumn("v", measure(F.col("text"))), name, F.col("v"))] if "text" in r.episodes.columns else []
+
+
 def _moving(r: Recording) -> list[Group]:
     return r.picks.of("arm", "hand")
 
@@ -191,6 +270,12 @@ FUNCTIONS: dict[str, Callable[[Recording], list[DataFrame]]] = {
     "recovery_count": lambda r: [metrics.recovery_count(r.episodes, r.recoveries())] if r.recoveries() is not None else [],
     "action_divergence": _divergence,
     "stats_leverage": lambda r: [metrics.named(batch.stats_leverage(r.own, r.episodes), "stats_leverage", F.col("leverage"))],
+    **{n: _still(n) for n in CAMERA},
+    "frozen_frac": _frozen,
+    "video_action_lag_ms": _video_lag,
+    **{n: _check(n) for n in ("frame_gaps", "timestamp_dev", "length_mismatch", "video_window_mismatch", "nonfinite_values", "too_short", "schema_mismatch")},
+    "task_missing": _language("task_missing", language.task_missing),
+    "task_generic": _language("task_generic", language.task_generic),
 }
 
 
@@ -259,6 +344,21 @@ class Scored:
         return df.select(BY, "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"), F.coalesce("failed", F.lit("")).alias("failed"))
 
 
+def outliers(scored: Scored) -> DataFrame:
+    """episode_id, iforest_score, novelty_knn, is_outlier of a finished batch: information only, no part of the score."""
+    x = stored(scoring.feature_matrix(scored.worst))
+    return scoring.outliers(batch.novelty(x), batch.isolation_scores(x), scored.groups)
+
+
+def reviews(recording: Recording, scored: Scored) -> DataFrame:
+    """One row an episode: the ranking with the verdicts of integrity and language, the failing checks and the outlier flag."""
+    checked = recording.integrity().select(BY, F.col("verdict").alias("integrity"), "failing")
+    said = scored.raw.where(F.col("metric").isin("task_missing", "task_generic")).groupBy(BY).agg(*[F.max(F.when(F.col("metric") == n, F.col("value"))).alias(n) for n in ("task_missing", "task_generic")])
+    said = said.select(BY, metrics.language_verdict(F.col("task_missing"), F.col("task_generic")).alias("language"))
+    df = scored.ranking().join(checked, BY, "left").join(said, BY, "left").join(outliers(scored).select(BY, "is_outlier"), BY, "left")
+    return df.na.fill("unknown", ["integrity", "language"])
+
+
 def metric_rows(worst: DataFrame, z: DataFrame) -> DataFrame:
     """episode_id, metric, value, z, breakdown: a metric's worst signal, and its value on every signal in thousandths."""
     own = F.filter(F.sort_array(F.collect_list(F.struct("signal", "value"))), lambda s: s.signal != "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import model as m
 from .. import storage
 from ..functions import language, spectral
-from ..operators import batch, camera, harness, metrics, registry, scoring, signals, spans, video
+from ..operators import batch, camera, harness, metrics, registry, scoring, signals, spans, suite, video
 from ..picks import Group, Picks
 from ..sources import episodes, sinks
 
@@ -387,32 +388,30 @@ def q_majority_schema(spark: SparkSession, d: str) -> DataFrame:
     return batch.majority_schema(e.select("episode_id", F.when(F.col("length") % 10 == 0, "50 fps").otherwise("30 fps").alias("sig")))
 
 
+def _validated(spark: SparkSession, d: str) -> registry.Recording:
+    """The recordings with what a dataset says of them: promised lengths, a camera's video windows and task texts. They have no images."""
+    r = recording(spark, d)
+    n = storage.stored(r.frames.groupBy("episode_id").agg(F.count(F.lit(1)).alias("expected")))
+    windows = n.select("episode_id", F.lit("front").alias("camera"), F.lit(0.0).alias("from_s"), (F.col("expected") / FPS).alias("to_s"))
+    return replace(r, refs=n, windows_of=windows, episodes=r.episodes.withColumn("text", F.concat(F.lit("Move the parts to "), F.lower("task_key"))), _made={})
+
+
 def q_corruptions(spark: SparkSession, d: str) -> DataFrame:
-    """Of the recordings, how often each corruption worsens what it must, and whether none does."""
+    """Of the recordings, how often each of the 26 corruptions worsens what it must, and whether an unchanged copy does; all copies are measured at once."""
+    return _rounded(suite.run(_validated(spark, d)))
+
+
+def q_flag_states(spark: SparkSession, d: str) -> DataFrame:
+    """Every flag of the recordings as the registry measures it, whatever the family: integrity, language, gripper and consistency."""
+    flags = [n for n in registry.FUNCTIONS if m.BY_NAME[n].family in ("integrity", "language")]
+    raw, _ = registry.compute_raw(_validated(spark, d), flags)
+    return _rounded(raw.select("episode_id", "metric", "value"))
+
+
+def q_length_control_z(spark: SparkSession, d: str) -> DataFrame:
+    """Rank correlation of each ranked metric's z before and after cutting all recordings to one length, and with their durations."""
     r = recording(spark, d)
-    names = [n for n in registry.FUNCTIONS if not m.BY_NAME[n].batch]
-    changed = {
-        "identity": harness.identity,
-        "jitter": lambda f: harness.jitter(f, 0.05),
-        "stop_and_go": lambda f: harness.stop_and_go(f, FPS),
-        "idle_start": lambda f: harness.idle_start(f, 60),
-        "idle_end": lambda f: harness.idle_end(f, 60),
-        "mid_pause": lambda f: harness.mid_pause(f, 60),
-        "abandoned": harness.abandoned,
-        "lagged_state": lambda f: harness.lagged_state(f, FPS),
-        "gripper_chatter": lambda f: harness.gripper_chatter(f, GRIPPER[0], 0.0, 0.1),
-    }
-    clean = storage.stored(scoring.value_rows(registry.compute_raw(r, names)[0]))
-    rates = []
-    for name, change in changed.items():
-        wanted = names if name == "identity" else list(harness.EXPECTED[name])
-        copy = registry.Recording(change(r.own.drop("u_action", "u_state")), r.episodes, FPS, PICKS, bounds=r.bounds, min_group=r.min_group)
-        raw = scoring.value_rows(registry.compute_raw(copy, wanted)[0])
-        rates.append(harness.judged(harness.compare(clean.where(F.col("metric").isin(wanted)), raw, harness.EXPECTED.get(name)), name))
-    out = rates[0]
-    for x in rates[1:]:
-        out = out.unionByName(x)
-    return _rounded(out)
+    return _rounded(suite.length_control(r, registry.score(r, RANKED, 6), RANKED))
 
 
 def q_corruption_idle_start(spark: SparkSession, d: str) -> DataFrame:

@@ -345,3 +345,10 @@ SELECT window_id, q // 3 AS r, {_r('frame_t', 'frame_t')} FROM r WHERE q % 3 = 0
 SELECT camera, t, CAST(list_sum(list_transform(list_zip(x, y), lambda q: abs(q[1] - q[2]))) // len(x) AS BIGINT) AS v FROM p WHERE y IS NOT NULL""",
     "tag_selection": "WITH b AS (SELECT arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS k FROM orders GROUP BY o_custkey) SELECT CAST(o_orderkey AS BIGINT) AS episode_id, CASE WHEN k IS NULL THEN o_orderpriority ELSE array_to_string(list_sort([o_orderpriority, 'largest']), ',') END AS tags FROM orders LEFT JOIN b ON k = o_orderkey",
 }
+
+ORACLE["flag_states"] = """
+WITH n AS (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT CAST(s_suppkey AS BIGINT) AS e FROM supplier)
+SELECT e AS episode_id, unnest(['frame_gaps', 'timestamp_dev', 'length_mismatch', 'video_window_mismatch', 'nonfinite_values', 'too_short', 'schema_mismatch']) AS metric,
+  unnest([0.0, 0.0, 0.0, 0.0, 0.0, CAST(n < 10 OR n / 30.0 < 1 AS DOUBLE), 0.0]::DOUBLE[]) AS value FROM n
+UNION ALL SELECT e, unnest(['task_missing', 'task_generic']), 0.0 FROM s"""
