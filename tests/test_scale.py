@@ -61,10 +61,10 @@ def test_fit_is_the_same_by_histograms(spark, monkeypatch):
 def test_ranks_without_one_task_for_a_metric(spark):
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 300, 3000).astype(float), rng.normal(size=3000)
-    df = spark.createDataFrame([("m", float(x), float(x + 40 * y)) for x, y in zip(a, b)] + [("k", float(i), float(-i)) for i in range(9)], "metric string, a double, b double")
+    df = spark.createDataFrame([("m", float(x), float(x + 40 * y)) for x, y in zip(a, b)] + [("k", float(i), float(-i)) for i in range(9)] + [("flat", 1.0, float(i)) for i in range(4)], "metric string, a double, b double")
     rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
     got = {r.metric: r.rho for r in harness.spearman(df).collect()}
-    assert got["m"] == pytest.approx(np.corrcoef(rank(a), rank(a + 40 * b))[0, 1]) and got["k"] == pytest.approx(-1)
+    assert got["m"] == pytest.approx(np.corrcoef(rank(a), rank(a + 40 * b))[0, 1]) and got["k"] == pytest.approx(-1) and got["flat"] is None
     ranks = {r.a: r["rank"] for r in quantiles.mean_ranks(df.where("metric = 'm'"), ["metric"], "a").collect()}
     assert all(ranks[x] == y for x, y in zip(a, rank(a)))
 
