@@ -104,3 +104,18 @@ def test_one_run_gives_all_verdicts(whole):
     assert found >= {"blur", "exposure_err", "clipped_frac", "frozen_frac", "video_action_lag_ms", "frame_gaps", "video_window_mismatch", "schema_mismatch", "task_generic"} and not scored.failures.count()
     rows = registry.reviews(whole, scored).collect()
     assert len(rows) == 6 and {(r.integrity, r.language, r.failing) for r in rows} == {("pass", "pass", "")} and all(math.isfinite(r.score) for r in rows)
+
+
+def test_rows_as_they_are_written_back(whole, spark):
+    from trajlens.operators import scoring
+
+    names = ["sparc", "length_z", "recovery_count"]
+    scored = registry.score(whole, names)
+    rows = registry.result_rows(whole, scored, {"policy": scoring.profile_table(spark), "time": scoring.profile_table(spark, ["time"])}, names)
+    first = rows.orderBy("episode_id").first()
+    assert (first.group_n, first.config_version, first.integrity_verdict, first.language_verdict, first.failed) == (6, m.CONFIG_VERSION, "pass", "pass", "") and first.driver_time == "time" and first.q_sparc_on_arm_right == first.q_sparc
+    fields = dict(registry.field_catalogue(rows))
+    assert fields["score_policy"] == "float" and fields["nflags_time"] == "int" and fields["driver_policy"] == "str" and "episode_id" not in fields
+    tags = spark.createDataFrame([(1, ["mine"], 2.0), (2, ["mine", "recovery"], 0.0), (3, ["recovery"], None), (4, None, 1.0)], "episode_id long, tags array<string>, q_recovery_count double")
+    got = {r.episode_id: r.tags for r in registry.with_recovery_tags(tags).collect()}
+    assert got == {1: ["mine", "recovery"], 2: ["mine"], 3: ["recovery"], 4: ["recovery"]}

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import model as m
 from ..functions import language, spectral
 from ..picks import Group, Picks
+from ..sources import sinks
 from ..storage import stored
 from . import batch, camera, metrics, scoring, signals, video
 
@@ -344,6 +345,44 @@ class Scored:
         return df.select(BY, "group_label", "basis", "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"), F.coalesce("failed", F.lit("")).alias("failed"))
 
 
+def profiles(scored: Scored, named: dict[str, DataFrame]) -> DataFrame:
+    """episode_id, profile, score, n_flags, driver, verdict: every episode under every profile (scoring.profile_table), unknown where none of its metrics has a z."""
+    out = None
+    for name, table in named.items():
+        df = scored.groups.select(BY).join(scoring.profile_scores(scored.worst, table), BY, "left")
+        df = df.select(BY, F.lit(name).alias("profile"), "score", F.coalesce("n_flags", F.lit(0)).alias("n_flags"), "driver", F.coalesce("verdict", F.lit("unknown")).alias("verdict"))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def result_rows(recording: Recording, scored: Scored, named: dict[str, DataFrame], metrics_: list[str]) -> DataFrame:
+    """One row an episode as it is written back: every metric's fields (sinks.flatten), each profile's, both verdicts, group, its size, version and notes."""
+    flat = sinks.flatten(scored.raw, scored.worst, scored.z, metrics_, [g.signal for g in recording.picks.groups])
+    per = profiles(scored, named).groupBy(BY).agg(*[F.max(F.when(F.col("profile") == p, F.col(c))).alias(f"{c.replace('_', '')}_{p}") for p in named for c in ("score", "n_flags", "driver", "verdict")])
+    checked = recording.integrity().select(BY, F.col("verdict").alias("integrity_verdict"), F.col("note").alias("frame_gaps_note"))
+    texts = recording.episodes.select(BY, F.col("text") if "text" in recording.episodes.columns else F.lit(None).cast("string").alias("text"))
+    judged = "text" in recording.episodes.columns
+    t = F.col("text")
+    said = metrics.language_verdict(language.task_missing(t), language.task_generic(t)) if judged else F.lit("unknown")
+    texts = texts.select(BY, said.alias("language_verdict"), (language.generic_reason(t) if judged else F.lit(None).cast("string")).alias("task_generic_note"))
+    lost = scored.ranking().select(BY, "failed")
+    groups = scoring.group_sizes(scored.groups).select(BY, "group_label", F.col("basis").alias("group_basis"), "group_n")
+    df = groups.join(per, BY, "left").join(checked, BY, "left").join(texts, BY, "left").join(lost, BY, "left").join(flat, BY, "left")
+    return df.na.fill("unknown", ["integrity_verdict", "language_verdict"]).withColumn("config_version", F.lit(m.CONFIG_VERSION))
+
+
+def field_catalogue(rows: DataFrame, key: str = BY) -> list[tuple[str, str]]:
+    """The fields of result rows and their types, as a store declares them: str, int, float or list of str."""
+    kinds = {"string": "str", "double": "float", "float": "float", "bigint": "int", "int": "int", "boolean": "bool", "array<string>": "list<str>"}
+    return [(c, kinds.get(t, t)) for c, t in rows.dtypes if c != key]
+
+
+def with_recovery_tags(rows: DataFrame, tag: str = "recovery", count: str = "q_recovery_count") -> DataFrame:
+    """rows(.., tags) whose tag says whether the episode recovered; where that wasn't measured tags stay as they are."""
+    seen = F.col(count).isNotNull()
+    return rows.withColumn("tags", F.when(seen & (F.col(count) > 0), sinks.with_tag(F.col("tags"), tag, F.lit(True))).when(seen, sinks.with_tag(F.col("tags"), tag, F.lit(False))).otherwise(F.col("tags")))
+
+
 def outliers(scored: Scored) -> DataFrame:
     """episode_id, iforest_score, novelty_knn, is_outlier of a finished batch: information only, no part of the score."""
     x = stored(scoring.feature_matrix(scored.worst))

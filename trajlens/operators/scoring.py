@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
@@ -104,10 +104,19 @@ def outliers(novelty: DataFrame, isolation: DataFrame, groups: DataFrame) -> Dat
     return z.groupBy("episode_id").agg(pick("iforest_score", "value").alias("iforest_score"), pick("novelty_knn", "value").alias("novelty_knn"), (F.max("z") >= m.WARN_Z).cast("double").alias("is_outlier"))
 
 
-def profile_scores(worst: DataFrame) -> DataFrame:
-    """episode_id, score, n_flags, driver, verdict: groups take the largest weighted z, the score the largest group."""
-    members = [(x.name, x.group, x.weight, m.GROUPS.index(x.group)) for x in m.METRICS if x.group]
-    dim = worst.sparkSession.createDataFrame(members, "metric string, grp string, weight double, ordinal int")  # one row a metric
+def profile_table(spark: SparkSession, groups: list[str] | None = None) -> DataFrame:
+    """metric, grp, weight, ordinal of the registry's groups (all without): a profile as profile_scores takes it, to be changed at will."""
+    wanted = m.GROUPS if groups is None else groups
+    members = [(x.name, x.group, x.weight, wanted.index(x.group)) for x in m.METRICS if x.group in wanted]
+    return spark.createDataFrame(members, "metric string, grp string, weight double, ordinal int")  # one row a metric
+
+
+def profile_scores(worst: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """episode_id, score, n_flags, driver, verdict: groups take the largest weighted z, the score the largest group.
+
+    profile(metric, grp, weight, ordinal): which metrics count, in which group and how much; at a tie the group of the least ordinal drives.
+    """
+    dim = profile_table(worst.sparkSession) if profile is None else profile
     g = worst.join(F.broadcast(dim), "metric").groupBy("episode_id", "grp", "ordinal").agg(F.max(F.col("weight") * F.col("z")).alias("v"))
     per = g.groupBy("episode_id").agg(F.max("v").alias("score"), F.count_if(F.col("v") >= m.WARN_Z).alias("n_flags"), F.max_by("grp", F.struct("v", -F.col("ordinal"))).alias("driver"))
     return per.withColumn("verdict", severity(F.col("score")))

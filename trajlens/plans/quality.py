@@ -199,6 +199,37 @@ def q_flat_results(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(sinks.flatten(scored.raw, scored.worst, scored.z, RANKED, [g.signal for g in PICKS.groups]))
 
 
+def _profiles(spark: SparkSession) -> dict[str, DataFrame]:
+    """All groups, and a profile of motion and time alone in which smoothness counts twice."""
+    moves = scoring.profile_table(spark, ["motion", "time"]).withColumn("weight", F.when(F.col("metric") == "sparc", 2.0).otherwise(F.col("weight")))
+    return {"policy": scoring.profile_table(spark), "moves": moves}
+
+
+def q_profile_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every recording's score, flags, driver and verdict under two profiles."""
+    return _rounded(registry.profiles(_scored(spark, d), _profiles(spark)))
+
+
+def q_result_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What is written back of each recording beside its metrics: group and its size, profiles, verdicts, notes, version, lost metrics."""
+    r = _validated(spark, d)
+    rows = registry.result_rows(r, registry.score(r, RANKED, 6), _profiles(spark), RANKED)
+    return _rounded(rows.select("episode_id", "group_label", "group_basis", "group_n", "config_version", *[f"{c}_{p}" for p in ("policy", "moves") for c in ("score", "nflags", "driver", "verdict")], "integrity_verdict", "language_verdict", F.coalesce("frame_gaps_note", F.lit("")).alias("frame_gaps_note"), F.coalesce("task_generic_note", F.lit("")).alias("task_generic_note"), "failed"))
+
+
+def q_family_review(spark: SparkSession, d: str) -> DataFrame:
+    """The recordings of each metric family with their place in it, worst first."""
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.desc(F.round("score", 6)), "episode_id"))
+    return _rounded(scoring.family_scores(_scored(spark, d).worst).withColumn("place", place)).orderBy("family", "place")
+
+
+def q_language_review(spark: SparkSession, d: str) -> DataFrame:
+    """All task texts, weak ones first, with the reason."""
+    t = F.col("text")
+    df = _task_texts(spark, d).select("id", metrics.language_verdict(language.task_missing(t), language.task_generic(t)).alias("verdict"), F.coalesce(language.generic_reason(t), F.lit("")).alias("reason"))
+    return df.orderBy(F.when(F.col("verdict") == "warn", 0).otherwise(1), "id")
+
+
 def q_worst_episodes(spark: SparkSession, d: str) -> DataFrame:
     return q_event_ranking(spark, d).select("episode_id", "score", "driver").orderBy(F.desc_nulls_last("score"), "episode_id").limit(12)
 

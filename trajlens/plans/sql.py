@@ -352,3 +352,15 @@ s AS (SELECT CAST(s_suppkey AS BIGINT) AS e FROM supplier)
 SELECT e AS episode_id, unnest(['frame_gaps', 'timestamp_dev', 'length_mismatch', 'video_window_mismatch', 'nonfinite_values', 'too_short', 'schema_mismatch']) AS metric,
   unnest([0.0, 0.0, 0.0, 0.0, 0.0, CAST(n < 10 OR n / 30.0 < 1 AS DOUBLE), 0.0]::DOUBLE[]) AS value FROM n
 UNION ALL SELECT e, unnest(['task_missing', 'task_generic']), 0.0 FROM s"""
+
+_TWO = f"""WITH {RANKING}, p2 AS (SELECT e, grp, ordinal, max(CASE WHEN metric = 'sparc' THEN 2.0 ELSE CAST(weight AS DOUBLE) END * z) AS v FROM z JOIN mem USING (metric) WHERE grp IN ('motion', 'time') GROUP BY ALL),
+s2 AS (SELECT e, max(v) AS score, count(*) FILTER (v >= 2) AS n_flags, arg_max(grp, (v, -ordinal)) AS driver FROM p2 GROUP BY e),
+r2 AS (SELECT gr.e, score, coalesce(n_flags, 0) AS n_flags, driver, CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 3 THEN 'fail' WHEN score >= 2 THEN 'warn' ELSE 'pass' END AS verdict FROM gr LEFT JOIN s2 USING (e))"""
+ORACLE |= {
+    "profile_scores": f"{_TWO} SELECT e AS episode_id, 'policy' AS profile, {_r('score', 'score')}, n_flags, driver, verdict FROM rk UNION ALL SELECT e, 'moves', {_r('score', 'score')}, n_flags, driver, verdict FROM r2",
+    "result_rows": f"""{_TWO}, n AS (SELECT CAST(l_suppkey AS BIGINT) AS e, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT rk.e AS episode_id, rk.group_label, rk.basis AS group_basis, count(*) OVER (PARTITION BY rk.group_label) AS group_n, CAST(1 AS BIGINT) AS config_version, {_r('rk.score', 'score_policy')}, rk.n_flags AS nflags_policy, rk.driver AS driver_policy, rk.verdict AS verdict_policy,
+  {_r('r2.score', 'score_moves')}, r2.n_flags AS nflags_moves, r2.driver AS driver_moves, r2.verdict AS verdict_moves, CASE WHEN n IS NULL THEN 'unknown' WHEN n < 30 THEN 'fail' ELSE 'pass' END AS integrity_verdict, 'pass' AS language_verdict, '' AS frame_gaps_note, '' AS task_generic_note, '' AS failed FROM rk JOIN r2 USING (e) LEFT JOIN n USING (e)""",
+    "family_review": f"WITH {RANKING}, f AS (SELECT e AS episode_id, grp AS family, round(max(z), 6) AS score, count(*) FILTER (z >= 2) AS n_flags FROM z JOIN mem USING (metric) GROUP BY e, grp) SELECT *, row_number() OVER (PARTITION BY family ORDER BY score DESC, episode_id) AS place FROM f",
+    "language_review": f"SELECT id, CASE WHEN coalesce(task_missing, 0) > 0 OR coalesce(task_generic, 0) > 0 THEN 'warn' ELSE 'pass' END AS verdict, coalesce(reason, '') AS reason FROM ({_LANGUAGE})",
+}
