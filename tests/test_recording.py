@@ -288,7 +288,7 @@ def test_divergence_has_peers_in_the_pooled_group(spark):
 def test_missing_picks_switch_metrics_off(spark, recording):
     bare = registry.Recording(recording.frames, recording.episodes, FPS, Picks("action", "state"))
     raw, failures = registry.compute_raw(bare)
-    assert not failures.count() and {r.metric for r in raw.select("metric").distinct().collect()} == {"length_z", "action_divergence"}
+    assert not failures.count() and {r.metric for r in raw.select("metric").distinct().collect()} == {"length_z", "action_divergence", "frame_gaps", "timestamp_dev", "nonfinite_values", "too_short", "schema_mismatch"}
     assert [need for _, need in Picks().readiness(True)][:4] == ["pick the action array", "pick the action array", "pick the state and action arrays", "pick gripper joints"]
     assert all(need is None for _, need in quality.PICKS.readiness())
 
@@ -305,6 +305,21 @@ def test_picks():
     assert kept.state is None and kept.action == "a" and notes == ["state: the source has no s"]
 
 
+def test_picks_back_and_why_metrics_are_off():
+    from trajlens.picks import dims_labelled, fields_of, labelled, why_off
+
+    fields = {"left_arm": [0, 1], "left_gripper": [2], "left_hand": [], "right_arm": [], "right_gripper": [5], "right_hand": []}
+    assert fields_of(True, assemble(True, fields)) == fields and fields_of(False, assemble(False, {"arm": [3, 1]})) == {"arm": [1, 3], "gripper": [], "hand": []}
+    assert labelled((5, 0, 1), ["x", "y", "z"]) == ["x", "y"] and dims_labelled(["z", "x", "?"], ["x", "y", "z"]) == [0, 2]
+    every = {x.name: x.family for x in m.METRICS}
+    assert why_off(quality.PICKS, {n: f for n, f in every.items() if f != "camera"}) == {}
+    off = why_off(Picks("a", "s", None, None, (Group("all", "arm", (0,)),)), every)
+    assert off["track_resid"] == "it is not said whether actions are joint positions" and off["gripper_flips_per_s"] == "no gripper joints are picked" and off["blur"] == "no camera is picked"
+    assert not {"sparc", "length_z", "idle_lead_s", "frame_gaps", "task_generic", "action_divergence"} & set(off)
+    assert set(why_off(Picks(), every)) == {n for n, f in every.items() if f not in ("integrity", "language", "outliers") and n != "length_z"}
+    assert Picks(joint_positions=False, cameras=("front",)).assumptions() == {"joint_positions": False, "cameras": ["front"]}
+
+
 def test_corruptions_are_caught(spark):
     r = still(spark, rests=False)
     names = ["idle_lead_s", "idle_trail_s", "longest_pause_s", "length_z", "ldlj", "sparc", "track_lag_ms"]

@@ -50,6 +50,11 @@ class Picks:
         named = [a for a in arms if gripper.arm is not None and slug(a.name) == slug(gripper.arm)]
         return named[0] if named else arms[0] if len(arms) == 1 and gripper.arm is None else None
 
+    def assumptions(self) -> dict[str, object]:
+        """What has been said of the data, as a run record keeps it; what nobody said is left out."""
+        said = {"joint_positions": self.joint_positions, "open_high": self.open_high}
+        return {k: v for k, v in said.items() if v is not None} | {"cameras": list(self.cameras)}
+
     def joint_space(self, action_dim: int, state_dim: int) -> bool:
         return bool(self.joint_positions) and action_dim == state_dim
 
@@ -85,6 +90,50 @@ def assemble(dual: bool, dims: dict[str, list[int]]) -> tuple[Group, ...]:
     return tuple(groups)
 
 
+def fields_of(dual: bool, groups: tuple[Group, ...]) -> dict[str, list[int]]:
+    """The inverse of assemble: the dimensions of each field, empty ones too."""
+    sides = ("left", "right") if dual else ("all",)
+    found = {(g.name, g.role): list(g.dims) for g in groups}
+    return {(f"{side}_{role}" if dual else role): found.get((side, role), []) for side in sides for role in ROLES}
+
+
+def labelled(dims: list[int] | tuple[int, ...], of: list[str]) -> list[str]:
+    """The labels of these dimensions, in their order; dimensions beyond the array have none."""
+    return [of[d] for d in sorted(set(dims)) if d < len(of)]
+
+
+def dims_labelled(chosen: list[str], of: list[str]) -> list[int]:
+    """The dimensions that carry these labels; labels that the array lacks are passed by."""
+    place = {name: i for i, name in enumerate(of)}
+    return sorted({place[x] for x in chosen if x in place})
+
+
+#: What a metric needs of the picks, family by family and where it differs by name.
+_NEEDS: dict[str, tuple[str, ...]] = {
+    "motion": ("action", "mover"),
+    "sparc_phase": ("action", "arm", "gripper"),
+    "time": ("action", "arm"),
+    "length_z": (),
+    "tracking": ("action", "state", "space", "arm"),
+    "gripper": ("action", "gripper"),
+    "missed_grasp_frac": ("action", "state", "space", "arm", "gripper", "opening"),
+    "recovery_count": ("action", "arm", "gripper", "opening"),
+    "consistency": ("action", "state"),
+    "camera": ("camera",),
+    "frozen_frac": ("camera", "state", "arm"),
+    "video_action_lag_ms": ("camera", "action", "arm"),
+}
+_SAY = {"action": "no action array is picked", "state": "no state array is picked", "mover": "no arm or hand joints are picked", "arm": "no arm joints are picked", "gripper": "no gripper joints are picked", "opening": "which way the gripper opens is not said", "camera": "no camera is picked"}
+
+
+def why_off(picks: Picks, metrics: dict[str, str]) -> dict[str, str]:
+    """Of metrics (name to family), those that the picks leave without values, each with the first thing that is missing."""
+    have = {"action": bool(picks.action), "state": bool(picks.state), "mover": bool(picks.of("arm", "hand")), "arm": bool(picks.of("arm")), "gripper": bool(picks.of("gripper")), "opening": picks.open_high is not None, "camera": bool(picks.cameras), "space": picks.joint_positions is True}
+    say = _SAY | {"space": "it is not said whether actions are joint positions" if picks.joint_positions is None else "actions are not joint positions"}
+    lacks = {name: [n for n in _NEEDS.get(name, _NEEDS.get(family, ())) if not have[n]] for name, family in metrics.items()}
+    return {name: say[missing[0]] for name, missing in lacks.items() if missing}
+
+
 def labels(names: list[str], feature: str) -> list[str]:
     """One label a dimension: its name, with its place where the name repeats."""
     return [n if names.count(n) == 1 else f"{n} ({feature}[{i}])" for i, n in enumerate(names)]
