@@ -228,8 +228,10 @@ def test_suffix_tree_equals_longest_suffixes():
     assert np.allclose(np.exp(tree.logp[:, :-1]).sum(axis=1) + (256 - tree.logp.shape[1] + 1) * np.exp(tree.logp[:, -1]), 1, atol=1e-3)
 
 
-def test_long_contexts_equal_counted_words(spark, docs):
-    """With an anchor at every word, scores are those of words counted one by one; copies are scored far higher."""
+@pytest.mark.parametrize("rounds,map_kinds", [(1, 4096), (3, 2)])
+def test_long_contexts_equal_counted_words(spark, docs, monkeypatch, rounds, map_kinds):
+    """In any number of rounds, and with followers as maps or as rows, scores are those of words counted one by one; copies are scored far higher."""
+    monkeypatch.setattr(lm_score, "MAP_KINDS", map_kinds)
     few = docs.where("doc_id % 4 = 0").select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, f"zibu lom wek tar {'so' * i} plim " * 5) for i in (1, 1, 2, 3)], "doc_id long, text string"))
     held = lm_score.held_out(F.col("doc_id"))
     rows = few.withColumn("held", held).collect()
@@ -263,7 +265,7 @@ def test_long_contexts_equal_counted_words(spark, docs):
     for k, r in enumerate(rows):
         gains = [np.log10((kept[c][0].get(w, 0) + len(kept[c][0]) * np.exp(p)) / (kept[c][1] + len(kept[c][0]))) - p / np.log(10) for c, w, p in positions[k] if c in kept]
         want.append((r.doc_id, len(gains), tree.log10([r.text or ""])[0] + sum(gains)))
-    got = sorted((r.doc_id, r.n_long, r.score, r.mean_score) for r in lm_score.score(few, held, anchor=1).collect())
+    got = sorted((r.doc_id, r.n_long, r.score, r.mean_score) for r in lm_score.score(few, held, rounds=rounds).collect())
     for g, w in zip(got, sorted(want)):
         assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4, abs=1e-4)
     assert 0 < len(kept) < len(follow)

@@ -14,6 +14,15 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; shuffle files of finished plans go when the driver's JVM collects them."""
+    context = tables[0].sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for table in tables for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

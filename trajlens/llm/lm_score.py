@@ -7,12 +7,15 @@ of them; it is retained if its next symbols diverge from its parent's by MIN_DIV
 it is a suffix of one that does. Distributions are smoothed towards the parent's (Witten-Bell), at the root towards all
 bytes. This part of the tree goes to the tasks as an automaton.
 
-Long contexts are the WORDS words before a word. A long context is a candidate at its anchors (one of ANCHOR hash values,
-the same ones wherever its words occur) and needs MIN_COUNT training occurrences, however large the corpus; it is
-retained if the words after it diverge from what the byte contexts say of them, and if they are at most MAX_KINDS
-different ones (a context with more says little). Its distribution over next words is smoothed towards the byte
-contexts' probability of the whole word. Long contexts are counted, tested and kept as tables that grow with the corpus,
-and each word after a candidate meets them in a join; nothing of them goes to the driver or to all tasks.
+Long contexts are the WORDS words before a word, every one of them, however large the corpus, and need MIN_COUNT training
+occurrences; one is retained if the words after it diverge from what the byte contexts say of them. Its distribution
+over next words is smoothed towards the byte contexts' probability of the whole word. Long contexts are counted, tested
+and kept as tables that grow with the corpus, and each word after one meets them in a join; nothing of them goes to the
+driver or to all tasks. They are taken in ROUNDS rounds by hash (fewer where a
+round would have less than ROUND_WORDS training words; the result is the same): each round counts and applies its share of them and
+deletes its tables, so that no more than one round's positions are on disk at once; the sum of all rounds is the score.
+A context with up to MAP_KINDS different followers carries them as one map; those of the others stay rows and meet
+their words in a join of their own.
 
 Each word of a text is thus scored by the longest retained context before it: the words, or else the bytes.
 
@@ -26,6 +29,7 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -35,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import discard, stored, text_of
 
 DEPTH, MIN_SHARE, MIN_DIVERGENCE = 5, 1 / 20_000, 0.002
-WORDS, ANCHOR, MIN_COUNT, MAX_KINDS = 3, 16, 2, 4096
+WORDS, MIN_COUNT, ROUNDS, ROUND_WORDS, MAP_KINDS = 3, 2, 16, 1_000_000, 4096
 FREQUENT, FLUSH, PIECE, SLICE_BYTES = 200_000, 400_000, 256, 4_000_000
 END = 10  # the byte that stands for the end; words hold no white space
 _RNG = np.random.default_rng(7)
@@ -214,8 +218,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def candidates(data: np.ndarray, starts: np.ndarray, logs: np.ndarray, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every word of a stream that follows a candidate long context: its text, the context, the word, and the byte contexts' log probability of the word and what ends it."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word of a stream: its text, its hash, and the byte contexts' log probability of the word and what ends it."""
     at = np.sort(np.concatenate([starts[:-1] + DEPTH, np.flatnonzero(data == 32) + 1]))
     size = np.diff(np.append(at, len(data)))
     place = np.arange(len(data) - at[0]) - np.repeat(at - at[0], size)
@@ -223,24 +227,54 @@ def candidates(data: np.ndarray, starts: np.ndarray, logs: np.ndarray, anchor: i
     value = _mix(_BYTE[data[at[0] :]] + (place >> 12).astype(np.uint64)) * _POWERS[place & 4095]
     value[~_scored(starts, len(data))[at[0] :]] = 0
     word = _mix(np.add.reduceat(value, at - at[0]))
-    text = np.searchsorted(starts, at, side="right") - 1
-    first = np.searchsorted(text, np.arange(len(starts) - 1))
+    return np.searchsorted(starts, at, side="right") - 1, word, np.add.reduceat(logs.astype(np.float64), at)
+
+
+def _context_hashes(word: np.ndarray) -> np.ndarray:
+    """The hash of the WORDS words before each word of a sequence."""
     context = np.zeros(len(word), dtype=np.uint64)
     for back in range(1, WORDS + 1):
-        context[back:] = _mix(context[back:] + word[:-back] * np.uint64(2 * back + 1)) if len(word) > back else context[back:]
-    chosen = np.flatnonzero((np.arange(len(word)) - first[text] >= WORDS) & (context % np.uint64(anchor) == 0))
-    p = np.add.reduceat(logs.astype(np.float64), at)
-    return text[chosen], context[chosen].view(np.int64), word[chosen].view(np.int64), p[chosen]
+        if len(word) > back:
+            context[back:] = _mix(context[back:] + word[:-back] * np.uint64(2 * back + 1))
+    return context
+
 
+def positions(whole: DataFrame, part: int, rounds: int) -> DataFrame:
+    """row, held, context, word, p of every word that follows a long context of the round, from rows' lists of words."""
 
-def long_contexts(positions: DataFrame) -> DataFrame:
-    """context, follow (word to count), total of the retained long contexts of positions(context, word, p)."""
-    seen = stored(positions.groupBy("context", "word").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("word")
+            sizes = np.diff(lists.offsets.to_numpy())
+            word, p = lists.flatten().to_numpy().view(np.uint64), batch.column("p").flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            inside = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= WORDS
+            context = _context_hashes(word)
+            chosen = np.flatnonzero(inside & (context % np.uint64(rounds) == part))
+            own = [batch.column(c).take(pa.array(row[chosen])) for c in ("row", "held")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(context[chosen].view(np.int64)), pa.array(word[chosen].view(np.int64)), pa.array(p[chosen])], names=["row", "held", "context", "word", "p"])
+
+    return whole.select("row", "held", "word", "p").mapInArrow(run, "row long, held boolean, context long, word long, p float")
+
+
+def round_gains(placed: DataFrame) -> DataFrame:
+    """row, gain (log10), n_long: what the retained long contexts among positions add to each row's score, stored."""
+    seen = stored(placed.where("not held").groupBy("context", "word").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")))
     bits = F.sum(F.col("n") * (F.log2("n") - F.col("p") / math.log(2))) / F.sum("n") - F.log2(F.sum("n"))
-    often = seen.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), bits.alias("bits"))
-    often = often.where((F.col("total") >= MIN_COUNT) & (F.col("kinds") <= MAX_KINDS) & (F.col("bits") >= MIN_DIVERGENCE))
-    kept = seen.join(often.select("context", "total"), "context")
-    return stored(kept.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("follow"), F.first("total").alias("total")))
+    often = seen.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), bits.alias("bits"))
+    often = stored(often.where((F.col("total") >= MIN_COUNT) & (F.col("bits") >= MIN_DIVERGENCE)).drop("bits"))
+    wide = F.col("k") > MAP_KINDS
+    kept = seen.join(often.where(~wide), "context").groupBy("context")
+    maps = stored(kept.agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("follow"), F.first("total").alias("total")))
+    gain = lambda n, k: F.log10((n + k * F.exp("p")) / (F.col("total") + k)) - F.col("p") / math.log(10)
+    parts = [placed.join(maps, "context").select("row", gain(F.coalesce(F.try_element_at("follow", F.col("word")), F.lit(0)), F.size("follow")).alias("gain"))]
+    if often.where(wide).take(1):
+        met = placed.join(often.where(wide), "context").join(seen.select("context", "word", "n"), ["context", "word"], "left")
+        parts.append(met.select("row", gain(F.coalesce("n", F.lit(0)), F.col("k")).alias("gain")))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = stored(every.groupBy("row").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_long")))
+    discard(seen, often, maps)
+    return out
 
 
 def _last(context: Column | str, size: int) -> Column:
@@ -279,7 +313,7 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = end
 
 
-def score(docs: DataFrame, is_held_out: Column, anchor: int = ANCHOR) -> DataFrame:
+def score(docs: DataFrame, is_held_out: Column, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_long (words scored by a long context) and mean_score (a token) for every row of docs."""
     spark = docs.sparkSession
     text = text_of(F.col("text"))
@@ -311,11 +345,11 @@ def score(docs: DataFrame, is_held_out: Column, anchor: int = ANCHOR) -> DataFra
                 data, starts = stream(texts)
                 out = tree.value.logs(data, starts)
                 sums = np.add.reduceat(out.astype(np.float64), starts[:-1]) / math.log(10)
-                which, context, word, p = candidates(data, starts, out, anchor)
+                which, word, p = word_hashes(data, starts, out)
                 bounds = pa.array(np.searchsorted(which, np.arange(len(texts) + 1)), pa.int32())
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (context, word, p.astype(np.float32))]
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (word.view(np.int64), p.astype(np.float32))]
                 arrays = [batch.column(0), batch.column(2), batch.column(3), pa.array(size, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), *lists]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held", "rk", "n", "k", "b", "score", "context", "word", "p"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held", "rk", "n", "k", "b", "score", "word", "p"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
@@ -331,21 +365,20 @@ def score(docs: DataFrame, is_held_out: Column, anchor: int = ANCHOR) -> DataFra
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "rk", "word", "m"])
 
     by = ["doc_id", "rk"]  # a row's identity; rows that repeat exactly share it
-    whole = stored(rows.select("doc_id", "text", "held", "rk").mapInArrow(per_document, f"doc_id {id_type}, held boolean, rk long, n long, k long, b double, score double, context array<long>, word array<long>, p array<float>"))
+    columns = f"doc_id {id_type}, held boolean, rk long, n long, k long, b double, score double, word array<long>, p array<float>"
+    whole = stored(rows.select("doc_id", "text", "held", "rk").mapInArrow(per_document, columns).withColumn("row", F.monotonically_increasing_id()))  # fixed once stored
     asked = rows.select("text", *by).mapInArrow(rare, f"doc_id {id_type}, rk long, word binary, m long")
     met = asked.join(counts.where(F.col("n") < least), "word", "left")
     c = F.coalesce("n", F.lit(0))
     per = met.groupBy(*by).agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("rare_known"), F.sum(F.col("m") * F.log10((c + 1) / F.lit(float(below)))).alias("rare_base"))
-    placed = whole.select(*by, "held", F.inline(F.arrays_zip("context", "word", "p")))
-    tables = long_contexts(placed.where("not held"))
-    n, k = F.coalesce(F.try_element_at("follow", F.col("word")), F.lit(0)), F.size("follow")
-    gain = F.log10((n + k * F.exp("p")) / (F.col("total") + k)) - F.col("p") / math.log(10)
-    longer = placed.join(tables, "context").groupBy(*by).agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("n_long"))
+    rounds = rounds or int(max(1, min(ROUNDS, words // ROUND_WORDS)))
+    gains = [round_gains(positions(whole, part, rounds)) for part in range(rounds)]
+    longer = functools.reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"), F.sum("n_long").alias("n_long"))
     copies = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("copies"))  # what repeated rows add up is theirs together
     same = lambda side: F.col("w.doc_id").eqNullSafe(F.col(f"{side}.doc_id")) & (F.col("w.rk") == F.col(f"{side}.rk"))
-    out = whole.drop("context", "word", "p").alias("w").join(per.alias("x"), same("x"), "left").join(longer.alias("y"), same("y"), "left").join(copies.alias("z"), same("z"))
+    out = whole.drop("word", "p").alias("w").join(per.alias("x"), same("x"), "left").join(longer.alias("y"), "row", "left").join(copies.alias("z"), same("z"))
     share = lambda column: F.coalesce(F.col(column) / F.col("copies"), F.lit(0.0))
-    total = F.col("score") + share("gain")
+    total = F.col("score") + F.coalesce("gain", F.lit(0.0))
     return out.select(
         "w.doc_id",
         F.col("held").alias("held_out"),
@@ -354,6 +387,6 @@ def score(docs: DataFrame, is_held_out: Column, anchor: int = ANCHOR) -> DataFra
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("b") + share("rare_base")).alias("base_score"),
         total.alias("score"),
-        share("n_long").cast("long").alias("n_long"),
+        F.coalesce("n_long", F.lit(0)).cast("long").alias("n_long"),
         (total / F.col("w.n")).alias("mean_score"),
     )
