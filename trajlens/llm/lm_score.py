@@ -243,22 +243,28 @@ def positions(whole: DataFrame, part: int, rounds: int) -> DataFrame:
     """row, held, context, word, p of every word that follows a long context of the round, from rows' lists of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("word")
-            sizes = np.diff(lists.offsets.to_numpy())
-            word, p = lists.flatten().to_numpy().view(np.uint64), batch.column("p").flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            inside = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= WORDS
-            context = _context_hashes(word)
-            chosen = np.flatnonzero(inside & (context % np.uint64(rounds) == part))
-            own = [batch.column(c).take(pa.array(row[chosen])) for c in ("row", "held")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(context[chosen].view(np.int64)), pa.array(word[chosen].view(np.int64)), pa.array(p[chosen])], names=["row", "held", "context", "word", "p"])
+        for big in batches:
+            for start in range(0, big.num_rows, PIECE):
+                batch = big.slice(start, PIECE)
+                lists = batch.column("word")
+                sizes = np.diff(lists.offsets.to_numpy())
+                word, p = lists.flatten().to_numpy().view(np.uint64), batch.column("p").flatten().to_numpy()
+                context = _context_hashes(word)
+                chosen = context % np.uint64(rounds) == part
+                firsts = np.cumsum(sizes) - sizes  # the first words of a text have no long context
+                for k in range(WORDS):
+                    chosen[firsts[sizes > k] + k] = False
+                chosen = np.flatnonzero(chosen)
+                row = pa.array(np.searchsorted(firsts + sizes, chosen, side="right"))
+                own = [batch.column(c).take(row) for c in ("row", "held")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(context[chosen].view(np.int64)), pa.array(word[chosen].view(np.int64)), pa.array(p[chosen])], names=["row", "held", "context", "word", "p"])
 
     return whole.select("row", "held", "word", "p").mapInArrow(run, "row long, held boolean, context long, word long, p float")
 
 
 def round_gains(placed: DataFrame) -> DataFrame:
     """row, gain (log10), n_long: what the retained long contexts among positions add to each row's score, stored."""
+    placed = stored(placed)
     seen = stored(placed.where("not held").groupBy("context", "word").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("p")))
     bits = F.sum(F.col("n") * (F.log2("n") - F.col("p") / math.log(2))) / F.sum("n") - F.log2(F.sum("n"))
     often = seen.groupBy("context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"), bits.alias("bits"))
@@ -273,7 +279,7 @@ def round_gains(placed: DataFrame) -> DataFrame:
         parts.append(met.select("row", gain(F.coalesce("n", F.lit(0)), F.col("k")).alias("gain")))
     every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     out = stored(every.groupBy("row").agg(F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("n_long")))
-    discard(seen, often, maps)
+    discard(placed, seen, often, maps)
     return out
 
 
