@@ -43,7 +43,7 @@ from .common import discard, stored, text_of
 
 DEPTH, MIN_SHARE, MIN_DIVERGENCE = 5, 1 / 20_000, 0.002
 WORDS, MIN_COUNT, ROUNDS, ROUND_WORDS, MAP_KINDS = 3, 2, 16, 1_000_000, 4096
-FREQUENT, FLUSH, PIECE, SLICE_BYTES = 200_000, 400_000, 256, 4_000_000
+FREQUENT, FLUSH, PIECE, SLICE_BYTES = 200_000, 400_000, 256, 1_500_000
 END = 10  # the byte that stands for the end; words hold no white space
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -112,7 +112,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     gram[DEPTH:] |= data[DEPTH - j : len(data) - j].astype(np.int64) << (8 * j)
                 held.append(gram[_scored(starts, len(data))])
                 waiting += len(held[-1])
-                if waiting > 12_000_000:
+                if waiting > 4_000_000:
                     yield out()
                     held, waiting = [], 0
         if held:
