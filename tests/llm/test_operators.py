@@ -368,6 +368,31 @@ def test_components(spark):
 KEY = "a key of the tests"
 
 
+def test_a_round_of_components_deals_its_rows_out_at_most_three_times(spark, monkeypatch):
+    dealt, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or stored(df))
+    rnd = random.Random(8)
+    edges = [(i, i + 1) for i in range(400)] + [(rnd.randrange(1000, 9000), rnd.randrange(1000, 9000)) for _ in range(6000)] + [(20_000, 20_000 + i) for i in range(1, 3000)]
+    rnd.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        parent[max(a, b)] = min(a, b)
+    pairs = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    got = {r.node: r.root for r in graph.components(pairs).collect()}
+    loops = {u for u, v in edges if u == v}
+    assert {x: got.get(x, x) for x in parent} == {x: root(x) for x in parent} and parent.keys() - got.keys() <= loops
+    assert max(dealt) <= 3 and len(dealt) <= 12
+    named = pairs.select(F.struct(F.lit(1).alias("c"), F.col("u").alias("d")).alias("u"), F.struct(F.lit(1).alias("c"), F.col("v").alias("d")).alias("v"))
+    assert {r.node.d: r.root.d for r in graph.components(named).collect()} == got
+
+
 def test_names_agree_across_honorifics_and_stand_alone(spark):
     rows = [
         "Dr. Ada Lind met Ms. Ada Lind. Ms. Ada left; Prof. Dr. Lind stayed. Ada Lind said so, LIND too, and Lindau is a town.",

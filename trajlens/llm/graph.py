@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-HOT = 1000
+HOT, TASK_EDGES = 1000, 2_000_000
 
 
 def joined_by(left: DataFrame, right: DataFrame, key: str, k: str = "k", hot: int = HOT) -> DataFrame:
@@ -30,19 +35,66 @@ def _is_forest_of_stars(edges: DataFrame) -> bool:
     return not ends.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b")).where("a + b > 1 and a > 0").take(1)
 
 
+def _codes(nodes: pa.Array) -> np.ndarray:
+    """Numbers in the order of the nodes, equal for equal ones."""
+    codes = np.zeros(len(nodes), np.int64)
+    for field in nodes.flatten() if pa.types.is_struct(nodes.type) else [nodes]:
+        own, distinct = pd.factorize(field.to_pandas(), sort=True)
+        codes = np.unique(codes * (len(distinct) + 1) + own, return_inverse=True)[1]
+    return codes
+
+
+def _smallest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of nodes 0 to n - 1 that each one's edges reach."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges u, v with the same components: each task's own edges (TASK_EDGES at a time) become stars around the smallest nodes, with smaller v."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def out() -> pa.RecordBatch:
+            nodes = pa.concat_arrays([b.column(i) for i in (0, 1) for b in held])
+            code = _codes(nodes)
+            label = _smallest(code[:waiting], code[waiting:], int(code.max()) + 1)
+            place = np.unique(code, return_index=True)[1]
+            far = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(place[far])), nodes.take(pa.array(place[label[far]]))], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            waiting += batch.num_rows
+            if waiting >= TASK_EDGES:
+                yield out()
+                held, waiting = [], 0
+        if held:
+            yield out()
+
+    return edges.select("u", "v").mapInArrow(run, edges.select("u", "v").schema)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that its edges reach) for every node of edges(u, v).
 
-    Alternating large-star and small-star steps: every step replaces neighbours by minima, found by partial aggregation,
-    so no node's neighbourhood is ever gathered; it ends when all that is left are stars around roots, after about log(diameter) rounds.
-    A hub's edges are not dealt out by the hub (joined_by).
+    Rounds of three steps: tasks contract the edges they read; every node's neighbours hang on the smallest of them (a
+    node has one a task at most by then); pointers go to where their ends point. Connections stay, labels only fall, and
+    it ends when all that is left are stars around roots. No hub's neighbourhood is gathered, as a hub is its neighbours' v.
     """
-    now = stored(edges.where(F.col("u") != F.col("v")).select(F.when(F.col("u") > F.col("v"), F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("u") > F.col("v"), F.col("v")).otherwise(F.col("u")).alias("v")).distinct())
+    now = stored(contracted(stored(edges.where(F.col("u") != F.col("v")).select("u", "v"))))
     while not _is_forest_of_stars(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.when(F.col("m") < F.col("u"), F.col("m")).otherwise(F.col("u")).alias("m"), "k")
-        large = joined_by(both.where(F.col("v") > F.col("u")), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = stored(small.select("u", F.col("m").alias("v")).unionByName(small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        least = now.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("vs"))
+        hung = least.select(F.explode(F.array_union("vs", F.array("u"))).alias("x"), "m").where(F.col("x") != F.col("m"))
+        up = least.select(F.col("u").alias("m"), F.col("m").alias("to"))
+        now = stored(contracted(stored(hung.join(up, "m", "left").select(F.col("x").alias("u"), F.coalesce("to", "m").alias("v")))))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
