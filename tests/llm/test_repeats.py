@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trajlens.llm import repeats
@@ -109,3 +110,20 @@ def test_long_and_repetitive_text_is_linear(spark):
     got = found(spark, [text + text[:1000], "z" * 3_000_000, "short"])
     assert got[0][1] == 2000 and got[1][1] == 3_000_000 and got[2][1] == 0
     assert time.time() - began < 60
+
+
+def test_contexts_of_many_texts_travel_in_few_batches(spark, monkeypatch):
+    rnd = random.Random(11)
+    passage = "".join(rnd.choices("abcdefgh ", k=400))
+    texts = ["".join(rnd.choices("abcdefgh ", k=300)) + passage + "".join(rnd.choices("abcdefgh ", k=300)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    kinds, said = [], repeats.mixed_contexts
+    monkeypatch.setattr(repeats, "mixed_contexts", lambda rows, length: kinds.append(said(rows, length)._jdf.queryExecution().executedPlan().toString()) or said(rows, length))
+    got = repeats.digests(df).collect()
+    assert len(got) == 300 and all(r.n_removed >= 400 for r in got)
+    assert "MapInArrow" in kinds[0] and "MapInPandas" not in kinds[0].split("MapInArrow")[0]
+    body = [t.encode() for t in texts]
+    rows = pa.table({"body": pa.array(body), "open": [[{"start": 0, "stop": 5, "trigger": 80, "key": 7}, {"start": 9, "stop": 11, "trigger": 99, "key": 8}]] * 300})
+    found = list(repeats._opened(iter(rows.to_batches()), repeats.LENGTH, 16))
+    assert len(found) == 1 and found[0][2][:2] == [body[0][:204], body[0][9:210]]
+    assert found[0][1].tolist() == [i for i in range(300) for _ in range(2)] and found[0][5].tolist() == [80, 90] * 300

@@ -32,6 +32,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,16 +103,16 @@ def parsed(docs: DataFrame, length: int, with_context: bool) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 512):
                 texts, doc = frame["body"].iloc[at : at + 512].tolist(), frame["doc"].to_numpy()[at : at + 512]
-                out: list[pd.DataFrame] = []
+                keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for i, start, stop, _, key in contexts(texts, length):
                     if with_context:
                         t = texts[i]
-                        value = np.array([int.from_bytes(_digest(t[a : b + length - 1], 8), "little", signed=True) for a, b in zip(start.tolist(), stop.tolist())], np.int64)
+                        found = np.frombuffer(b"".join([_digest(t[a : b + length - 1], 8) for a, b in zip(start.tolist(), stop.tolist())]), "<i8")
                     else:
-                        value = np.full(len(key), doc[i])
-                    out.append(pd.DataFrame({"key": key, "v": value}))
-                if out:
-                    yield pd.concat(out)
+                        found = np.full(len(key), doc[i])
+                    keys.append(key)
+                    values.append(found)
+                yield pd.DataFrame({"key": np.concatenate(keys), "v": np.concatenate(values)})
 
     return docs.mapInPandas(run, "key long, v long")
 
@@ -163,17 +164,27 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
+def _opened(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[bytes], pa.Array, pa.Array, np.ndarray]]:
+    """The open contexts of texts, many texts at a time: their rows, and for each context its row's place, bytes, digest, trigger's hash and trigger's end in it."""
+    for big in batches:
+        for begin in range(0, big.num_rows, 512):
+            rows = big.slice(begin, 512)
+            counts, own = np.diff(rows.column("open").offsets.to_numpy()), rows.column("open").flatten()
+            at, start, stop = np.repeat(np.arange(rows.num_rows), counts), own.field("start").to_numpy(), own.field("stop").to_numpy()
+            texts = rows.column("body").to_pylist()
+            cut = [texts[i][a:b] for i, a, b in zip(at.tolist(), start.tolist(), (stop + length - 1).tolist())]
+            yield rows, at, cut, pa.array([_digest(c, size) for c in cut], pa.binary()), own.field("key"), own.field("trigger").to_numpy() - start
+
+
 def mixed_contexts(texts: DataFrame, length: int) -> DataFrame:
     """Every distinct context of the mixed triggers, once, with the number of places where it stands (2 for two or more copies)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for body, copies, opened in zip(frame["body"], frame["copies"], frame["open"]):
-                cut = [(o["key"], body[o["start"] : o["stop"] + length - 1], o["trigger"] - o["start"]) for o in opened]
-                if cut:
-                    yield pd.DataFrame({"key": [c[0] for c in cut], "ctx": [_digest(c[1], 16) for c in cut], "at": [c[2] for c in cut], "body": [c[1] for c in cut], "weight": 1 + int(copies)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, at, cut, digest, key, trigger in _opened(batches, length, 16):
+            weight = 1 + row.column("copies").cast(pa.int32()).to_numpy()[at]
+            yield pa.RecordBatch.from_arrays([key, digest, pa.array(trigger, pa.int32()), pa.array(cut, pa.binary()), pa.array(weight, pa.int32())], names=["key", "ctx", "at", "body", "weight"])
 
-    return _distinct(texts.where(F.size("open") > 0).select("body", "copies", "open").mapInPandas(run, CONTEXT))
+    return _distinct(texts.where(F.size("open") > 0).select("body", "copies", "open").mapInArrow(run, CONTEXT))
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
@@ -325,12 +336,12 @@ def changed_texts(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
     rows = stored(mixed_contexts(texts, length))
     said = stored(verdicts(rows, length))
 
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for sha, body, own in zip(frame["sha"], frame["body"], frame["open"]):
-                yield pd.DataFrame({"sha": sha, "key": [o["key"] for o in own], "ctx": [_digest(body[o["start"] : o["stop"] + length - 1], 16) for o in own], "start": [o["start"] for o in own]})
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, at, _, digest, key, _ in _opened(batches, length, 16):
+            start = row.column("open").flatten().field("start")
+            yield pa.RecordBatch.from_arrays([row.column("sha").take(pa.array(at)), key, digest, start], names=["sha", "key", "ctx", "start"])
 
-    asked = texts.where(F.size("open") > 0).select("sha", "body", "open").mapInPandas(opened, "sha string, key long, ctx binary, start int").distinct()
+    asked = texts.where(F.size("open") > 0).select("sha", "body", "open").mapInArrow(opened, "sha string, key long, ctx binary, start int").distinct()
     shifted = F.expr(f"transform(hits, s -> named_struct('start', start + s.start, 'stop', start + s.stop + {length - 1}))")
     more = asked.join(said, ["key", "ctx"]).groupBy("sha").agg(F.flatten(F.collect_list(shifted)).alias("more"))
     none = F.array().cast(SPANS)
