@@ -89,7 +89,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds of three steps: tasks contract the edges they read; every node's neighbours hang on the smallest of them (a
     node has one a task at most by then); pointers go to where their ends point. Connections stay, labels only fall, and
-    it ends when all that is left are stars around roots. No hub's neighbourhood is gathered, as a hub is its neighbours' v.
+    it ends when all that is left are stars around roots. A hub is its neighbours' v, so no list of its neighbours is made;
+    the join that moves pointers deals them out by it, and Spark splits such a partition where it finds it skewed.
     """
     now = stored(contracted(stored(edges.where(F.col("u") != F.col("v")).select("u", "v"))))
     while not _is_forest_of_stars(now):
