@@ -271,6 +271,33 @@ def test_long_contexts_equal_counted_words(spark, docs, monkeypatch, rounds, map
     assert 0 < len(kept) < len(follow)
 
 
+def test_long_contexts_travel_packed(spark, monkeypatch):
+    """Chunks, buckets, rounds and hot contexts change no result, and no table has a row for every word."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = ["".join(f"{' '.join(rnd.choices(words, k=6))} one two three {rnd.choice(words[:4])} " for _ in range(20)) for _ in range(30)]
+    texts += [*texts[:5], None, "", "one two", "one two three w1", "\u00e9 " * 9]
+    rows = [*enumerate(texts), (0, texts[0]), (None, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lm_score.held_out(F.col("doc_id"))
+    tree = lm_score.fit_tree(df.where(~held).select(F.coalesce("text", F.lit("")).alias("text")))
+    monkeypatch.setattr(lm_score, "fit_tree", lambda rows: tree)
+    sizes, keep = [], lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda t: [out := keep(t), sizes.append(out.count())][0])
+    scores = lambda rounds: sorted(((r.doc_id or -1, r.n_long, round(r.score, 3), round(r.base_score, 6), r.n_known) for r in lm_score.score(df, held, rounds=rounds).collect()), key=repr)
+    want = scores(1)
+    assert max(sizes) <= 200 < sum(r[1] for r in want)
+    for name, value in (("CHUNK", 300), ("CHUNK_ROWS", 7), ("BUCKET", 200), ("FREQUENT", 20)):
+        monkeypatch.setattr(lm_score, name, value)
+    assert scores(3) == want
+    monkeypatch.setattr(lm_score, "HOT", 100)
+    monkeypatch.setattr(lm_score, "SAMPLE", 1)
+    sizes.clear()
+    got = scores(2)
+    assert max(sizes) > 500  # the hot ones are rows
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(g[2:] == pytest.approx(w[2:], abs=2e-3) for g, w in zip(got, want))
+
+
 def test_copies_score_apart(spark):
     rnd = random.Random(8)
     new = lambda: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(2, 7))) for _ in range(150))
