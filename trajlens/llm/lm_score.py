@@ -35,7 +35,7 @@ import functools
 import itertools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,7 +87,12 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as symbols, each after DEPTH ends and before one, and where each begins (its first pad)."""
-    parts = [bytes([END]) * DEPTH + b" ".join(tokens(t)) + bytes([END]) for t in texts]
+    return joined(map(tokens, texts))
+
+
+def joined(texts: Iterable[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the texts' words."""
+    parts = [bytes([END]) * DEPTH + b" ".join(words) + bytes([END]) for words in texts]
     starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return np.frombuffer(b"".join(parts), dtype=np.uint8), starts
 
@@ -113,9 +118,10 @@ def count_grams(rows: DataFrame) -> DataFrame:
         for big in batches:
             for start in range(0, big.num_rows, 256):
                 data, starts = stream(big.column(0).slice(start, 256).to_pylist())
-                gram = np.zeros(len(data), dtype=np.int64)
-                for j in range(DEPTH + 1):
-                    gram[DEPTH:] |= data[DEPTH - j : len(data) - j].astype(np.int64) << (8 * j)
+                wide = data.astype(np.int64)
+                gram = wide.copy()
+                for j in range(1, DEPTH + 1):
+                    gram[DEPTH:] |= wide[DEPTH - j : len(data) - j] << (8 * j)
                 held.append(gram[_scored(starts, len(data))])
                 waiting += len(held[-1])
                 if waiting > 4_000_000:
@@ -416,8 +422,8 @@ def round_rows(rows: DataFrame, describe, tree, hot, part: int, rounds: int, buc
                     if held and n_rows + batch.num_rows > most:
                         yield positions()
                         chunk, n_rows = chunk + 1, 0
-                    texts = batch.column(0).to_pylist()
-                    data, starts = stream(texts)
+                    texts = [tokens(t) for t in batch.column(0).to_pylist()]
+                    data, starts = joined(texts)
                     logs = tree.value.logs(data, starts)
                     which, word, p = word_hashes(data, starts, logs)
                     context, chosen = _long(which, word)
@@ -522,12 +528,11 @@ def score(docs: DataFrame, is_held_out: Column, rounds: int | None = None) -> Da
     frequent = spark.sparkContext.broadcast({bytes(r[0]): math.log10((r[1] + 1) / below) for r in counts.where(often).collect()})  # at most FREQUENT words
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def describe(texts: list[str]) -> list[pa.Array]:
+    def describe(texts: list[list[bytes]]) -> list[pa.Array]:
         """Tokens, known ones among the frequent, and their base score."""
         logs, end = frequent.value, math.log10((n_docs + 1) / below)
         size, found, base = [], [], []
-        for t in texts:
-            own = tokens(t)
+        for own in texts:
             hits = [x for x in map(logs.get, own) if x is not None]
             size.append(len(own) + 1)
             found.append(len(hits) + (n_docs > 0))
